@@ -8,12 +8,22 @@ from pyspark.sql import functions as F
 from phasegrid import constants as K
 
 
+def _literal(value) -> str:
+    return repr(value) if isinstance(value, (int, float)) else "'" + value.replace("'", "\\'") + "'"
+
+
 def lookup(column: Column, mapping: dict, default: Column | None = None) -> Column:
-    """Map closed-set values through a constant dictionary; unknown gives ``default`` or NULL."""
-    expr = None
-    for key, value in mapping.items():
-        expr = (F.when if expr is None else expr.when)(column == F.lit(key), F.lit(value))
-    return expr if default is None else expr.otherwise(default)
+    """Map closed-set values through a constant map; unknown gives ``default`` or NULL.
+
+    A map literal, not a CASE chain: generated code stays small enough to be compiled.
+    """
+    pairs = ", ".join(
+        f"{_literal(k)}, {_literal(v)}{'D' if isinstance(v, float) else ''}"
+        for k, v in mapping.items()
+    )
+    numeric = isinstance(next(iter(mapping)), int)
+    expr = F.try_element_at(F.expr(f"map({pairs})"), column.cast("int" if numeric else "string"))
+    return expr if default is None else F.coalesce(expr, default)
 
 
 def clock_seconds(ts: Column) -> Column:

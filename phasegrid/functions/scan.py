@@ -27,33 +27,32 @@ def ordered_scan(
     order: str,
     *,
     lag: Mapping[str, Column] | None = None,
+    lead: Mapping[str, Column] | None = None,
     sums: Mapping[str, Column] | None = None,
     last: Mapping[str, Column] | None = None,
     maxima: Mapping[str, Column] | None = None,
     totals: Mapping[str, Column] | None = None,
     block: str | None = None,
     bits: int = BLOCK_BITS,
-    reverse: bool = False,
 ) -> DataFrame:
     """Add running values over ``order`` within ``key``.
 
-    ``lag``: value of the previous row.  ``sums``: running sum including the row.  ``last``: last
+    ``lag`` / ``lead``: value of the previous / next row.  ``sums``: running sum including the row.  ``last``: last
     non-null value up to the row.  ``maxima``: running maximum.  ``totals``: sum over the whole
-    key.  ``reverse`` scans from the end, so ``lag`` becomes the next row.  ``order`` must be
-    unique within a key.  ``block`` names an existing order-preserving block column for orders
-    that are not integers.
+    key.  ``order`` must be unique within a key.  ``block`` names an existing order-preserving
+    block column for orders that are not integers.
     """
-    lag, sums, last = dict(lag or {}), dict(sums or {}), dict(last or {})
+    lag, lead = dict(lag or {}), dict(lead or {})
+    sums, last = dict(sums or {}), dict(last or {})
     maxima, totals = dict(maxima or {}), dict(totals or {})
     keys = list(key)
-    names = [*lag, *sums, *last, *maxima, *totals]
-    inputs = {f"_in_{n}": c for part in (lag, sums, last, maxima, totals) for n, c in part.items()}
+    parts = (lag, lead, sums, last, maxima, totals)
+    inputs = {f"_in_{n}": c for part in parts for n, c in part.items()}
     bcol = block or "_block"
     src = df if block else df.withColumn("_block", block_of(F.col(order), bits))
     src = src.withColumns(inputs)
 
-    direction = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
-    w = Window.partitionBy(*keys, bcol).orderBy(direction(order))
+    w = Window.partitionBy(*keys, bcol).orderBy(order)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
 
     def packed(mapping):
@@ -62,6 +61,8 @@ def ordered_scan(
     local: dict[str, Column] = {}
     if lag:
         local["_lag"] = F.lag(packed(lag)).over(w)
+    if lead:
+        local["_lead"] = F.lead(packed(lead)).over(w)
     for n in sums:
         local[f"_run_{n}"] = F.sum(f"_in_{n}").over(run)
     for n in last:
@@ -69,24 +70,27 @@ def ordered_scan(
     for n in maxima:
         local[f"_run_{n}"] = F.max(f"_in_{n}").over(run)
 
-    final = F.min_by if reverse else F.max_by
     aggs = []
     if lag:
-        aggs.append(final(packed(lag), F.col(order)).alias("_edge_lag"))
+        aggs.append(F.max_by(packed(lag), F.col(order)).alias("_edge_lag"))
+    if lead:
+        aggs.append(F.min_by(packed(lead), F.col(order)).alias("_edge_lead"))
     for n in [*sums, *totals]:
         aggs.append(F.sum(f"_in_{n}").alias(f"_edge_{n}"))
     for n in last:
         held = F.col(f"_in_{n}")
-        aggs.append(final(held, F.when(held.isNotNull(), F.col(order))).alias(f"_edge_{n}"))
+        aggs.append(F.max_by(held, F.when(held.isNotNull(), F.col(order))).alias(f"_edge_{n}"))
     for n in maxima:
         aggs.append(F.max(f"_in_{n}").alias(f"_edge_{n}"))
     edges = src.groupBy(*keys, bcol).agg(*aggs)
 
-    we = Window.partitionBy(*keys).orderBy(direction(bcol))
+    we = Window.partitionBy(*keys).orderBy(bcol)
     before = we.rowsBetween(Window.unboundedPreceding, -1)
     carry = [F.col(k) for k in [*keys, bcol]]
     if lag:
         carry.append(F.lag("_edge_lag").over(we).alias("_carry_lag"))
+    if lead:
+        carry.append(F.lead("_edge_lead").over(we).alias("_carry_lead"))
     for n in sums:
         carry.append(F.sum(f"_edge_{n}").over(before).alias(f"_carry_{n}"))
     for n in last:
@@ -101,6 +105,8 @@ def ordered_scan(
         tests = [F.col(f"_carry_{n}").isNotNull() for n in [*sums, *last, *maxima]]
         if lag:
             tests.append(F.col("_carry_lag").isNotNull())
+        if lead:
+            tests.append(F.col("_carry_lead").isNotNull())
         keep = tests[0]
         for t in tests[1:]:
             keep = keep | t
@@ -112,6 +118,10 @@ def ordered_scan(
         both = F.coalesce(F.col("_lag"), F.col("_carry_lag"))
         for n in lag:
             out[n] = both.getField(n)
+    if lead:
+        both = F.coalesce(F.col("_lead"), F.col("_carry_lead"))
+        for n in lead:
+            out[n] = both.getField(n)
     for n in sums:
         zero = F.coalesce(F.col(f"_carry_{n}"), F.lit(0))
         out[n] = F.coalesce(F.col(f"_run_{n}"), F.lit(0)) + zero
@@ -121,5 +131,15 @@ def ordered_scan(
         out[n] = F.greatest(F.col(f"_run_{n}"), F.col(f"_carry_{n}"))
     for n in totals:
         out[n] = F.col(f"_carry_{n}")
-    base = [F.col(c) for c in df.columns if c not in names]
+    base = [F.col(c) for c in df.columns if c not in out]
     return joined.select(*base, *[c.alias(n) for n, c in out.items()])
+
+
+def join_fragments(rows: DataFrame, per_key: DataFrame, key: Sequence[str], block: str) -> DataFrame:
+    """Add per-key facts to detail rows over (key, block) fragments.
+
+    The detail side joins on keys that hold at most one block of rows each, so one huge key does
+    not end up in one task.  Rows whose key has no facts are dropped.
+    """
+    fragments = rows.select(*key, block).distinct().join(per_key, list(key))
+    return rows.join(fragments, [*key, block])

@@ -9,33 +9,56 @@ from phasegrid import constants as K
 from phasegrid.functions import geometry as G
 
 
-def _actor(frame: Column) -> Column:
-    return F.filter(frame, lambda p: G.flag(p["actor"]))
+def frame_scalars(frames: DataFrame) -> DataFrame:
+    """Per frame: located dots, number of actor dots and where the first actor stands.
 
-
-def _offset(frame: Column, x: Column, y: Column) -> tuple[Column, Column]:
-    at = F.try_element_at(_actor(frame), F.lit(1))["location"]
-    ax, ay = F.try_element_at(at, F.lit(1)), F.try_element_at(at, F.lit(2))
-    return F.abs(ax - x), F.abs(ay - y)
+    Runs before the join with the events, so each array is walked once and the tests below are
+    plain scalar expressions.  Frames without a located dot are dropped.
+    """
+    located = F.filter(
+        "freeze_frame", lambda p: p["location"].isNotNull() & (F.size(p["location"]) > 0)
+    )
+    actors = F.filter("freeze_frame", lambda p: G.flag(p["actor"]))
+    staged = frames.select(
+        "match_id", "event_uuid", "visible_area", located.alias("dots"), actors.alias("_a")
+    )
+    at = F.try_element_at("_a", F.lit(1))["location"]
+    return staged.filter(F.size("dots") > 0).select(
+        "match_id",
+        "event_uuid",
+        "visible_area",
+        "dots",
+        F.size("_a").alias("n_actors"),
+        F.try_element_at(at, F.lit(1)).alias("actor_x"),
+        F.try_element_at(at, F.lit(2)).alias("actor_y"),
+    )
 
 
-def orientation(x: Column, y: Column, frame: Column) -> Column:
+def orientation() -> Column:
     """``event``, ``mirrored`` or ``unknown`` by where the single actor stands."""
-    dx, dy = _offset(frame, x, y)
-    mx, my = _offset(frame, K.EVENT_MIRROR_X - x, K.EVENT_MIRROR_Y - y)
+    ax, ay, x, y = (F.col(c) for c in ("actor_x", "actor_y", "x", "y"))
     tol = K.ACTOR_TOLERANCE
     return (
-        F.when(x.isNull() | (F.size(_actor(frame)) != 1), "unknown")
-        .when((dx <= tol) & (dy <= tol), "event")
-        .when((mx <= tol) & (my <= tol), "mirrored")
+        F.when(x.isNull() | (F.col("n_actors") != 1), "unknown")
+        .when((F.abs(ax - x) <= tol) & (F.abs(ay - y) <= tol), "event")
+        .when(
+            (F.abs(ax - (K.EVENT_MIRROR_X - x)) <= tol)
+            & (F.abs(ay - (K.EVENT_MIRROR_Y - y)) <= tol),
+            "mirrored",
+        )
         .otherwise("unknown")
     )
 
 
-def is_paired(x: Column, y: Column, frame: Column) -> Column:
+def is_paired() -> Column:
     """The actor sits exactly on the mirrored event: the opponent's frame was borrowed."""
-    mx, my = _offset(frame, K.EVENT_MIRROR_X - x, K.EVENT_MIRROR_Y - y)
-    hit = (F.size(_actor(frame)) == 1) & (mx < K.PAIRED_EPS) & (my < K.PAIRED_EPS)
+    ax, ay, x, y = (F.col(c) for c in ("actor_x", "actor_y", "x", "y"))
+    eps = K.PAIRED_EPS
+    hit = (
+        (F.col("n_actors") == 1)
+        & (F.abs(ax - (K.EVENT_MIRROR_X - x)) < eps)
+        & (F.abs(ay - (K.EVENT_MIRROR_Y - y)) < eps)
+    )
     return F.coalesce(hit, F.lit(False))
 
 
@@ -43,24 +66,28 @@ def frame_flip(orient: Column, event_is_ours: Column) -> Column:
     return (orient != "mirrored") != event_is_ours
 
 
-def canonical_dots(frame: Column, flip: Column, teammate_is_ours: Column) -> Column:
-    """array<struct(x, y, flags)> of the located dots; flags 1 = ours, 2 = actor, 4 = keeper."""
-    located = F.filter(frame, lambda p: F.coalesce(F.size(p["location"]), F.lit(0)) > 0)
+def teammate_is_ours(orient: Column, paired: Column, event_is_ours: Column) -> Column:
+    """Does a dot's teammate flag mean the possession team?  Reversed for borrowed frames."""
+    return event_is_ours != ((orient == "mirrored") & paired)
+
+
+def canonical_dots(dots: Column, flip: Column, mate_is_ours: Column) -> Column:
+    """array<struct(x, y, flags)>; flags 1 = possession team, 2 = actor, 4 = keeper."""
 
     def dot(p: Column) -> Column:
         x, y = p["location"][0], p["location"][1]
         bits = (
-            F.when(G.flag(p["teammate"]) == teammate_is_ours, 1).otherwise(0)
+            F.when(G.flag(p["teammate"]) == mate_is_ours, 1).otherwise(0)
             + F.when(G.flag(p["actor"]), 2).otherwise(0)
             + F.when(G.flag(p["keeper"]), 4).otherwise(0)
         )
         return F.struct(
-            F.when(flip, G.frame_mirror_x(x)).otherwise(x).alias("x"),
-            F.when(flip, G.frame_mirror_y(y)).otherwise(y).alias("y"),
+            F.when(flip, G.frame_mirror_x(x)).otherwise(x).cast("float").alias("x"),
+            F.when(flip, G.frame_mirror_y(y)).otherwise(y).cast("float").alias("y"),
             bits.cast("short").alias("flags"),
         )
 
-    return F.transform(located, dot)
+    return F.transform(dots, dot)
 
 
 def canonical_area(area: Column, flip: Column) -> Column:
@@ -75,47 +102,43 @@ def canonical_area(area: Column, flip: Column) -> Column:
 
 
 def canonicalize(framed: DataFrame) -> DataFrame:
-    """Frame rows joined to their events -> phase-frame rows.
-
-    Needs x, y, team_id, chain_team_id, freeze_frame and visible_area; keeps all other columns.
-    """
-    x, y, ff = F.col("x"), F.col("y"), F.col("freeze_frame")
+    """``frame_scalars`` joined to their events -> phase-frame columns."""
     ours = F.col("team_id") == F.col("chain_team_id")
-    staged = framed.withColumns({"orientation": orientation(x, y, ff), "_ours": ours})
-    borrowed = (F.col("orientation") == "mirrored") & is_paired(x, y, ff)
-    staged = staged.withColumns(
+    staged = framed.withColumn("orientation", orientation()).withColumns(
         {
-            "_flip": frame_flip(F.col("orientation"), F.col("_ours")),
-            "_mate_ours": F.col("_ours") != borrowed,
+            "_flip": frame_flip(F.col("orientation"), ours),
+            "_mate": teammate_is_ours(F.col("orientation"), is_paired(), ours),
         }
     )
-    dots = staged.withColumn("_dots", canonical_dots(ff, F.col("_flip"), F.col("_mate_ours")))
-    return (
-        dots.filter(F.size("_dots") > 0)
-        .withColumns(
-            {
-                "n_players": F.size("_dots"),
-                "px": F.transform("_dots", lambda d: d["x"].cast("float")),
-                "py": F.transform("_dots", lambda d: d["y"].cast("float")),
-                "flags": F.transform("_dots", lambda d: d["flags"]),
-                "visible_area": canonical_area(F.col("visible_area"), F.col("_flip")).cast(
-                    "array<float>"
-                ),
-            }
-        )
-        .drop("_dots", "_flip", "_mate_ours", "_ours", "freeze_frame")
+    turned = staged.select(
+        "match_id",
+        "phase_id",
+        "idx",
+        "event_uuid",
+        "orientation",
+        canonical_dots(F.col("dots"), F.col("_flip"), F.col("_mate")).alias("_d"),
+        canonical_area(F.col("visible_area"), F.col("_flip")).alias("visible_area"),
+    )
+    return turned.select(
+        "match_id",
+        "phase_id",
+        "idx",
+        "event_uuid",
+        "orientation",
+        F.size("_d").alias("n_players"),
+        F.col("_d.x").alias("px"),
+        F.col("_d.y").alias("py"),
+        F.col("_d.flags").alias("flags"),
+        "visible_area",
     )
 
 
 def keeper_sides(framed: DataFrame) -> DataFrame:
     """Frames with one keeper dot, tallied by orientation, teammate flag and side."""
-    keepers = F.filter("freeze_frame", lambda p: G.flag(p["keeper"]))
-    one = framed.withColumns(
-        {
-            "orientation": orientation(F.col("x"), F.col("y"), F.col("freeze_frame")),
-            "_k": keepers,
-        }
-    ).filter(F.size("_k") == 1)
+    keepers = F.filter("dots", lambda p: G.flag(p["keeper"]))
+    one = framed.select(orientation().alias("orientation"), keepers.alias("_k")).filter(
+        F.size("_k") == 1
+    )
     keeper = F.col("_k")[0]
     tally = one.groupBy(
         "orientation",

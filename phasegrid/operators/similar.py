@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from phasegrid import constants as K
 from phasegrid.functions import vectors as V
-from phasegrid.operators.path import thin_path
 
 
 def moments(phases: DataFrame) -> DataFrame:
@@ -29,41 +28,39 @@ def fit_moments(phases: DataFrame) -> dict[str, tuple[float, float]]:
     return {c: (row[f"mu_{c}"], row[f"sd_{c}"]) for c in K.NUMERIC_FEATURES}
 
 
+def vector_parts(stats: dict[str, tuple[float, float]]) -> list[str]:
+    """The 74 weighted scalars of a row before normalisation, as SQL expressions."""
+    parts = []
+    for c in K.NUMERIC_FEATURES:
+        mu, sd = stats[c]
+        z = f"(CAST({c} AS DOUBLE) - {mu!r}D) / {sd!r}D"
+        parts.append(f"greatest(least({z}, {K.VECTOR_CLIP}D), -{K.VECTOR_CLIP}D)")
+    parts += [f"if({c}, {K.W_BOOL}D, 0D)" for c in K.BOOL_FEATURES]
+    for column, domain, weight in (
+        ("start_type", K.START_TYPES, K.W_START),
+        ("outcome", K.OUTCOMES, K.W_OUTCOME),
+        ("start_zone", K.ZONES, K.W_ZONE),
+        ("end_zone", K.ZONES, K.W_ZONE),
+    ):
+        # A NULL label matches nothing and leaves an all-zero block.
+        parts += [f"if({column} = '{v}', {weight}D, 0D)" for v in domain]
+    for i in K.TRAJECTORY_INDEX:
+        x, y = (f"CAST(path_xy[{2 * i + k}] AS DOUBLE)" for k in (0, 1))
+        parts += [f"({x} - 60D) / 60D * {K.W_PATH}D", f"({y} - 40D) / 40D * {K.W_PATH}D"]
+    return parts
+
+
 def phase_vectors(rows: DataFrame, stats: dict[str, tuple[float, float]], *keep: str) -> DataFrame:
-    """74-dim unit vector per row.  NULL start type or outcome leaves its block at zero."""
-    numeric = F.array(
-        *[
-            F.greatest(
-                F.least(
-                    (F.col(c).cast("double") - F.lit(stats[c][0])) / F.lit(stats[c][1]),
-                    F.lit(K.VECTOR_CLIP),
-                ),
-                F.lit(-K.VECTOR_CLIP),
-            )
-            for c in K.NUMERIC_FEATURES
-        ]
-    )
-    flags = F.array(
-        *[F.when(F.col(c), F.lit(K.W_BOOL)).otherwise(F.lit(0.0)) for c in K.BOOL_FEATURES]
-    )
-    path = F.col("path_xy").cast("array<double>")
-    shape = F.transform(
-        thin_path(path),
-        lambda v, i: F.when(i % 2 == 0, (v - 60.0) / 60.0 * K.W_PATH).otherwise(
-            (v - 40.0) / 40.0 * K.W_PATH
-        ),
-    )
-    vec = F.concat(
-        numeric,
-        flags,
-        V.one_hot(F.col("start_type"), K.START_TYPES, K.W_START),
-        V.one_hot(F.col("outcome"), K.OUTCOMES, K.W_OUTCOME),
-        V.one_hot(F.col("start_zone"), K.ZONES, K.W_ZONE),
-        V.one_hot(F.col("end_zone"), K.ZONES, K.W_ZONE),
-        shape,
-    )
-    staged = rows.select(*keep, vec.alias("_raw"))
-    return staged.select(*keep, V.normalize(F.col("_raw")).cast("array<float>").alias("vec"))
+    """74-dim unit vector per row.  NULL start type or outcome leaves its block at zero.
+
+    Built from scalar columns, not array lambdas, so it stays inside generated code.
+    """
+    names = [f"_v{i}" for i in range(K.VECTOR_DIM)]
+    raw = rows.selectExpr(*keep, *[f"{p} AS {n}" for n, p in zip(names, vector_parts(stats))])
+    norm = "sqrt(" + " + ".join(f"{n} * {n}" for n in names) + ")"
+    sized = raw.selectExpr("*", f"if({norm} < 1e-9D, 1D, {norm}) AS _norm")
+    vec = ", ".join(f"CAST({n} / _norm AS FLOAT)" for n in names)
+    return sized.selectExpr(*keep, f"array({vec}) AS vec")
 
 
 def similar_to(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from phasegrid import constants as K
 from phasegrid.functions import geometry as G
+from phasegrid.functions.scan import join_fragments
 from phasegrid.operators import features, frames as FR, path as P, similar
 from phasegrid.operators.segment import CHAIN, segment
 from phasegrid.sources import storage, testdata
@@ -112,14 +113,8 @@ def phase_table(features_: DataFrame, seg: DataFrame, matches: DataFrame) -> Dat
 
 
 def name_events(seg: DataFrame, phases: DataFrame) -> DataFrame:
-    """Segmented events of surviving chains with their ``phase_id``.
-
-    The id travels over (block, chain) fragments, so the event side joins on keys that hold at
-    most one block of rows each, however long a chain is.
-    """
-    ids = phases.select(*CHAIN, "phase_id")
-    fragments = seg.select("match_id", "block", "start_index").distinct().join(ids, CHAIN)
-    return seg.join(fragments, ["match_id", "block", "start_index"])
+    """Segmented events of surviving chains with their ``phase_id``."""
+    return join_fragments(seg, phases.select(*CHAIN, "phase_id"), CHAIN, "block")
 
 
 def phase_event_rows(named: DataFrame) -> DataFrame:
@@ -156,9 +151,7 @@ def frame_events(named: DataFrame, frames: DataFrame) -> DataFrame:
     facts = named.select(
         "match_id", "event_uuid", "phase_id", "idx", "x", "y", "team_id", "chain_team_id"
     )
-    return frames.select("match_id", "event_uuid", "freeze_frame", "visible_area").join(
-        facts, ["match_id", "event_uuid"]
-    )
+    return FR.frame_scalars(frames).join(facts, ["match_id", "event_uuid"])
 
 
 def build(

@@ -86,6 +86,9 @@ def aggregate_chains(seg: DataFrame, thr: K.Thresholds = K.Thresholds()) -> Data
         F.max_by(end_x, at_path).alias("end_x"),
         F.max_by(end_y, at_path).alias("end_y"),
         F.max(F.when(at_path.isNotNull(), F.greatest("x", "end_x"))).alias("max_x"),
+        F.min(F.when(at_path.isNotNull(), F.least("x", "end_x"))).alias("min_x"),
+        F.max(F.when(at_path.isNotNull(), F.greatest("y", "end_y"))).alias("max_y"),
+        F.min(F.when(at_path.isNotNull(), F.least("y", "end_y"))).alias("min_y"),
         any_of(at_path.isNotNull() & boxed).alias("reached_box"),
         any_of(shot & (o == K.SHOT_GOAL)).alias("goal_shot"),
         any_of(~ours & own_goal).alias("own_goal_for"),
@@ -200,6 +203,8 @@ def outcome() -> Column:
 def derive(chains: DataFrame, thr: K.Thresholds = K.Thresholds()) -> DataFrame:
     """Published features and diagnostics.  Needs numbering, players and press flag joined in."""
     yards = F.col("end_x") - F.col("start_x")
+    spread = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
+    chains = chains.withColumn("path_moved", F.coalesce(spread > P.SAME_POINT, F.lit(False)))
     filled = chains.withColumns(
         {
             "n_players": F.coalesce("n_players", F.lit(0).cast("long")),

@@ -166,12 +166,9 @@ def switch_thresholds(events: DataFrame, cuts=(30, 35, 40, 45)) -> DataFrame:
 
 
 def counter_measures(chains: DataFrame) -> DataFrame:
-    """Long form of speed, progression (yards) and duration per chain with at least 2 points.
-
-    ``chains`` needs the path end points; a chain whose path never moves has one point.
-    """
+    """Long form of speed, progression (yards) and duration of chains whose path moves."""
     yards = F.col("end_x") - F.col("start_x")
-    return chains.select(
+    return chains.filter("path_moved").select(
         F.when(F.col("play_pattern_id") == K.PATTERN_COUNTER, "counter")
         .otherwise("other")
         .alias("kind"),

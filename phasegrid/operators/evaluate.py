@@ -273,6 +273,8 @@ def _pair_blocks(queries: DataFrame, candidates: DataFrame, rows_per_block: int)
     n = max(1, -(-int(largest) // rows_per_block))
 
     def blocked(df: DataFrame, own: str, other: str) -> DataFrame:
+        # Fresh aliases: both sides may come from one table.
+        df = df.select(*[F.col(c).alias(c) for c in df.columns])
         return df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(
             other, F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         )

@@ -113,7 +113,8 @@ def ball_positions(keys: DataFrame, phases: DataFrame, step_s: float = 1.0) -> D
     grid = (
         linked.withColumns({"_lo": lo, "_hi": F.least(hi, F.col("steps"))})
         .filter(F.col("_lo") <= F.col("_hi"))
-        .withColumn("at", F.explode(F.sequence("_lo", "_hi")) * step)
+        .withColumn("_step", F.explode(F.sequence("_lo", "_hi")))
+        .withColumn("at", F.col("_step") * step)
     )
     at, t = F.col("at"), F.col("t")
     # Up to the first time: the first key-frame.  From the last time on: the last one.  Between:
@@ -164,7 +165,8 @@ def current_frames(timed: DataFrame, phases: DataFrame, step_s: float = 1.0) ->
     grid = (
         joined.withColumns({"_lo": lo, "_hi": F.least(hi, F.col("steps"))})
         .filter(F.col("_lo") <= F.col("_hi"))
-        .withColumn("at", F.explode(F.sequence("_lo", "_hi")) * step)
+        .withColumn("_step", F.explode(F.sequence("_lo", "_hi")))
+        .withColumn("at", F.col("_step") * step)
     )
     age = F.col("at") - F.col("t")
     return grid.select(*KEY, "at", "idx", age.alias("age"), opacity(age).alias("opacity"))

@@ -22,7 +22,7 @@ from phasegrid.operators import (
 )
 from phasegrid.plans import profiling as PR, quality as Q, reports as RP
 from phasegrid.plans.build import Tables, testdata_tables
-from phasegrid.sources import raw_json, tables as TB
+from phasegrid.sources import raw_json, storage, tables as TB
 from phasegrid.sources.testdata import COMPETITIONS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,17 @@ def on_folder(digits: int = 4):
     return register
 
 
+_SAVED: dict[tuple[int, str], DataFrame] = {}
+
+
+def written_once(t: Tables, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table that several queries read, written once per build."""
+    key = (id(t), name)
+    if key not in _SAVED:
+        _SAVED[key] = storage.save(make(), storage.new_path(t.phases.sparkSession, name))
+    return _SAVED[key]
+
+
 # Raw feed and segmentation ---------------------------------------------------------------------
 
 
@@ -755,9 +766,11 @@ def half_features(t):
 
 
 def _halves(t: Tables, mode: str):
-    vectors = E.half_vectors(t.phase_events, t.phases, SIM.fit_moments(t.phases), mode).select(
-        F.col("phase_id").alias("id"), F.lit("all").alias("split"), "half", "vec"
-    )
+    vectors = written_once(
+        t,
+        f"half_vectors_{mode}",
+        lambda: E.half_vectors(t.phase_events, t.phases, SIM.fit_moments(t.phases), mode),
+    ).select(F.col("phase_id").alias("id"), F.lit("all").alias("split"), "half", "vec")
     first = vectors.filter("half = 1").drop("half")
     return first, vectors.filter("half = 2").drop("half")
 
@@ -805,7 +818,8 @@ def label_prevalence(t):
 def _probe(t: Tables) -> DataFrame:
     labels = E.unpivot_labels(E.label_matrix(E.phase_labels(t.segmented), t.phases))
     rows = t.similarity.select(F.col("phase_id").alias("id"), F.lit("all").alias("split"), "vec")
-    return E.label_probe(E.nearest_neighbours(rows), labels)
+    near = written_once(t, "neighbours", lambda: E.nearest_neighbours(rows))
+    return E.label_probe(near, labels)
 
 
 @on_tables()
@@ -862,14 +876,18 @@ def augmented_events(t):
 # Replay ------------------------------------------------------------------------------------------
 
 
+def _keyframes(t: Tables) -> DataFrame:
+    return written_once(t, "keyframes", lambda: R.ball_keyframes(t.phase_events))
+
+
 @on_tables()
 def ball_keyframes(t):
-    return R.ball_keyframes(t.phase_events)
+    return _keyframes(t)
 
 
 @on_tables()
 def ball_positions(t):
-    return R.ball_positions(R.ball_keyframes(t.phase_events), t.phases, 0.5)
+    return R.ball_positions(_keyframes(t), t.phases, 0.5)
 
 
 @on_tables()
@@ -881,7 +899,7 @@ def current_frames(t):
 def ball_trail(t):
     """Key-frames passed by the middle of every phase."""
     times = t.phases.select("phase_id", (F.col("duration_s").cast("double") / 2).alias("at"))
-    return R.trail(R.ball_keyframes(t.phase_events), times)
+    return R.trail(_keyframes(t), times)
 
 
 @on_tables()

@@ -16,6 +16,7 @@ from phasegrid.functions.scan import block_of, join_fragments, ordered_scan
 from phasegrid.operators import path as P
 from phasegrid.operators.quantile import auc, quantiles
 from phasegrid.operators.similar import phase_vectors
+from phasegrid.sources import storage
 
 MIN_TRAIN_EVENTS = 4
 MIN_EVENTS, MIN_HALF_PATH = 8, 2
@@ -234,8 +235,13 @@ def inherit_labels(slices: DataFrame, phases: DataFrame, mode: str = "generous")
 
 
 def half_vectors(events: DataFrame, phases: DataFrame, stats: dict, mode: str = "generous") -> DataFrame:
-    """(phase_id, half, vec) of eligible phases."""
-    halves = slice_features(split_halves(events, phases), ["phase_id", "half"])
+    """(phase_id, half, vec) of eligible phases.
+
+    The halves feed several aggregates and the path scan, so they are written once.
+    """
+    spark = events.sparkSession
+    rows = storage.save(split_halves(events, phases), storage.new_path(spark, "halves"))
+    halves = slice_features(rows, ["phase_id", "half"])
     return phase_vectors(inherit_labels(halves, phases, mode), stats, "phase_id", "half")
 
 

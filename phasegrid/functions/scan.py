@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 BLOCK_BITS = 16
 
 
-def block_of(order: Column, bits: int = BLOCK_BITS) -> Column:
-    return F.shiftright(order.cast("long"), bits)
+def block_of(order: Column, bits: int | None = None) -> Column:
+    """Block of an integer order value; ``bits`` defaults to ``BLOCK_BITS``."""
+    return F.shiftright(order.cast("long"), BLOCK_BITS if bits is None else bits)
 
 
 def ordered_scan(
@@ -33,7 +34,7 @@ def ordered_scan(
     maxima: Mapping[str, Column] | None = None,
     totals: Mapping[str, Column] | None = None,
     block: str | None = None,
-    bits: int = BLOCK_BITS,
+    bits: int | None = None,
 ) -> DataFrame:
     """Add running values over ``order`` within ``key``.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from phasegrid import constants as K
 from phasegrid.functions.geometry import is_admin
+from phasegrid.functions.scan import block_of
 
 SAME_POINT = 0.01
 
@@ -32,7 +33,7 @@ def path_points(events: DataFrame, key: Sequence[str], ours: Column) -> DataFram
         events.filter(on_path(ours))
         .select(
             *key,
-            F.shiftright(F.col("idx").cast("long"), 15).alias("block"),
+            block_of(F.col("idx")).alias("block"),
             F.explode(
                 F.array(
                     F.struct((F.col("idx") * 2).alias("pos"), F.col("x"), F.col("y")),

@@ -201,6 +201,11 @@ def build(
 _BUILT: dict[tuple[str, str], Tables] = {}
 
 
+def remember(spark: SparkSession, sf_dir: str, tables: Tables) -> None:
+    """Let queries over ``sf_dir`` read an existing build."""
+    _BUILT[(spark.sparkContext.applicationId, sf_dir)] = tables
+
+
 def testdata_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """Tables built from the match-event view of one data folder, once per session."""
     key = (spark.sparkContext.applicationId, sf_dir)
@@ -210,5 +215,5 @@ def testdata_tables(spark: SparkSession, sf_dir: str) -> Tables:
         ordered = testdata.range_blocks(spark, source, f"{out}/ordered")
         flat = storage.save(testdata.flat_events(spark, ordered), f"{out}/events")
         frames = storage.save(testdata.flat_frames(flat), f"{out}/frames")
-        _BUILT[key] = build(flat, frames, testdata.match_dimension(flat), out)
+        remember(spark, sf_dir, build(flat, frames, testdata.match_dimension(flat), out))
     return _BUILT[key]

@@ -21,6 +21,7 @@ def local_session(cpus: int | None = None, name: str = "phasegrid") -> SparkSess
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="phasegrid-"))
         .getOrCreate()
     )

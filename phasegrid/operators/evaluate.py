@@ -194,7 +194,14 @@ def slice_features(rows: DataFrame, key: Sequence[str]) -> DataFrame:
         .groupBy(*keys)
         .agg(F.count("*").alias("n_players"))
     )
-    paths = P.resample(P.path_points(d, keys, mine), keys)
+    ends = facts.filter(F.col("start_x").isNotNull()).select(
+        *keys,
+        F.col("start_x").alias("sx"),
+        F.col("start_y").alias("sy"),
+        F.col("end_x").alias("ex"),
+        F.col("end_y").alias("ey"),
+    )
+    paths = P.resample(P.path_points(d, keys, mine), keys, ends=ends)
     progression = (F.col("end_x") - F.col("start_x")) * K.YARD_M
     return (
         facts.join(paths, keys)

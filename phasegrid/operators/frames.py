@@ -115,6 +115,7 @@ def canonicalize(framed: DataFrame) -> DataFrame:
         "phase_id",
         "idx",
         "event_uuid",
+        "event_index",
         "orientation",
         canonical_dots(F.col("dots"), F.col("_flip"), F.col("_mate")).alias("_d"),
         canonical_area(F.col("visible_area"), F.col("_flip")).alias("visible_area"),
@@ -124,6 +125,7 @@ def canonicalize(framed: DataFrame) -> DataFrame:
         "phase_id",
         "idx",
         "event_uuid",
+        "event_index",
         "orientation",
         F.size("_d").alias("n_players"),
         F.col("_d.x").alias("px"),

@@ -118,9 +118,22 @@ def path_steps(points: DataFrame, key: Sequence[str]) -> DataFrame:
     )
 
 
-def resample(points: DataFrame, key: Sequence[str], n: int = K.PATH_POINTS) -> DataFrame:
+def path_ends(points: DataFrame, key: Sequence[str]) -> DataFrame:
+    """First and last point of each path as ``sx, sy, ex, ey``."""
+    return points.groupBy(*key).agg(
+        F.min_by("x", "pos").alias("sx"),
+        F.min_by("y", "pos").alias("sy"),
+        F.max_by("x", "pos").alias("ex"),
+        F.max_by("y", "pos").alias("ey"),
+    )
+
+
+def resample(
+    points: DataFrame, key: Sequence[str], n: int = K.PATH_POINTS, ends: DataFrame | None = None
+) -> DataFrame:
     """``n`` points per chain, evenly spaced by arc length, as flat ``path_xy``.
 
+    ``ends`` gives the first and last points where they are already known.
     Each segment emits only the sample positions that fall inside it, so at most ``n`` rows per
     chain reach the final grouping whatever the length of the chain.  End points are exact; a
     path without length repeats its point; ``n = 1`` gives the end point.
@@ -156,12 +169,7 @@ def resample(points: DataFrame, key: Sequence[str], n: int = K.PATH_POINTS) -> D
             .groupBy(*keys)
             .agg(F.array_sort(F.collect_list("s")).alias("inner"))
         )
-    ends = points.groupBy(*keys).agg(
-        F.min_by("x", "pos").alias("sx"),
-        F.min_by("y", "pos").alias("sy"),
-        F.max_by("x", "pos").alias("ex"),
-        F.max_by("y", "pos").alias("ey"),
-    )
+    ends = path_ends(points, keys) if ends is None else ends
     start, end = F.array("sx", "sy"), F.array("ex", "ey")
     if n == 1:
         return ends.select(*keys, end.alias("path_xy"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from phasegrid import constants as K
 from phasegrid.functions import geometry as G
-from phasegrid.functions.scan import join_fragments
+from phasegrid.functions.scan import block_of, join_fragments
 from phasegrid.operators import features, frames as FR, path as P, similar
 from phasegrid.operators.segment import CHAIN, segment
 from phasegrid.sources import storage, testdata
@@ -42,13 +44,6 @@ FRAME_COLUMNS = {
     "n_players": "int", "px": "array<float>", "py": "array<float>", "flags": "array<smallint>",
     "visible_area": "array<float>",
 }
-DIAGNOSTIC_COLUMNS = {
-    "match_id": "bigint", "start_index": "bigint", "seq": "bigint", "phase_id": "string",
-    "regain_x": "double", "pattern_disagreed": "boolean", "counterpress_regain": "boolean",
-    "press_before": "boolean", "play_pattern_id": "int", "prev_team_id": "bigint",
-    "end_type": "int", "team_id": "bigint", "period": "int",
-}
-
 
 def declared(df: DataFrame, columns: dict[str, str], *more: str) -> DataFrame:
     return df.select(*[F.col(c).cast(t).alias(c) for c, t in columns.items()], *more)
@@ -99,22 +94,26 @@ def add_match_facts(rows: DataFrame, matches: DataFrame) -> DataFrame:
     )
 
 
-def phase_table(features_: DataFrame, seg: DataFrame, matches: DataFrame) -> DataFrame:
+def phase_table(chains: DataFrame, seg: DataFrame, matches: DataFrame) -> DataFrame:
+    """Chains with their resampled path and match facts.
+
+    A chain without path points starts and ends at the centre spot, so its path repeats it.
+    """
     ours = F.col("team_id") == F.col("chain_team_id")
-    paths = P.resample(P.path_points(seg, CHAIN, ours), CHAIN)
-    empty = F.flatten(F.array_repeat(F.array(F.lit(60.0), F.lit(40.0)), K.PATH_POINTS))
-    rows = features_.join(paths, CHAIN, "left").withColumns(
-        {
-            "path_xy": F.coalesce("path_xy", empty),
-            "phase_id": G.phase_id(F.col("match_id"), F.col("seq")),
-        }
+    ends = chains.select(
+        *CHAIN,
+        F.col("start_x").alias("sx"),
+        F.col("start_y").alias("sy"),
+        F.col("end_x").alias("ex"),
+        F.col("end_y").alias("ey"),
     )
-    return add_match_facts(rows, matches)
+    paths = P.resample(P.path_points(seg, CHAIN, ours), CHAIN, ends=ends)
+    return add_match_facts(chains.join(paths, CHAIN), matches)
 
 
-def name_events(seg: DataFrame, phases: DataFrame) -> DataFrame:
+def name_events(seg: DataFrame, chains: DataFrame) -> DataFrame:
     """Segmented events of surviving chains with their ``phase_id``."""
-    return join_fragments(seg, phases.select(*CHAIN, "phase_id"), CHAIN, "block")
+    return join_fragments(seg, chains.select(*CHAIN, "phase_id"), CHAIN, "block")
 
 
 def phase_event_rows(named: DataFrame) -> DataFrame:
@@ -149,11 +148,29 @@ def phase_event_rows(named: DataFrame) -> DataFrame:
 def frame_events(named: DataFrame, frames: DataFrame) -> DataFrame:
     """Frames joined to the facts of their events."""
     facts = named.select(
-        "match_id", "event_uuid", "phase_id", "idx", "x", "y", "team_id", "chain_team_id"
+        "match_id", "event_uuid", "phase_id", "idx", F.col("index").alias("event_index"), "x", "y",
+        "team_id", "chain_team_id",
     )
     return FR.frame_scalars(frames).join(facts, ["match_id", "event_uuid"])
 
 
+def by_match(df: DataFrame, order: str) -> DataFrame:
+    """Rows of a match together and in order, a huge match over several tasks.
+
+    A plain hash exchange: unlike a range exchange it needs no sampling pass over the input.
+    """
+    return (
+        df.repartition("match_id", block_of(F.col(order)))
+        .sortWithinPartitions("match_id", order)
+    )
+
+
+def in_parallel(*jobs: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Run independent writes at the same time, so that no core waits for another's last task."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(j) for j in jobs]]
+
+
 def build(
     events: DataFrame,
     frames: DataFrame,
@@ -162,34 +179,30 @@ def build(
     thr: K.Thresholds = K.Thresholds(),
 ) -> Tables:
     """Build and write every table under ``out``."""
-    spark = events.sparkSession
-    matches = storage.save(matches.coalesce(1), f"{out}/matches")
-    seg = storage.save(segment(mark_frames(events, frames)), f"{out}/segmented")
-    chains = storage.save(
-        features.build_features(features.aggregate_chains(seg, thr), seg, thr), f"{out}/chains"
-    )
-    wide = phase_table(chains, seg, matches)
-    phases = storage.save(
-        declared(wide, PHASE_COLUMNS, "start_index")
-        .repartitionByRange("match_id", "seq")
-        .sortWithinPartitions("match_id", "seq"),
-        f"{out}/phases",
-    )
-    named = name_events(seg, phases)
-    phase_events = storage.save(
-        declared(phase_event_rows(named), EVENT_COLUMNS, "match_id")
-        .repartitionByRange("match_id", "event_index")
-        .sortWithinPartitions("match_id", "event_index"),
-        f"{out}/phase_events",
-        partition_by="match_id",
+    matches, seg = in_parallel(
+        lambda: storage.save(matches.coalesce(1), f"{out}/matches"),
+        lambda: storage.save(segment(mark_frames(events, frames)), f"{out}/segmented"),
     )
-    phase_frames = storage.save(
-        declared(FR.canonicalize(frame_events(named, frames)), FRAME_COLUMNS, "match_id")
-        .repartitionByRange("match_id", "phase_id", "idx")
-        .sortWithinPartitions("match_id", "phase_id", "idx"),
-        f"{out}/phase_frames",
-        partition_by="match_id",
+    rows = features.build_features(features.aggregate_chains(seg, thr), seg, thr)
+    chains = storage.save(
+        rows.withColumn("phase_id", G.phase_id(F.col("match_id"), F.col("seq"))), f"{out}/chains"
     )
+
+    def write_phases() -> DataFrame:
+        rows = declared(phase_table(chains, seg, matches), PHASE_COLUMNS, "start_index")
+        return storage.save(by_match(rows, "seq"), f"{out}/phases")
+
+    def write_events() -> DataFrame:
+        rows = declared(phase_event_rows(name_events(seg, chains)), EVENT_COLUMNS, "match_id")
+        return storage.save(by_match(rows, "event_index"), f"{out}/phase_events", "match_id")
+
+    def write_frames() -> DataFrame:
+        framed = FR.canonicalize(frame_events(name_events(seg, chains), frames))
+        rows = declared(framed, FRAME_COLUMNS, "match_id", "event_index")
+        placed = by_match(rows, "event_index").drop("event_index")
+        return storage.save(placed, f"{out}/phase_frames", "match_id")
+
+    phases, phase_events, phase_frames = in_parallel(write_phases, write_events, write_frames)
     vectors = storage.save(
         similar.phase_vectors(phases, similar.fit_moments(phases), "phase_id"), f"{out}/similarity"
     )

@@ -118,7 +118,7 @@ def filters_sql() -> str:
 def orders_sql() -> str:
     return B.on("phases", f"""
 SELECT f.request_id, coalesce(n, 0) AS n_filters, {_ORDER} AS order_field, CASE WHEN {_ORDER} IS NOT NULL THEN 'desc' END AS order_dir,
-  coalesce(least(greatest(floor(top_n::DOUBLE), 1), 96), 48)::BIGINT AS max_rows, array_to_string({_DROPPED}, '; ') AS dropped
+  (CASE WHEN top_n IS NULL THEN 48 ELSE least(greatest(floor(top_n::DOUBLE), 1), 96) END)::BIGINT AS max_rows, array_to_string({_DROPPED}, '; ') AS dropped
 FROM facts f LEFT JOIN (SELECT request_id, count(*) AS n FROM found GROUP BY 1) c ON f.request_id = c.request_id""", _LOG, _BASE, _FILTERS)
 
 

@@ -249,7 +249,8 @@ def parse_requests(requests: DataFrame, teams: DataFrame, competitions=COMPETITI
         f"array_compact(array({', '.join(slots)})) AS filters",
         f"CASE {order} END AS order_field",
         f"CASE WHEN {' OR '.join(_has(*n) for _, n in ORDER_PHRASES)} THEN 'desc' END AS order_dir",
-        "CAST(coalesce(least(greatest(floor(CAST(top_n AS DOUBLE)), 1), 96), 48) AS INT) AS limit",
+        "CAST(CASE WHEN top_n IS NULL THEN 48"
+        " ELSE least(greatest(floor(CAST(top_n AS DOUBLE)), 1), 96) END AS INT) AS limit",
         f"array_compact(array({', '.join(dropped)})) AS dropped",
     )
 

@@ -342,7 +342,10 @@ SQL["quality_checks"] = on("all", "SELECT *, bad_rows = 0 AS passed FROM (" + "
     for table, checks in _SETS.items() for name, bad in checks.items()) + ")")
 SQL["quality_manifest"] = on("all", " UNION ALL ".join(
     f"SELECT 'manifest_{n}' AS check_id, 0::BIGINT AS bad_rows, count(*) AS total_rows FROM {t}"
-    for n, t in (("matches", "matches"), ("phases", "phases"), ("phase_events", "pe"), ("phase_frames", "pf"), ("similarity", "sim"))))
+    for n, t in (("matches", "matches"), ("phases", "phases"), ("phase_events", "pe"), ("phase_frames", "pf"), ("similarity", "sim")))
+    + " UNION ALL " + " UNION ALL ".join(
+    f"SELECT '{c}', count(*) FILTER (match_id NOT IN (SELECT match_id FROM {t})), count(*) FROM matches"
+    for c, t in (("match_has_events", "pe"), ("match_has_frames", "pf"))))
 SQL["goal_balance"] = on("phase_events", """
 SELECT g.competition, scored, conceded, goal_shots, own_goals FROM
  (SELECT competition, count(*) FILTER (outcome = 'goal') AS scored, count(*) FILTER (goal_conceded) AS conceded FROM phases GROUP BY 1) g

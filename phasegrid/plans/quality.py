@@ -39,13 +39,25 @@ def _row_checks(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     )
 
 
-def _counted(check_id: str, bad: DataFrame, total: DataFrame) -> DataFrame:
-    """A check whose bad rows come from a join; both sides reduce to one row."""
-    b = bad.agg(F.count("*").alias("bad_rows"))
-    t = total.agg(F.count("*").alias("total_rows"))
-    return b.join(F.broadcast(t), F.lit(True)).select(
-        F.lit(check_id).alias("check_id"), "bad_rows", "total_rows"
-    )
+def _named(check_id: str, df: DataFrame, bad: Column, total: Column | None = None) -> DataFrame:
+    """One check from one aggregate over ``df``."""
+    counted = F.count("*") if total is None else total
+    return df.agg(
+        F.count_if(F.coalesce(bad, F.lit(False))).alias("bad_rows"), counted.alias("total_rows")
+    ).select(F.lit(check_id).alias("check_id"), "bad_rows", "total_rows")
+
+
+def _orphans(check_id: str, left: DataFrame, right: DataFrame, *key: str) -> DataFrame:
+    """Rows of ``left`` without a partner: one left join gives both the bad and the total count."""
+    known = right.select(*key).distinct().withColumn("_hit", F.lit(True))
+    joined = left.select(*key).join(known, list(key), "left")
+    return _named(check_id, joined, F.col("_hit").isNull())
+
+
+def _unique(check_id: str, df: DataFrame, key: str) -> DataFrame:
+    """Keys that occur more than once."""
+    sizes = df.groupBy(key).agg(F.count("*").alias("n"))
+    return _named(check_id, sizes, F.col("n") > 1, F.coalesce(F.sum("n"), F.lit(0)))
 
 
 def phase_checks(phases: DataFrame) -> DataFrame:
@@ -147,55 +159,42 @@ def vector_checks(similarity: DataFrame) -> DataFrame:
 
 def link_checks(t) -> DataFrame:
     """Referential checks: anti-joins and uniqueness."""
-    phases, matches = t.phases, t.matches
-    ids = phases.select("phase_id")
-    teams = phases.join(matches.select("match_id", "home_team_id", "away_team_id"), "match_id")
+    phases, matches, events = t.phases, t.matches, t.phase_events
+    teams = phases.select("match_id", "team_id", "opponent_id").join(
+        matches.select("match_id", "home_team_id", "away_team_id"), "match_id"
+    )
     pair = [F.col("home_team_id"), F.col("away_team_id")]
     wrong_team = (
         ~F.col("team_id").isin(*pair)
         | ~F.col("opponent_id").isin(*pair)
         | (F.col("team_id") == F.col("opponent_id"))
     )
-    key3 = ["phase_id", "idx", "event_uuid"]
-    framed = t.phase_events.filter(~F.col("has_frame")).join(
-        t.phase_frames.select("phase_id", "idx"), ["phase_id", "idx"], "left_semi"
-    )
-    doubled = phases.groupBy("phase_id").agg(F.count("*").alias("n")).filter("n > 1")
-    doubled_vec = t.similarity.groupBy("phase_id").agg(F.count("*").alias("n")).filter("n > 1")
-    cover = t.phase_events.groupBy("phase_id").agg(
-        F.avg(F.col("has_frame").cast("double")).alias("seen")
-    )
-    off_cover = cover.join(phases.select("phase_id", "frame_coverage"), "phase_id").filter(
-        F.abs(F.col("seen") - _d("frame_coverage")) >= 1e-6
-    )
+    drawn = t.phase_frames.select("phase_id", "idx", F.lit(True).alias("_drawn"))
+    claimed = events.select("phase_id", "idx", "has_frame").join(drawn, ["phase_id", "idx"], "left")
+    cover = events.groupBy("phase_id").agg(F.avg(F.col("has_frame").cast("double")).alias("seen"))
+    stored = phases.select("phase_id", "frame_coverage").join(cover, "phase_id", "left")
     ours = F.col("team_side") == "in_possession"
-    goals = t.phase_events.filter(
+    goals = events.filter(
         (ours & (F.col("type_id") == K.SHOT) & (F.col("outcome_name") == "Goal"))
         | (~ours & (F.col("type_id") == K.OWN_GOAL_AGAINST))
-    ).select("phase_id")
+    )
     scored = phases.filter(F.col("outcome") == "goal")
     checks = [
-        _counted("phase_id_unique", doubled, phases),
-        _counted("phase_has_match", phases.join(matches, "match_id", "left_anti"), phases),
-        _counted("match_has_phases", matches.join(phases, "match_id", "left_anti"), matches),
-        _counted("team_in_match", teams.filter(wrong_team), phases),
-        _counted(
-            "event_has_phase", t.phase_events.join(ids, "phase_id", "left_anti"), t.phase_events
-        ),
-        _counted(
-            "frame_has_event",
-            t.phase_frames.join(t.phase_events.select(*key3), key3, "left_anti"),
-            t.phase_frames,
-        ),
-        _counted("frame_where_claimed", framed, t.phase_events),
-        _counted(
-            "phase_has_vector",
-            ids.join(t.similarity.select("phase_id"), "phase_id", "left_anti"),
-            phases,
+        _unique("phase_id_unique", phases, "phase_id"),
+        _unique("vector_unique", t.similarity, "phase_id"),
+        _orphans("phase_has_match", phases, matches, "match_id"),
+        _orphans("match_has_phases", matches, phases, "match_id"),
+        _orphans("event_has_phase", events, phases, "phase_id"),
+        _orphans("frame_has_event", t.phase_frames, events, "phase_id", "idx", "event_uuid"),
+        _orphans("phase_has_vector", phases, t.similarity, "phase_id"),
+        _orphans("goal_has_event", scored, goals, "phase_id"),
+        _named("team_in_match", teams, wrong_team),
+        _named("frame_where_claimed", claimed, ~F.col("has_frame") & F.col("_drawn")),
+        _named(
+            "coverage_recomputed",
+            stored,
+            F.abs(F.col("seen") - _d("frame_coverage")) >= 1e-6,
         ),
-        _counted("vector_unique", doubled_vec, t.similarity),
-        _counted("coverage_recomputed", off_cover, phases),
-        _counted("goal_has_event", scored.join(goals, "phase_id", "left_anti"), scored),
     ]
     return reduce(DataFrame.unionByName, checks)
 
@@ -263,7 +262,7 @@ def self_nearest(similarity: DataFrame) -> DataFrame:
 
 
 def manifest_checks(t, manifest: DataFrame) -> DataFrame:
-    """Manifest counts equal table counts."""
+    """Manifest counts equal table counts, and every match has its event and frame rows."""
     names = ("matches", "phases", "phase_events", "phase_frames", "similarity")
     counts = reduce(
         DataFrame.unionByName,
@@ -272,11 +271,14 @@ def manifest_checks(t, manifest: DataFrame) -> DataFrame:
             for n in names
         ],
     )
-    return counts.join(manifest, "item", "left").select(
+    equal = counts.join(manifest, "item", "left").select(
         F.concat(F.lit("manifest_"), F.col("item")).alias("check_id"),
         F.when(F.col("rows") == F.col("value"), 0).otherwise(1).cast("long").alias("bad_rows"),
         F.col("rows").alias("total_rows"),
     )
+    return equal.unionByName(
+        _orphans("match_has_events", t.matches, t.phase_events, "match_id")
+    ).unionByName(_orphans("match_has_frames", t.matches, t.phase_frames, "match_id"))
 
 
 def run_checks(t) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import tempfile
 import uuid
 
@@ -11,38 +10,31 @@ from pyspark.sql import DataFrame, SparkSession
 ROWS_PER_BLOCK = 65_536
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for work tables: ``spark.checkpoint.dir`` of the session.
 
     Only a local session without that setting (tests) gets a folder of its own.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
         "spark.checkpoint.dir"
     )
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="phasegrid-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/phasegrid-{spark.sparkContext.applicationId}"
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="phasegrid-")
+        folder = _LOCAL[context.applicationId]
+    return f"{folder.rstrip('/')}/phasegrid-{context.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def keyed_path(spark: SparkSession, name: str, *parts: str) -> str:
-    digest = hashlib.sha256("|".join(parts).encode()).hexdigest()[:16]
-    return f"{work_dir(spark)}/{name}-{digest}"
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """True once ``path`` holds a completely written table (its success marker is there)."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
 def save(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
     """Write a table once and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

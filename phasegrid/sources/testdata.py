@@ -39,19 +39,16 @@ def _dbl(expr: str, divisor: int) -> str:
 
 def flat_events(spark: SparkSession, ordered: DataFrame) -> DataFrame:
     """Flat events of the view (same columns as ``sources.raw_json.flatten_events``)."""
-    sized = ordered.join(
-        ordered.groupBy("match_id").agg(F.count("*").alias("n_match")), "match_id"
-    )
     # (ts, event_id) is the order inside a slice; the struct keeps it one sortable column.
-    sized = sized.withColumn("pos", F.struct("ts", "event_id"))
     ranked = ordered_scan(
-        sized,
+        ordered.withColumn("pos", F.struct("ts", "event_id")),
         ["match_id"],
         "pos",
         sums={
             "idx": F.lit(1),
             "breaks": F.expr("CASE WHEN (event_id * 7919) % 13 < 3 THEN 1 ELSE 0 END"),
         },
+        totals={"n_match": F.lit(1)},
         block="slice",
     )
     # Period borders are closed forms of the match size, so no further window is needed.

@@ -45,6 +45,16 @@ FRAME_COLUMNS = {
     "visible_area": "array<float>",
 }
 
+# What the published tables need of a flat event; anything else stays behind before the shuffles.
+EVENT_INPUT = (
+    "match_id", "index", "event_uuid", "period", "possession", "possession_team_id", "team_id",
+    "team_name", "ts_s", "minute", "second", "duration", "type_id", "type_name",
+    "play_pattern_id", "player_id", "player_name", "position_name", "x", "y", "end_x", "end_y",
+    "end_z", "outcome_id", "outcome_name", "sub_type_id", "xg", "under_pressure", "counterpress",
+    "is_out", "pass_switch", "recovery_failure", "save_block", *K.PROBE_LABELS,
+)
+
+
 def declared(df: DataFrame, columns: dict[str, str], *more: str) -> DataFrame:
     return df.select(*[F.col(c).cast(t).alias(c) for c, t in columns.items()], *more)
 
@@ -181,7 +191,9 @@ def build(
     """Build and write every table under ``out``."""
     matches, seg = in_parallel(
         lambda: storage.save(matches.coalesce(1), f"{out}/matches"),
-        lambda: storage.save(segment(mark_frames(events, frames)), f"{out}/segmented"),
+        lambda: storage.save(
+            segment(mark_frames(events.select(*EVENT_INPUT), frames)), f"{out}/segmented"
+        ),
     )
     rows = features.build_features(features.aggregate_chains(seg, thr), seg, thr)
     chains = storage.save(

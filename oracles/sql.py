@@ -495,7 +495,6 @@ sims_{mode} AS (
 
 for _mode in ("generous", "strict"):
     SQL[f"half_ranks_{_mode}"] = on("phase_events", f"SELECT id, {d('rank')} FROM ranks_{_mode}", _HP, _half_vectors(_mode), _ranks(_mode))
-_METRIC = "count(*) AS n, {mrr}, {r1}, {r10}, {med}"
 _MCOLS = f"count(*) AS n, {d('avg(1.0 / rank)', 6, 'mrr')}, {d('avg((rank <= 1)::INT)', 6, 'recall_1')}, {d('avg((rank <= 10)::INT)', 6, 'recall_10')}, {d('median(rank)', 6, 'median_rank')}"
 _BOTH = (_HP, _half_vectors("generous"), _half_vectors("strict"), _ranks("generous"), _ranks("strict"))
 SQL["retrieval_metrics"] = on("phase_events", " UNION ALL ".join(f"SELECT '{m}' AS mode, {_MCOLS} FROM ranks_{m}" for m in ("generous", "strict")), *_BOTH)

@@ -494,15 +494,21 @@ def saved_phrases(t):
 
 # Charts, calibration, definition tables ----------------------------------------------------------
 
-for _fn, _digits in (
-    (RP.outcome_mix, 6), (RP.xg_histogram, 4), (RP.start_zone_map, 6),
-    (RP.duration_progression_grid, 4), (RP.regain_deciles, 4), (RP.regain_bands, 4),
-    (RP.regain_value, 4), (RP.flag_totals, 4), (RP.start_type_shares, 6),
-    (RP.outcome_shares, 5), (RP.competition_counts, 4), (RP.phases_per_match, 4),
+def _on_phases(report: Callable[[DataFrame], DataFrame], digits: int = 4) -> None:
+    """Register a report over the phase table under its own name."""
+    QUERIES[report.__name__] = lambda spark, sf: tidy(
+        report(testdata_tables(spark, sf).phases), digits
+    )
+
+
+for _report in (
+    RP.xg_histogram, RP.duration_progression_grid, RP.regain_deciles, RP.regain_bands,
+    RP.regain_value, RP.flag_totals, RP.competition_counts, RP.phases_per_match,
 ):
-    QUERIES[_fn.__name__] = (
-        lambda fn, digits: lambda spark, sf: tidy(fn(testdata_tables(spark, sf).phases), digits)
-    )(_fn, _digits)
+    _on_phases(_report)
+for _report in (RP.outcome_mix, RP.start_zone_map, RP.start_type_shares):
+    _on_phases(_report, 6)
+_on_phases(RP.outcome_shares, 5)
 
 
 @on_tables()

@@ -75,6 +75,7 @@ UNSUPPORTED = (
     ("role (no player or role columns in the index)",
      rf"{_B}keeper{_E}|{_B}goalkeeper{_E}|{_B}manager{_E}|{_B}coach{_E}"),
 )
+# Patterns of a person's name and of a named starting zone.
 _PLAYER = (
     rf"{_B}(?:by|from|for)\s+([A-Z][a-zà-ÿ'’-]+(?:\s+[A-Z][a-zà-ÿ'’-]+)+)"
 )

@@ -190,7 +190,7 @@ def build(
 ) -> Tables:
     """Build and write every table under ``out``."""
     matches, seg = in_parallel(
-        lambda: storage.save(matches.coalesce(1), f"{out}/matches"),
+        lambda: storage.save(matches, f"{out}/matches"),
         lambda: storage.save(
             segment(mark_frames(events.select(*EVENT_INPUT), frames)), f"{out}/segmented"
         ),

@@ -22,6 +22,15 @@ def block_of(order: Column, bits: int | None = None) -> Column:
     return F.shiftright(order.cast("long"), BLOCK_BITS if bits is None else bits)
 
 
+def spans_blocks(df: DataFrame, order: str) -> bool:
+    """Does any key reach past its first block?  One probe, answered by file statistics.
+
+    Orders start near 0, so no order value at or above the block size means one block per key:
+    the plain window then gives the same rows without the carry branch.
+    """
+    return not df.filter(F.col(order) >= F.lit(1 << BLOCK_BITS)).select(order).isEmpty()
+
+
 def ordered_scan(
     df: DataFrame,
     key: Sequence[str],
@@ -35,13 +44,15 @@ def ordered_scan(
     totals: Mapping[str, Column] | None = None,
     block: str | None = None,
     bits: int | None = None,
+    split: bool = True,
 ) -> DataFrame:
     """Add running values over ``order`` within ``key``.
 
     ``lag`` / ``lead``: value of the previous / next row.  ``sums``: running sum including the row.  ``last``: last
     non-null value up to the row.  ``maxima``: running maximum.  ``totals``: sum over the whole
     key.  ``order`` must be unique within a key.  ``block`` names an existing order-preserving
-    block column for orders that are not integers.
+    block column for orders that are not integers.  ``split=False`` skips the carry where
+    ``spans_blocks`` has shown that every key fits into one block.
     """
     lag, lead = dict(lag or {}), dict(lead or {})
     sums, last = dict(sums or {}), dict(last or {})
@@ -70,6 +81,18 @@ def ordered_scan(
         local[f"_run_{n}"] = F.last(f"_in_{n}", ignorenulls=True).over(run)
     for n in maxima:
         local[f"_run_{n}"] = F.max(f"_in_{n}").over(run)
+    if not split:
+        everything = Window.partitionBy(*keys, bcol)
+        for n in totals:
+            local[f"_carry_{n}"] = F.sum(f"_in_{n}").over(everything)
+        alone = src.withColumns(local)
+        kept = [F.col(c) for c in df.columns if not any(c in part for part in parts)]
+        values = [F.col(f"_lag.{n}").alias(n) for n in lag]
+        values += [F.col(f"_lead.{n}").alias(n) for n in lead]
+        values += [F.coalesce(F.col(f"_run_{n}"), F.lit(0)).alias(n) for n in sums]
+        values += [F.col(f"_run_{n}").alias(n) for n in [*last, *maxima]]
+        values += [F.col(f"_carry_{n}").alias(n) for n in totals]
+        return alone.select(*kept, *values)
 
     aggs = []
     if lag:
@@ -136,11 +159,16 @@ def ordered_scan(
     return joined.select(*base, *[c.alias(n) for n, c in out.items()])
 
 
-def join_fragments(rows: DataFrame, per_key: DataFrame, key: Sequence[str], block: str) -> DataFrame:
+def join_fragments(
+    rows: DataFrame, per_key: DataFrame, key: Sequence[str], block: str, split: bool = True
+) -> DataFrame:
     """Add per-key facts to detail rows over (key, block) fragments.
 
     The detail side joins on keys that hold at most one block of rows each, so one huge key does
-    not end up in one task.  Rows whose key has no facts are dropped.
+    not end up in one task.  Rows whose key has no facts are dropped.  ``split=False`` joins on the
+    key itself, for keys known to fit into one block.
     """
+    if not split:
+        return rows.join(per_key, list(key))
     fragments = rows.select(*key, block).distinct().join(per_key, list(key))
     return rows.join(fragments, [*key, block])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from phasegrid import constants as K
 from phasegrid.functions import geometry as G
-from phasegrid.functions.scan import block_of, join_fragments
+from phasegrid.functions.scan import block_of, join_fragments, spans_blocks
 from phasegrid.operators import features, frames as FR, path as P, similar
 from phasegrid.operators.segment import CHAIN, segment
 from phasegrid.sources import storage, testdata
@@ -104,7 +104,9 @@ def add_match_facts(rows: DataFrame, matches: DataFrame) -> DataFrame:
     )
 
 
-def phase_table(chains: DataFrame, seg: DataFrame, matches: DataFrame) -> DataFrame:
+def phase_table(
+    chains: DataFrame, seg: DataFrame, matches: DataFrame, split: bool = True
+) -> DataFrame:
     """Chains with their resampled path and match facts.
 
     A chain without path points starts and ends at the centre spot, so its path repeats it.
@@ -117,13 +119,13 @@ def phase_table(chains: DataFrame, seg: DataFrame, matches: DataFrame) -> DataFr
         F.col("end_x").alias("ex"),
         F.col("end_y").alias("ey"),
     )
-    paths = P.resample(P.path_points(seg, CHAIN, ours), CHAIN, ends=ends)
+    paths = P.resample(P.path_points(seg, CHAIN, ours), CHAIN, ends=ends, split=split)
     return add_match_facts(chains.join(paths, CHAIN), matches)
 
 
-def name_events(seg: DataFrame, chains: DataFrame) -> DataFrame:
+def name_events(seg: DataFrame, chains: DataFrame, split: bool = True) -> DataFrame:
     """Segmented events of surviving chains with their ``phase_id``."""
-    return join_fragments(seg, chains.select(*CHAIN, "phase_id"), CHAIN, "block")
+    return join_fragments(seg, chains.select(*CHAIN, "phase_id"), CHAIN, "block", split)
 
 
 def phase_event_rows(named: DataFrame) -> DataFrame:
@@ -188,28 +190,37 @@ def build(
     out: str,
     thr: K.Thresholds = K.Thresholds(),
 ) -> Tables:
-    """Build and write every table under ``out``."""
+    """Build and write every table under ``out``.
+
+    Two probes choose between the plain window plan and the blockwise one, for matches and for
+    chains; the tables are the same either way.
+    """
+    long_matches = spans_blocks(events, "index")
     matches, seg = in_parallel(
         lambda: storage.save(matches, f"{out}/matches"),
         lambda: storage.save(
-            segment(mark_frames(events.select(*EVENT_INPUT), frames)), f"{out}/segmented"
+            segment(mark_frames(events.select(*EVENT_INPUT), frames), long_matches),
+            f"{out}/segmented",
         ),
     )
-    rows = features.build_features(features.aggregate_chains(seg, thr), seg, thr)
+    long_chains = long_matches and spans_blocks(seg, "idx")
+    rows = features.build_features(features.aggregate_chains(seg, thr), seg, thr, long_matches)
     chains = storage.save(
         rows.withColumn("phase_id", G.phase_id(F.col("match_id"), F.col("seq"))), f"{out}/chains"
     )
 
     def write_phases() -> DataFrame:
-        rows = declared(phase_table(chains, seg, matches), PHASE_COLUMNS, "start_index")
+        rows = declared(phase_table(chains, seg, matches, long_chains), PHASE_COLUMNS, "start_index")
         return storage.save(by_match(rows, "seq"), f"{out}/phases")
 
     def write_events() -> DataFrame:
-        rows = declared(phase_event_rows(name_events(seg, chains)), EVENT_COLUMNS, "match_id")
+        named = name_events(seg, chains, long_chains)
+        rows = declared(phase_event_rows(named), EVENT_COLUMNS, "match_id")
         return storage.save(by_match(rows, "event_index"), f"{out}/phase_events", "match_id")
 
     def write_frames() -> DataFrame:
-        framed = FR.canonicalize(frame_events(name_events(seg, chains), frames))
+        named = name_events(seg, chains, long_chains)
+        framed = FR.canonicalize(frame_events(named, frames))
         rows = declared(framed, FRAME_COLUMNS, "match_id", "event_index")
         placed = by_match(rows, "event_index").drop("event_index")
         return storage.save(placed, f"{out}/phase_frames", "match_id")

@@ -64,7 +64,7 @@ def ordered_scan(
     src = df if block else df.withColumn("_block", block_of(F.col(order), bits))
     src = src.withColumns(inputs)
 
-    w = Window.partitionBy(*keys, bcol).orderBy(order)
+    w = Window.partitionBy(*([*keys, bcol] if split else keys)).orderBy(order)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
 
     def packed(mapping):
@@ -82,7 +82,7 @@ def ordered_scan(
     for n in maxima:
         local[f"_run_{n}"] = F.max(f"_in_{n}").over(run)
     if not split:
-        everything = Window.partitionBy(*keys, bcol)
+        everything = Window.partitionBy(*keys)
         for n in totals:
             local[f"_carry_{n}"] = F.sum(f"_in_{n}").over(everything)
         alone = src.withColumns(local)

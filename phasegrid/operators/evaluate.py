@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from phasegrid import constants as K
 from phasegrid.functions import geometry as G
 from phasegrid.functions import vectors as V
-from phasegrid.functions.scan import block_of, join_fragments, ordered_scan
+from phasegrid.functions.scan import block_of, join_fragments, ordered_scan, spans_blocks
 from phasegrid.operators import path as P
 from phasegrid.operators.quantile import auc, quantiles
 from phasegrid.operators.similar import phase_vectors
@@ -56,8 +56,9 @@ def event_features(events: DataFrame, key: Sequence[str] = ("phase_id",)) -> Dat
         ours().cast("double").alias("side"),
     )
     first = rows.groupBy(*keys).agg(F.min_by("t", "idx").alias("_t0"))
-    rows = join_fragments(rows.withColumn("_b", block_of(F.col("idx"))), first, keys, "_b")
-    timed = ordered_scan(rows, keys, "idx", lag={"_before": F.col("t")}, block="_b")
+    split = spans_blocks(events, "idx")
+    rows = join_fragments(rows.withColumn("_b", block_of(F.col("idx"))), first, keys, "_b", split)
+    timed = ordered_scan(rows, keys, "idx", lag={"_before": F.col("t")}, block="_b", split=split)
     has_loc, has_end = F.col("x").isNotNull(), F.col("end_x").isNotNull()
     gap = F.coalesce(F.col("t") - F.col("_before"), F.lit(0.0))
 
@@ -133,7 +134,9 @@ def split_halves(events: DataFrame, phases: DataFrame) -> DataFrame:
     Eligible: at least 8 events, and at least 2 path events in each half.
     """
     sizes = phases.filter(F.col("n_events") >= MIN_EVENTS).select("phase_id", "n_events")
-    rows = join_fragments(events.withColumn("_b", block_of(F.col("idx"))), sizes, ["phase_id"], "_b")
+    split = spans_blocks(events, "idx")
+    rows = events.withColumn("_b", block_of(F.col("idx")))
+    rows = join_fragments(rows, sizes, ["phase_id"], "_b", split)
     halved = rows.withColumn(
         "half", F.when(F.col("idx") < F.ceil(F.col("n_events") / 2), 1).otherwise(2)
     )
@@ -147,7 +150,8 @@ def split_halves(events: DataFrame, phases: DataFrame) -> DataFrame:
         .filter((F.col("a") >= MIN_HALF_PATH) & (F.col("b") >= MIN_HALF_PATH))
         .select("phase_id")
     )
-    return join_fragments(halved, eligible, ["phase_id"], "_b").select(*events.columns, "half")
+    kept = join_fragments(halved, eligible, ["phase_id"], "_b", split)
+    return kept.select(*events.columns, "half")
 
 
 def slice_features(rows: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -201,7 +205,8 @@ def slice_features(rows: DataFrame, key: Sequence[str]) -> DataFrame:
         F.col("end_x").alias("ex"),
         F.col("end_y").alias("ey"),
     )
-    paths = P.resample(P.path_points(d, keys, mine), keys, ends=ends)
+    split = spans_blocks(rows, "idx")
+    paths = P.resample(P.path_points(d, keys, mine), keys, ends=ends, split=split)
     progression = (F.col("end_x") - F.col("start_x")) * K.YARD_M
     return (
         facts.join(paths, keys)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phasegrid import constants as K
-from phasegrid.functions.scan import block_of, join_fragments, ordered_scan
+from phasegrid.functions.scan import block_of, join_fragments, ordered_scan, spans_blocks
 from phasegrid.sources import storage
 
 KEY = ["phase_id"]
@@ -16,7 +16,7 @@ CURRENT_EPS = 1e-6
 CELL_S = 60.0
 
 
-def ball_points(events: DataFrame) -> DataFrame:
+def ball_points(events: DataFrame, split: bool = True) -> DataFrame:
     """Raw ball points with arrival times and whether each opens a new position."""
     kept = events.filter(
         (F.col("team_side") == "in_possession")
@@ -39,6 +39,7 @@ def ball_points(events: DataFrame) -> DataFrame:
             "was_y": F.when(has_end, F.col("end_y")).otherwise(F.col("y")),
         },
         lead={"next_t": F.col("t")},
+        split=split,
     )
     arrival = F.when(F.col("next_t") > F.col("t"), F.col("next_t")).otherwise(
         F.col("t") + FALLBACK_FLIGHT_S
@@ -71,7 +72,10 @@ def ball_keyframes(events: DataFrame, path: str | None = None) -> DataFrame:
     other's input).
     """
     spark = events.sparkSession
-    numbered = ordered_scan(ball_points(events), KEY, "pos", sums={"run": F.col("opens")})
+    split = spans_blocks(events, "idx")
+    numbered = ordered_scan(
+        ball_points(events, split), KEY, "pos", sums={"run": F.col("opens")}, split=split
+    )
     runs = numbered.groupBy(*KEY, "run").agg(
         F.min("pos").alias("pos"),
         F.min("t").alias("raw_t"),
@@ -79,7 +83,7 @@ def ball_keyframes(events: DataFrame, path: str | None = None) -> DataFrame:
         F.min_by("y", "pos").alias("y"),
     )
     saved = storage.save(runs, path or storage.new_path(spark, "keyframes"))
-    timed = ordered_scan(saved, KEY, "pos", maxima={"t": F.col("raw_t")})
+    timed = ordered_scan(saved, KEY, "pos", maxima={"t": F.col("raw_t")}, split=split)
     return timed.select(*KEY, "pos", "t", "x", "y")
 
 
@@ -99,14 +103,16 @@ def ball_positions(keys: DataFrame, phases: DataFrame, step_s: float = 1.0) -> D
         "last_t",
         F.floor(F.greatest("duration", "last_t", F.lit(0.5)) / step).alias("steps"),
     )
+    split = spans_blocks(keys, "pos")
     linked = ordered_scan(
         keys,
         KEY,
         "pos",
         lag={"pt": F.col("t"), "px": F.col("x"), "py": F.col("y")},
         lead={"nt": F.col("t")},
+        split=split,
     ).withColumn("_b", block_of(F.col("pos")))
-    linked = join_fragments(linked, length, KEY, "_b")
+    linked = join_fragments(linked, length, KEY, "_b", split)
     first, final = F.col("pt").isNull(), F.col("nt").isNull()
     lo = F.when(first, F.lit(0).cast("long")).otherwise(F.floor(F.col("pt") / step))
     hi = F.when(final, F.col("steps")).otherwise(F.ceil(F.col("t") / step))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from phasegrid.llm import bpe, quality, sharding, urls
+from phasegrid.llm import bpe, decontaminate, parity_join, pii, quality, sharding, urls
 from phasegrid.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -39,6 +39,30 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.link_components(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "class_id"
+    )
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = pii.spans_of(table(spark, sf_dir, "documents"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return spans.select(
+        "doc_id", *map(count, pii.KINDS), F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"),
+        pii.span_text(pii.all_spans(F.col("base"), F.col("terms"))).alias("spans"),
+        F.size("terms").cast("long").alias("n_term"),
+    )
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.col("item").alias("item_id"), "start", "n_words", "similarity")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return judged.select(
@@ -80,7 +104,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_sharding": op2_sharding,
+        "op5_jaccard": op5_jaccard,
+        "op7_pii": op7_pii,
         "op8_quality": op8_quality,
+        "op9_decontamination": op9_decontamination,
         "op10_urls": op10_urls,
     }
 

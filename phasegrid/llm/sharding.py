@@ -42,7 +42,7 @@ def shards(df: DataFrame, n_shards: int = 24, seed: int = 17, id_col: str = "doc
         storage.new_path(spark, "shard-rows"),
     )
     total = rows.agg(F.coalesce(F.sum("_copies"), F.lit(0))).first()[0]
-    bits = max(0, (total // ROWS_PER_BUCKET).bit_length())
+    bits = max(6, (total // ROWS_PER_BUCKET).bit_length())
     buckets = 1 << bits
 
     # 1. Rank inside the source: an unsigned hash in buckets of its top bits.

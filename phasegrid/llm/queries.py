@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from phasegrid.llm import bpe, decontaminate, parity_join, pii, quality, sharding, urls
+from phasegrid.llm import bpe, chat, decontaminate, langid, parity_join, pii, quality, sharding, substring, urls
 from phasegrid.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 # The rules of the URL query: host, path, verdict.
 URL_RULES = [
     ("com", "/", "allow"),
@@ -39,12 +40,30 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id", F.size("removed").cast("long").alias("n_spans"),
+        F.aggregate("removed", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"]).alias("removed_chars"),
+        F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("spans"),
+        "text",
+    )
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.link_components(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_shingles", "component_id", "class_id"
     )
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.parse(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "part", "role", "rendered")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = pii.spans_of(table(spark, sf_dir, "documents"))
 
@@ -104,7 +123,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_sharding": op2_sharding,
+        "op3_substring": op3_substring,
+        "op4_langid": op4_langid,
         "op5_jaccard": op5_jaccard,
+        "op6_chat": op6_chat,
         "op7_pii": op7_pii,
         "op8_quality": op8_quality,
         "op9_decontamination": op9_decontamination,

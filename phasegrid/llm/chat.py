@@ -30,7 +30,7 @@ ALIASES = {
 NONE = len(ROLES)
 TURNS_PER_BLOCK, ROWS_PER_BLOCK, ROWS_PER_TASK = 128, 4096, 8192
 # Weight of a marker against everything else: the chance that a marker is wrong.
-MARKER_ERROR = 0.02
+MARKER_ERROR = 0.002
 # Features of a line's text: length class (4) times question mark (2) times list or code sign (2).
 FEATURES = 16
 

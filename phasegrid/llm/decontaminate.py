@@ -113,8 +113,11 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         F.col(text_col).alias("_text"),
     )
     spread = shingle_rows(slim.select("row_key", words_of(F.col("_text")).alias("words")), "words", "row_key")
+    # Written first, so that Spark knows its size: a small benchmark is broadcast before any shuffle
+    # of the documents' shingles is planned, a large one is not.
+    wanted = storage.save(anchors(classes), storage.new_path(spark, "anchors"))
     places = (
-        spread.select("row_key", "pos", "h").join(anchors(classes), "h")
+        spread.select("row_key", "pos", "h").join(wanted, "h")
         .select("row_key", F.struct((F.col("pos") - F.col("item_pos")).alias("start"), "size").alias("place"))
         .groupBy("row_key").agg(F.collect_set("place").alias("places"))
     )

@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from phasegrid.llm import common as C
@@ -38,7 +39,7 @@ CELL_BITS = 22
 COMMON = 64
 # A key that more classes than this share is dealt over several tasks.
 SPLIT = 1 << 18
-KEYS_PER_BUCKET = 2_000_000
+KEYS_PER_BUCKET = 1_000_000
 # Members and payload bytes of a chunk, and members that chunks of one group share.
 CHUNK_MEMBERS, CHUNK_BYTES, SHARED_MEMBERS = 2048, 24 << 20, 64
 
@@ -215,13 +216,21 @@ def _groups(packed: DataFrame) -> DataFrame:
     """gid, cls: classes that share a key.  Equal groups have equal ids."""
 
     def gather(key: tuple, rows: pa.Table) -> pa.Table:
-        keys, classes = [], []
-        for low, refs, who in zip(rows["keys"].to_pylist(), rows["refs"].to_pylist(), rows["classes"].to_pylist(), strict=True):
-            wide = np.zeros((len(low) // 6, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
-            keys.append(wide.view("<u8").ravel())
-            classes.append(np.frombuffer(who, np.int64)[np.frombuffer(refs, "<u4")])
-        body, cls = np.concatenate(keys), np.concatenate(classes)
+        count = pc.divide(pc.binary_length(rows["keys"]), 6).to_numpy().astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(count)])
+        body, cls = np.zeros(at[-1], "<u8"), np.zeros(at[-1], np.int64)
+        for i, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            low = np.frombuffer(rows["keys"][i].as_buffer(), np.uint8).reshape(-1, 6)
+            body[lo:hi].view(np.uint8).reshape(-1, 8)[:, :6] = low
+            who = np.frombuffer(rows["classes"][i].as_buffer(), np.int64)
+            cls[lo:hi] = who[np.frombuffer(rows["refs"][i].as_buffer(), "<u4")]
+        order = np.argsort(body)
+        body = body[order]
+        # Most keys are of one class; only the others are put in full order.
+        same = np.zeros(len(body) + 1, bool)
+        same[1:-1] = body[1:] == body[:-1]
+        many = (same[1:] | same[:-1]) if key[0].as_py() % 256 == 0 else np.ones(len(body), bool)
+        body, cls = body[many], cls[order[many]]
         order = np.lexsort((cls, body))
         body, cls = body[order], cls[order]
         new = np.ones(len(body), bool)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 # Remembered pre-tokens of a worker; when it is full it starts anew, which only costs time.
 CACHE_ENTRIES = 1 << 19
+_MASK = (1 << 64) - 1
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -70,7 +71,9 @@ class PerfectHash:
         self.keys = [keys[i] for i in slots]
 
     def _slot(self, h: int, d: int) -> int:
-        return ((h >> 20) + d * ((h >> 42) | 1)) % self.n
+        x = (h + d * 0x9E3779B97F4A7C15) & _MASK
+        x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & _MASK
+        return (x ^ (x >> 32)) % self.n
 
     def get(self, key: bytes) -> int:
         """Rank of a key, or -1."""
@@ -162,7 +165,7 @@ def _codec(shared, pattern: str) -> Codec:
 def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids",
            keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default: all) of each row and ``ids_col``, the token ids of the whole
-    text as binary little-endian unsigned 32-bit integers (``id_array`` turns them into an array).
+    text as binary little-endian unsigned 32-bit integers (``id_lists`` turns them into arrays).
 
     A null or empty text has no ids.  No special tokens: their strings are ordinary text.  Bytes
     that are not UTF-8 count as U+FFFD.  A column named ``ids_col`` is replaced.
@@ -206,14 +209,18 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", ou
     return source.mapInArrow(run, schema)
 
 
-def id_array(ids: str):
-    """Packed ids as an array<int> column: bytes are read in pairs of hex digits by position."""
-    n = F.octet_length(ids) / 4
-    digits = F.hex(F.col(ids))
+def id_lists(df: DataFrame, ids_col: str = "ids", out_col: str = "id_list") -> DataFrame:
+    """All columns and ``out_col``, the packed ids as array<int>; null ids give an empty array."""
+    kept = [c for c in df.columns if c != out_col]
+    schema = df.select(*kept, F.array().cast("array<int>").alias(out_col)).schema
+    at = kept.index(ids_col)
 
-    def one(i):
-        at = i * 8 + 1
-        order = [F.substring(digits, at + F.lit(k), F.lit(2)) for k in (6, 4, 2, 0)]
-        return F.conv(F.concat(*order), 16, 10).cast("int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(at).cast(pa.large_binary()).fill_null(b"").to_pylist()
+            ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+            values = np.frombuffer(b"".join(ids), "<i4")
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], lists], schema.names)
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), one)).otherwise(F.array().cast("array<int>"))
+    return df.select(*kept).mapInArrow(run, schema)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from phasegrid.llm.common import fresh
 from phasegrid.sources import storage
 
 WORDS = 5
@@ -180,6 +181,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with their columns as they are."""
-    found = contaminated(docs, items, id_col, text_col).select(F.col("row_key").alias("_key")).distinct()
+    name = fresh(docs, "_key")
+    found = contaminated(docs, items, id_col, text_col).select(F.col("row_key").alias(name)).distinct()
     key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-    return docs.withColumn("_key", key).join(found, "_key", "left_anti").select(*docs.columns)
+    return docs.withColumn(name, key).join(found, name, "left_anti").select(*docs.columns)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from phasegrid.llm.common import fresh
 from phasegrid.sources import storage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -188,10 +189,11 @@ def all_spans(base: Column, terms: Column) -> Column:
 
 def redact(text: Column, base: Column, terms: Column) -> Column:
     """The text with values replaced by [KIND], clues cut to two characters and *, or removed."""
+    # Of spans that begin together the longest counts; one that begins inside another is covered.
     own = F.transform(base, lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("by")))
+        s["start"].alias("start"), (-s["end"]).alias("back"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("by")))
     more = F.transform(terms, lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"),
+        s["start"].alias("start"), (-s["end"]).alias("back"), s["end"].alias("end"),
         F.when(s["action"] == "remove", F.lit("[REMOVED]"))
         .otherwise(F.concat(F.substring(text, s["start"] + 1, F.lit(2)), F.lit("*"))).alias("by")))
 
@@ -213,7 +215,8 @@ def redact(text: Column, base: Column, terms: Column) -> Column:
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``df`` with the text redacted; a null text stays null."""
     spans = spans_of(df, id_col, text_col).where(F.size("base") > 0).select("row_key", "base", "terms")
-    spans = spans.dropDuplicates(["row_key"]).withColumnsRenamed({"row_key": "_key", "base": "_base", "terms": "_terms"})
-    keyed = df.withColumn("_key", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
-    text = F.when(F.col("_base").isNotNull(), redact(F.col(text_col), F.col("_base"), F.col("_terms"))).otherwise(F.col(text_col))
-    return keyed.join(spans, "_key", "left").withColumn(text_col, text).select(*df.columns)
+    key, base, terms = (fresh(df, name) for name in ("_key", "_base", "_terms"))
+    spans = spans.dropDuplicates(["row_key"]).withColumnsRenamed({"row_key": key, "base": base, "terms": terms})
+    keyed = df.withColumn(key, F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
+    text = F.when(F.col(base).isNotNull(), redact(F.col(text_col), F.col(base), F.col(terms))).otherwise(F.col(text_col))
+    return keyed.join(spans, key, "left").withColumn(text_col, text).select(*df.columns)

@@ -82,6 +82,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     spark = df.sparkSession
     df = df.select(*[c for c in df.columns if c != "removed"])
+    name, cuts = C.fresh(df, "_key"), C.fresh(df, "_cut")
     key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
     slim = df.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.col(text_col).alias("text"))
     found = storage.save(runs(slim), storage.new_path(spark, "runs"))
@@ -92,10 +93,9 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     later = (
         found.join(repeated, "hash")
         .where((F.col("key") != F.col("first.key")) | (F.col("pos") != F.col("first.pos")))
-        .groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("_cut"))
-        .withColumnRenamed("key", "_key")
+        .groupBy(F.col("key").alias(name)).agg(F.sort_array(F.collect_set("pos")).alias(cuts))
     )
-    joined = df.withColumn("_key", key).join(later, "_key", "left").select(*df.columns, "_cut")
+    joined = df.withColumn(name, key).join(later, name, "left").select(*df.columns, cuts)
     none = F.array().cast("array<struct<start:int,end:int>>")
     schema = df.withColumn("removed", none).schema
     at_text, width = df.columns.index(text_col), len(df.columns)

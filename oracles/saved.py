@@ -17,7 +17,10 @@ saved AS (
     {'k': 4, 'field': 'period', 'op': 'eq', 'v': [period::VARCHAR]},
     {'k': 5, 'field': 'duration_s', 'op': CASE WHEN seq % 5 = 0 THEN 'between' ELSE 'gte' END, 'v': CASE WHEN seq % 5 = 0 THEN ['2.25', '30.0'] ELSE ['7.125'] END},
     {'k': 6, 'field': 'outcome', 'op': 'eq', 'v': [outcome]},
-    {'k': 7, 'field': 'team_name', 'op': 'neq', 'v': ['Team 3']}] AS fs
+    {'k': 7, 'field': 'team_name', 'op': 'neq', 'v': ['Team 3']},
+    {'k': 8, 'field': 'match_id', 'op': 'eq', 'v': [(38693780 + seq % 2)::VARCHAR]},
+    {'k': 9, 'field': 'team_name', 'op': 'in', 'v': CASE WHEN seq % 2 = 0 THEN ['A,B', 'C'] ELSE ['A', 'B,C'] END},
+    {'k': 10, 'field': 'end_zone', 'op': 'in', 'v': ['mid_third_left', 'def_third_right', 'def_third_right']}] AS fs
   FROM phases
 ), flt AS (SELECT query_id, order_field, order_dir, f.k, f.field, f.op, f.v FROM (SELECT *, unnest(fs) AS f FROM saved))"""
 _RANGES = ["duration_s", "n_passes", "progression_m", "xg", "pressure_events", "direct_speed_m_s", "minute"]
@@ -38,29 +41,29 @@ bounds AS (
   SELECT query_id, field, CASE WHEN field IN {_INTS} THEN floor(low::DOUBLE + 0.5)::BIGINT::VARCHAR ELSE low END AS low,
     CASE WHEN field IN {_INTS} THEN floor(high::DOUBLE + 0.5)::BIGINT::VARCHAR ELSE high END AS high FROM bounds
 ), parts AS (
-  SELECT query_id, 0 AS c, k AS o, field, op, array_to_string(v, ',') AS values FROM flt
+  SELECT query_id, 0 AS c, k AS o, field, op, v FROM flt
   WHERE NOT ((list_contains({_list(_BOOLS)}, field) AND op IN ('eq', 'neq')) OR (list_contains({_list(_ENUMS)}, field) AND op IN ('eq', 'in'))
     OR (list_contains({_list(_RANGES)}, field) AND op IN ('gte', 'lte', 'between')))
   UNION ALL
-  SELECT query_id, 1, list_position({_list(_BOOLS)}, field), field, 'eq', last(CASE WHEN (op = 'eq') = (v[1] = 'true') THEN 'true' ELSE 'false' END ORDER BY k)
+  SELECT query_id, 1, list_position({_list(_BOOLS)}, field), field, 'eq', [last(CASE WHEN (op = 'eq') = (v[1] = 'true') THEN 'true' ELSE 'false' END ORDER BY k)]
   FROM flt WHERE list_contains({_list(_BOOLS)}, field) AND op IN ('eq', 'neq') GROUP BY query_id, field
   UNION ALL
-  SELECT query_id, 2, list_position({_list(_ENUMS)}, field), field, CASE WHEN len(v) = 1 THEN 'eq' ELSE 'in' END, array_to_string(v, ',')
+  SELECT query_id, 2, list_position({_list(_ENUMS)}, field), field, CASE WHEN len(v) = 1 THEN 'eq' ELSE 'in' END, v
   FROM (SELECT query_id, field, last(v ORDER BY k) AS v FROM flt WHERE list_contains({_list(_ENUMS)}, field) AND op IN ('eq', 'in') GROUP BY 1, 2)
   UNION ALL
   SELECT query_id, 3, list_position({_list(_RANGES)}, field), field, CASE WHEN low IS NULL THEN 'lte' WHEN high IS NULL THEN 'gte' ELSE 'between' END,
-    concat_ws(',', low, high) FROM fixed
-), canon AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY c, o) - 1 AS "at", field, op, values FROM parts)"""
+    list_filter([low, high], lambda x: x IS NOT NULL) FROM fixed
+), canon AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY c, o) - 1 AS "at", field, op, v FROM parts)"""
 
 
 def canonical_sql() -> str:
-    return B.on("phases", "SELECT * FROM canon", _SAVED, _CANON)
+    return B.on("phases", "SELECT query_id, \"at\", field, op, array_to_string(v, ',') AS values FROM canon", _SAVED, _CANON)
 
 
 def groups_sql() -> str:
     return B.on("phases", """
-SELECT count(*) AS n_saved, min(query_id) AS first_query FROM (
-  SELECT c.query_id, string_agg(field || '|' || op || '|' || values, ';' ORDER BY field, op) AS k, any_value(coalesce(order_field || '|' || order_dir, '')) AS o
+SELECT sha256(to_json({'f': k, 'o': o})::VARCHAR) AS query_key, count(*) AS n_saved, min(query_id) AS first_query FROM (
+  SELECT c.query_id, list_sort(list(field || '|' || op || '|' || to_json(v)::VARCHAR)) AS k, any_value(coalesce(order_field || '|' || order_dir, '')) AS o
   FROM canon c JOIN saved s ON c.query_id = s.query_id GROUP BY 1) GROUP BY k, o""", _SAVED, _CANON)
 
 
@@ -86,5 +89,6 @@ SELECT query_id, string_agg(phrase, ' / ' ORDER BY k) AS phrases, any_value(orde
         ELSE array_to_string(({said})[1:2], ', ') || ' +' || (len({said}) - 2) || ' more' END
       WHEN 2 THEN 'Passes ≥ ' || v[1] WHEN 3 THEN 'Passes ≤ ' || v[1] WHEN 4 THEN 'Period is ' || v[1]
       WHEN 5 THEN CASE op WHEN 'between' THEN 'Duration 2.25s–30s' ELSE 'Duration ≥ 7.13s' END
-      WHEN 6 THEN 'Outcome is ' || {_OUT} ELSE 'Team is not Team 3' END AS phrase
+      WHEN 6 THEN 'Outcome is ' || {_OUT} WHEN 8 THEN 'Match id is ' || v[1] WHEN 9 THEN 'Team: ' || array_to_string(v, ' or ')
+      WHEN 10 THEN 'End zone: left middle third or right defensive third or right defensive third' ELSE 'Team is not Team 3' END AS phrase
   FROM flt f JOIN saved s ON f.query_id = s.query_id) GROUP BY 1""", _SAVED)

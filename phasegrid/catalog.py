@@ -68,12 +68,12 @@ def on_folder(digits: int = 4):
     return register
 
 
-_SAVED: dict[tuple[int, str], DataFrame] = {}
+_SAVED: dict[tuple[str, str], DataFrame] = {}
 
 
 def written_once(t: Tables, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """A derived table that several queries read, written once per build."""
-    key = (id(t), name)
+    key = (t.path, name)
     if key not in _SAVED:
         _SAVED[key] = storage.save(make(), storage.new_path(t.phases.sparkSession, name))
     return _SAVED[key]
@@ -107,6 +107,73 @@ def nested_json_events(t):
     )
 
 
+@on_tables()
+def json_file_events(t):
+    """The feed's events written as JSON files of their matches, scanned and flattened."""
+    path = storage.new_path(t.phases.sparkSession, "feed-events")
+    raw_json.nest_events(t.events).write.partitionBy("match_id").json(path)
+    flat = raw_json.flatten_events(raw_json.read_events(t.phases.sparkSession, path, lines=True))
+    return flat.select(
+        "match_id", "index", "event_uuid", "period", "ts_s", "type_id", "outcome_id",
+        "sub_type_id", "x", "y", "end_x", "end_y", "end_z", "xg", "under_pressure",
+        "counterpress", "is_out", "pass_switch", "cross", "through_ball", "high_pass",
+        "head_pass", "aerial_won",
+    )
+
+
+@on_tables()
+def json_file_frames(t):
+    """Frames written with an outdated copy before each: the last one in the file counts."""
+    spark, path = t.phases.sparkSession, storage.new_path(t.phases.sparkSession, "feed-frames")
+    frames = t.frames.select("match_id", "event_uuid", "visible_area", "freeze_frame")
+    old = frames.withColumn("visible_area", F.array(F.lit(-1.0)))
+    both = old.withColumn("_v", F.lit(0)).unionByName(frames.withColumn("_v", F.lit(1)))
+    (
+        both.repartition("match_id").sortWithinPartitions("match_id", "_v", "event_uuid")
+        .drop("_v").write.partitionBy("match_id").json(path)
+    )
+    return raw_json.read_frames(spark, path, lines=True).select(
+        "match_id", "event_uuid", F.size("freeze_frame").alias("dots"),
+        F.col("visible_area")[2].alias("area_x"), F.col("freeze_frame")[0]["location"][0].alias("x"),
+    )
+
+
+@on_tables()
+def json_file_matches(t):
+    """The match list written as season files and read back with labels."""
+    path = storage.new_path(t.phases.sparkSession, "feed-matches")
+    nested = t.matches.select(
+        "match_id", "match_date", "kick_off", "home_score", "away_score", "match_week",
+        F.struct(F.lit(10).alias("id"), F.col("stage").alias("name")).alias("competition_stage"),
+        F.struct("home_team_id", "home_team_name").alias("home_team"),
+        F.struct("away_team_id", "away_team_name").alias("away_team"),
+        "competition_id", (F.col("match_id") % 2).alias("season_id"),
+    )
+    nested.write.partitionBy("competition_id", "season_id").json(path)
+    read = raw_json.read_matches(
+        t.phases.sparkSession, path, {(55, 0): "Cup A", (55, 1): "Cup B"}, lines=True
+    )
+    return read.select(
+        "match_id", "competition", "home_team_id", "home_team_name", "away_team_id",
+        "away_team_name", "home_score", "away_score", "label",
+    )
+
+
+@on_tables()
+def json_file_audit(t):
+    """Matches without files and frame files too small, in a feed with such gaps."""
+    spark = t.phases.sparkSession
+    base = storage.new_path(spark, "feed-audit")
+    last = F.col("match_id") % 10
+    events = t.events.groupBy("match_id").agg(F.max("index").alias("index"))
+    events.filter(last != 3).write.partitionBy("match_id").json(f"{base}/events")
+    pad = F.when(last == 7, F.lit("-")).otherwise(F.repeat(F.lit("-"), 2000))
+    frames = t.frames.select("match_id").distinct().withColumn("event_uuid", pad)
+    frames.filter(last != 5).write.partitionBy("match_id").json(f"{base}/frames")
+    folders = {"events": f"{base}/events", "frames": f"{base}/frames"}
+    return raw_json.audit_files(spark, t.matches, folders, 1000).select("match_id", "kind", "problem")
+
+
 @on_tables()
 def match_table(t):
     return t.matches.select(
@@ -254,7 +321,8 @@ def match_splits(t):
 
 @on_tables()
 def build_manifest(t):
-    return RP.manifest(t)
+    """The stored manifest without what depends on the layout."""
+    return RP.stored_manifest(t).filter(~F.col("item").rlike("^(files|bytes|shards)_"))
 
 
 @on_tables()
@@ -462,7 +530,12 @@ def saved_queries(t: Tables) -> DataFrame:
           named_struct('field', 'duration_s', 'op', IF(seq % 5 = 0, 'between', 'gte'), 'values',
             IF(seq % 5 = 0, array('2.25', '30.0'), array('7.125'))),
           named_struct('field', 'outcome', 'op', 'eq', 'values', array(outcome)),
-          named_struct('field', 'team_name', 'op', 'neq', 'values', array('Team 3')))
+          named_struct('field', 'team_name', 'op', 'neq', 'values', array('Team 3')),
+          named_struct('field', 'match_id', 'op', 'eq', 'values', array(CAST(38693780 + seq % 2 AS STRING))),
+          named_struct('field', 'team_name', 'op', 'in', 'values',
+            IF(seq % 2 = 0, array('A,B', 'C'), array('A', 'B,C'))),
+          named_struct('field', 'end_zone', 'op', 'in', 'values',
+            array('mid_third_left', 'def_third_right', 'def_third_right')))
         AS filters""",
         "IF(seq % 3 = 0, 'xg', NULL) AS order_field",
         "IF(seq % 3 = 0, IF(seq % 2 = 0, 'asc', 'desc'), NULL) AS order_dir",
@@ -482,7 +555,7 @@ def saved_canonical(t):
 def saved_groups(t):
     """Saved queries that ask the same question."""
     groups = SV.group_by_key(SV.canonicalize(saved_queries(t)))
-    return groups.select("n_saved", "first_query")
+    return groups.select("query_key", "n_saved", "first_query")
 
 
 @on_tables()
@@ -627,6 +700,11 @@ def shot_direction(t):
     return PR.direction_check(t.events, K.SHOT)
 
 
+@on_tables()
+def keeper_direction(t):
+    return PR.direction_check(t.events, K.GOALKEEPER)
+
+
 @on_tables()
 def turnover_flavours(t):
     return PR.turnover_flavours(t.chains)
@@ -648,7 +726,23 @@ def quality_checks(t):
 
 @on_tables()
 def quality_manifest(t):
-    return Q.manifest_checks(t, RP.manifest(t))
+    return Q.manifest_checks(t, RP.stored_manifest(t))
+
+
+@on_tables()
+def replaced_match_rows(t):
+    """Events per match after two matches of a copied table were replaced by shifted ones."""
+    spark = t.phases.sparkSession
+    path = storage.new_path(spark, "copy")
+    copy = storage.save(t.phase_events, path, "bucket")
+    chosen = t.matches.select("match_id").filter(F.col("match_id").isin(1001, 1003))
+    shifted = t.phase_events.join(chosen, "match_id").withColumn(
+        "t_offset_s", (F.col("t_offset_s") + 100).cast("float")
+    )
+    now = storage.replace_matches(copy, path, shifted, chosen)
+    return now.groupBy("match_id").agg(
+        F.count("*").alias("n"), F.max(F.col("t_offset_s").cast("double")).alias("latest")
+    )
 
 
 @on_tables()
@@ -704,8 +798,9 @@ def nearest_embeddings(spark, sf):
 
 def _embedding_labels(spark, sf):
     rows = embeddings(spark, sf).select(F.col("vec_id").alias("id"), F.col("label").alias("own"))
-    labels = F.explode(F.sequence(F.lit(0), F.lit(9)))
-    return rows.select("id", "own", labels.alias("label")).select(
+    # One array with every label that occurs; a class list, not rows.
+    found = rows.agg(F.array_sort(F.collect_set("own")).alias("labels"))
+    return rows.join(F.broadcast(found)).select("id", "own", F.explode("labels").alias("label")).select(
         "id", F.col("label").cast("string").alias("label"),
         (F.col("own") == F.col("label")).cast("double").alias("value"),
     )
@@ -749,8 +844,8 @@ def padded_windows(t):
     )
     return windows.select("phase_id", "length", F.posexplode(slots).alias("slot", "s")).select(
         "phase_id", "length", "slot", F.col("s.types").alias("type_idx"),
-        F.col("s.mask").alias("mask"), F.col("s.numeric")[0].alias("x"),
-        F.col("s.numeric")[9].alias("dt"),
+        F.col("s.mask").alias("mask"),
+        *[F.col("s.numeric")[i].alias(c) for i, c in enumerate(K.EVENT_CHANNELS)],
     )
 
 
@@ -808,7 +903,7 @@ def reproduction_summary(t):
     stats = SIM.fit_moments(t.phases)
     return E.reproduction_summary(
         E.check_reproduction(t.phase_events, t.phases, t.similarity, stats)
-    ).drop("worst_phase")
+    )
 
 
 @on_tables()

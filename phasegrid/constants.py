@@ -90,6 +90,8 @@ CHANNEL_LABELS = {"left": "Left", "centre": "Centre", "right": "Right"}
 
 # Pitch geometry.
 PITCH_X, PITCH_Y = 120.0, 80.0
+# Margin drawn around the pitch.
+PITCH_PAD = 4.0
 EVENT_MIRROR_X, EVENT_MIRROR_Y = 120.1, 80.1
 MIDDLE_THIRD_X, FINAL_THIRD_X = 40.0, 80.0
 CHANNEL_1, CHANNEL_2 = 80.0 / 3.0, 160.0 / 3.0

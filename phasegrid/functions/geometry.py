@@ -100,12 +100,19 @@ def in_box(x: Column, y: Column) -> Column:
     return (x >= K.BOX_X_MIN) & y.between(K.BOX_Y_MIN, K.BOX_Y_MAX)
 
 
+def _clamp(v: Column, size: float) -> Column:
+    # ``greatest`` and ``least`` skip NULLs, and an unknown position has to stay unknown.
+    held = F.least(F.greatest(v, F.lit(-K.PITCH_PAD)), F.lit(size + K.PITCH_PAD))
+    return F.when(v.isNotNull(), held)
+
+
 def clamp_x(x: Column) -> Column:
-    return F.least(F.greatest(x, F.lit(0.0)), F.lit(K.PITCH_X))
+    """Freeze-frame coordinate held within the drawn margin; NULL stays NULL."""
+    return _clamp(x, K.PITCH_X)
 
 
 def clamp_y(y: Column) -> Column:
-    return F.least(F.greatest(y, F.lit(0.0)), F.lit(K.PITCH_Y))
+    return _clamp(y, K.PITCH_Y)
 
 
 def flag(column: Column) -> Column:

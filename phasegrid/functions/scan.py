@@ -10,6 +10,8 @@ join on (key, block) adds that carry.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,15 +24,6 @@ def block_of(order: Column, bits: int | None = None) -> Column:
     return F.shiftright(order.cast("long"), BLOCK_BITS if bits is None else bits)
 
 
-def spans_blocks(df: DataFrame, order: str) -> bool:
-    """Does any key reach past its first block?  One probe, answered by file statistics.
-
-    Orders start near 0, so no order value at or above the block size means one block per key:
-    the plain window then gives the same rows without the carry branch.
-    """
-    return not df.filter(F.col(order) >= F.lit(1 << BLOCK_BITS)).select(order).isEmpty()
-
-
 def ordered_scan(
     df: DataFrame,
     key: Sequence[str],
@@ -44,15 +37,16 @@ def ordered_scan(
     totals: Mapping[str, Column] | None = None,
     block: str | None = None,
     bits: int | None = None,
-    split: bool = True,
 ) -> DataFrame:
     """Add running values over ``order`` within ``key``.
 
     ``lag`` / ``lead``: value of the previous / next row.  ``sums``: running sum including the row.  ``last``: last
     non-null value up to the row.  ``maxima``: running maximum.  ``totals``: sum over the whole
     key.  ``order`` must be unique within a key.  ``block`` names an existing order-preserving
-    block column for orders that are not integers.  ``split=False`` skips the carry where
-    ``spans_blocks`` has shown that every key fits into one block.
+    block column for orders that are not integers.
+
+    Only blocks that inherit something carry a row, so where every key fits into one block the
+    carry is empty and AQE drops the join at run time.
     """
     lag, lead = dict(lag or {}), dict(lead or {})
     sums, last = dict(sums or {}), dict(last or {})
@@ -64,7 +58,7 @@ def ordered_scan(
     src = df if block else df.withColumn("_block", block_of(F.col(order), bits))
     src = src.withColumns(inputs)
 
-    w = Window.partitionBy(*([*keys, bcol] if split else keys)).orderBy(order)
+    w = Window.partitionBy(*keys, bcol).orderBy(order)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
 
     def packed(mapping):
@@ -81,18 +75,9 @@ def ordered_scan(
         local[f"_run_{n}"] = F.last(f"_in_{n}", ignorenulls=True).over(run)
     for n in maxima:
         local[f"_run_{n}"] = F.max(f"_in_{n}").over(run)
-    if not split:
-        everything = Window.partitionBy(*keys)
-        for n in totals:
-            local[f"_carry_{n}"] = F.sum(f"_in_{n}").over(everything)
-        alone = src.withColumns(local)
-        kept = [F.col(c) for c in df.columns if not any(c in part for part in parts)]
-        values = [F.col(f"_lag.{n}").alias(n) for n in lag]
-        values += [F.col(f"_lead.{n}").alias(n) for n in lead]
-        values += [F.coalesce(F.col(f"_run_{n}"), F.lit(0)).alias(n) for n in sums]
-        values += [F.col(f"_run_{n}").alias(n) for n in [*last, *maxima]]
-        values += [F.col(f"_carry_{n}").alias(n) for n in totals]
-        return alone.select(*kept, *values)
+    whole = Window.partitionBy(*keys, bcol)
+    for n in totals:
+        local[f"_run_{n}"] = F.sum(f"_in_{n}").over(whole)
 
     aggs = []
     if lag:
@@ -123,18 +108,17 @@ def ordered_scan(
         carry.append(F.max(f"_edge_{n}").over(before).alias(f"_carry_{n}"))
     for n in totals:
         carry.append(F.sum(f"_edge_{n}").over(Window.partitionBy(*keys)).alias(f"_carry_{n}"))
+    if totals:
+        carry.append(F.count("*").over(Window.partitionBy(*keys)).alias("_blocks"))
     carried = edges.select(*carry)
-    if not totals:
-        # First blocks inherit nothing; dropping them leaves a table AQE can usually broadcast.
-        tests = [F.col(f"_carry_{n}").isNotNull() for n in [*sums, *last, *maxima]]
-        if lag:
-            tests.append(F.col("_carry_lag").isNotNull())
-        if lead:
-            tests.append(F.col("_carry_lead").isNotNull())
-        keep = tests[0]
-        for t in tests[1:]:
-            keep = keep | t
-        carried = carried.filter(keep)
+    tests = [F.col(f"_carry_{n}").isNotNull() for n in [*sums, *last, *maxima]]
+    if lag:
+        tests.append(F.col("_carry_lag").isNotNull())
+    if lead:
+        tests.append(F.col("_carry_lead").isNotNull())
+    if totals:
+        tests.append(F.col("_blocks") > 1)
+    carried = carried.filter(reduce(or_, tests)).drop("_blocks")
 
     joined = src.withColumns(local).join(carried, [*keys, bcol], "left")
     out: dict[str, Column] = {}
@@ -154,21 +138,23 @@ def ordered_scan(
     for n in maxima:
         out[n] = F.greatest(F.col(f"_run_{n}"), F.col(f"_carry_{n}"))
     for n in totals:
-        out[n] = F.col(f"_carry_{n}")
+        out[n] = F.coalesce(F.col(f"_carry_{n}"), F.col(f"_run_{n}"))
     base = [F.col(c) for c in df.columns if c not in out]
     return joined.select(*base, *[c.alias(n) for n, c in out.items()])
 
 
 def join_fragments(
-    rows: DataFrame, per_key: DataFrame, key: Sequence[str], block: str, split: bool = True
+    rows: DataFrame, per_key: DataFrame, key: Sequence[str], block: str, size: str | None = None
 ) -> DataFrame:
     """Add per-key facts to detail rows over (key, block) fragments.
 
     The detail side joins on keys that hold at most one block of rows each, so one huge key does
-    not end up in one task.  Rows whose key has no facts are dropped.  ``split=False`` joins on the
-    key itself, for keys known to fit into one block.
+    not end up in one task.  Rows whose key has no facts are dropped.  ``size`` names a column of
+    ``per_key`` above every order value of the key: the facts are then repeated for each block it
+    spans, and the detail rows are read once; otherwise the fragments are counted first.
     """
-    if not split:
-        return rows.join(per_key, list(key))
+    if size:
+        spread = F.explode(F.sequence(F.lit(0).cast("long"), block_of(F.greatest(F.col(size), F.lit(1)) - 1)))
+        return rows.join(per_key.withColumn(block, spread), [*key, block])
     fragments = rows.select(*key, block).distinct().join(per_key, list(key))
     return rows.join(fragments, [*key, block])

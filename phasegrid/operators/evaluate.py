@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from phasegrid import constants as K
 from phasegrid.functions import geometry as G
 from phasegrid.functions import vectors as V
-from phasegrid.functions.scan import block_of, join_fragments, ordered_scan, spans_blocks
+from phasegrid.functions.scan import block_of, join_fragments, ordered_scan
 from phasegrid.operators import path as P
 from phasegrid.operators.quantile import auc, quantiles
 from phasegrid.operators.similar import phase_vectors
@@ -21,7 +21,7 @@ from phasegrid.sources import storage
 MIN_TRAIN_EVENTS = 4
 MIN_EVENTS, MIN_HALF_PATH = 8, 2
 SPEED_FLOOR_S = 0.05
-PAIR_BLOCK_ROWS = 2048
+PAIR_BLOCK_ROWS = 4096
 SIM_DIGITS = 6
 
 
@@ -55,10 +55,11 @@ def event_features(events: DataFrame, key: Sequence[str] = ("phase_id",)) -> Dat
         *[F.col(c).cast("double").alias(c) for c in ("under_pressure", "counterpress", "out")],
         ours().cast("double").alias("side"),
     )
-    first = rows.groupBy(*keys).agg(F.min_by("t", "idx").alias("_t0"))
-    split = spans_blocks(events, "idx")
-    rows = join_fragments(rows.withColumn("_b", block_of(F.col("idx"))), first, keys, "_b", split)
-    timed = ordered_scan(rows, keys, "idx", lag={"_before": F.col("t")}, block="_b", split=split)
+    first = rows.groupBy(*keys).agg(
+        F.min_by("t", "idx").alias("_t0"), (F.max("idx") + 1).alias("_size")
+    )
+    rows = join_fragments(rows.withColumn("_b", block_of(F.col("idx"))), first, keys, "_b", "_size")
+    timed = ordered_scan(rows, keys, "idx", lag={"_before": F.col("t")}, block="_b")
     has_loc, has_end = F.col("x").isNotNull(), F.col("end_x").isNotNull()
     gap = F.coalesce(F.col("t") - F.col("_before"), F.lit(0.0))
 
@@ -93,7 +94,7 @@ def event_features(events: DataFrame, key: Sequence[str] = ("phase_id",)) -> Dat
 def thin_long_phases(features: DataFrame, sizes: DataFrame, max_len: int = 64) -> DataFrame:
     """Uniform stride over phases longer than ``max_len``; both ends stay."""
     rows = join_fragments(
-        features.withColumn("_b", block_of(F.col("idx"))), sizes, ["phase_id"], "_b"
+        features.withColumn("_b", block_of(F.col("idx"))), sizes, ["phase_id"], "_b", "n_events"
     )
     return rows.filter(P.stride_keep(F.col("idx"), F.col("n_events"), max_len)).select(
         *features.columns
@@ -134,9 +135,8 @@ def split_halves(events: DataFrame, phases: DataFrame) -> DataFrame:
     Eligible: at least 8 events, and at least 2 path events in each half.
     """
     sizes = phases.filter(F.col("n_events") >= MIN_EVENTS).select("phase_id", "n_events")
-    split = spans_blocks(events, "idx")
     rows = events.withColumn("_b", block_of(F.col("idx")))
-    rows = join_fragments(rows, sizes, ["phase_id"], "_b", split)
+    rows = join_fragments(rows, sizes, ["phase_id"], "_b", "n_events")
     halved = rows.withColumn(
         "half", F.when(F.col("idx") < F.ceil(F.col("n_events") / 2), 1).otherwise(2)
     )
@@ -148,9 +148,11 @@ def split_halves(events: DataFrame, phases: DataFrame) -> DataFrame:
             F.count_if(on_path & (F.col("half") == 2)).alias("b"),
         )
         .filter((F.col("a") >= MIN_HALF_PATH) & (F.col("b") >= MIN_HALF_PATH))
-        .select("phase_id")
+        .join(sizes, "phase_id")
+    )
+    kept = join_fragments(
+        halved.drop("n_events"), eligible.select("phase_id", "n_events"), ["phase_id"], "_b", "n_events"
     )
-    kept = join_fragments(halved, eligible, ["phase_id"], "_b", split)
     return kept.select(*events.columns, "half")
 
 
@@ -205,8 +207,7 @@ def slice_features(rows: DataFrame, key: Sequence[str]) -> DataFrame:
         F.col("end_x").alias("ex"),
         F.col("end_y").alias("ey"),
     )
-    split = spans_blocks(rows, "idx")
-    paths = P.resample(P.path_points(d, keys, mine), keys, ends=ends, split=split)
+    paths = P.resample(P.path_points(d, keys, mine), keys, ends=ends)
     progression = (F.col("end_x") - F.col("start_x")) * K.YARD_M
     return (
         facts.join(paths, keys)
@@ -269,11 +270,11 @@ def check_reproduction(events: DataFrame, phases: DataFrame, similarity: DataFra
 
 
 def reproduction_summary(cosines: DataFrame) -> DataFrame:
-    p05 = quantiles(cosines, "cosine", {"cosine_p05": 0.05}, cell=0.0001)
+    p05 = quantiles(cosines, "cosine", {"cosine_p05": 0.05})
     facts = cosines.agg(
         F.avg("cosine").alias("cosine_mean"),
         F.min("cosine").alias("cosine_min"),
-        F.min_by("phase_id", F.struct("cosine", "phase_id")).alias("worst_phase"),
+        F.min_by("phase_id", F.struct(F.round("cosine", SIM_DIGITS), "phase_id")).alias("worst_phase"),
     )
     return p05.join(F.broadcast(facts), F.lit(True))
 
@@ -281,31 +282,75 @@ def reproduction_summary(cosines: DataFrame) -> DataFrame:
 # All-pairs work in bounded blocks ------------------------------------------------------------
 
 
-def _pair_blocks(queries: DataFrame, candidates: DataFrame, rows_per_block: int):
-    """Replicate each side over the other side's blocks, keyed (split, query, candidate block).
+def _packed(vectors: DataFrame, rows_per_block: int, *facts: str) -> DataFrame:
+    """About ``rows_per_block`` vectors of one split in a row: ids, facts and one packed matrix.
+
+    Packed where the rows lie, so nothing is shuffled; the written table has one row a block and
+    numbers the blocks of each split from 1.
+    """
+    spark = vectors.sparkSession
+    kinds = dict(vectors.dtypes)
+    lists = ["id", *facts]
+    form = _kind(vectors)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+
+        def flushed(split) -> pd.DataFrame:
+            rows = pd.concat(held.pop(split))
+            matrix = np.stack(rows["vec"].to_numpy()).astype(form)
+            columns = {c: [rows[c].tolist()] for c in lists}
+            return pd.DataFrame({"split": [split], **columns, "matrix": [matrix.tobytes()]})
+
+        for batch in batches:
+            for split, rows in batch.groupby("split", sort=False):
+                for lo in range(0, len(rows), rows_per_block):
+                    held.setdefault(split, []).append(rows.iloc[lo : lo + rows_per_block])
+                    if sum(map(len, held[split])) >= rows_per_block:
+                        yield flushed(split)
+            if sum(len(r) for parts in held.values() for r in parts) >= 4 * rows_per_block:
+                yield from [flushed(split) for split in list(held)]
+        yield from [flushed(split) for split in list(held)]
+
+    arrays = ", ".join(f"{c} array<{kinds[c]}>" for c in lists)
+    blocks = vectors.select("split", *lists, "vec").mapInPandas(
+        pack, f"split {kinds['split']}, {arrays}, matrix binary"
+    )
+    order = Window.partitionBy("split").orderBy("first")
+    named = storage.save(
+        blocks.withColumn("first", F.xxhash64("id")), storage.new_path(spark, "vector-blocks")
+    )
+    numbers = named.select("split", "first").withColumn("block", F.row_number().over(order))
+    return named.join(numbers, ["split", "first"]).drop("first")
+
+
+def _block_pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Every query block beside every candidate block of its split.
 
     Exact ranking against a whole split needs every similarity, but no pair is ever a row: each
-    task multiplies two blocks of about ``rows_per_block`` vectors and keeps per-query results.
+    row here is two blocks.  Only the query blocks are repeated; a candidate block moves once.
     """
-    largest = candidates.groupBy("split").count().agg(F.max("count")).first()[0] or 0
-    n = max(1, -(-int(largest) // rows_per_block))
-
-    def blocked(df: DataFrame, own: str, other: str) -> DataFrame:
-        # Fresh aliases: both sides may come from one table.
-        df = df.select(*[F.col(c).alias(c) for c in df.columns])
-        return df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        )
+    totals = candidates.groupBy("split").agg(F.max("block").alias("n"))
+    mine = queries.drop("block").join(totals, "split").withColumn(
+        "block", F.explode(F.sequence(F.lit(1), F.col("n")))
+    ).drop("n")
+    others = candidates.select(
+        "split", "block", F.col("id").alias("other"), F.col("matrix").alias("others")
+    )
+    return mine.join(others, ["split", "block"]).drop("block")
 
-    keys = ("split", "qb", "cb")
-    return (
-        blocked(queries, "qb", "cb").groupBy(*keys),
-        blocked(candidates, "cb", "qb").groupBy(*keys),
+
+def _product(row, form: str) -> np.ndarray:
+    """Similarities of the two blocks of a row, rounded."""
+    a, b = (
+        np.frombuffer(m, form).reshape(len(ids), -1).astype(np.float64)
+        for m, ids in ((row.matrix, row.id), (row.others, row.other))
     )
+    return np.round(a @ b.T, SIM_DIGITS)
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
+def _kind(vectors: DataFrame) -> str:
+    return "<f4" if dict(vectors.dtypes)["vec"] == "array<float>" else "<f8"
 
 
 def rank_of_gold(queries: DataFrame, candidates: DataFrame, rows_per_block: int = PAIR_BLOCK_ROWS) -> DataFrame:
@@ -320,24 +365,26 @@ def rank_of_gold(queries: DataFrame, candidates: DataFrame, rows_per_block: int
         "id", "split", "vec", F.round(V.dot(F.col("vec"), F.col("_g")), SIM_DIGITS).alias("gold")
     )
 
-    def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"id": [], "greater": [], "equal": []})
-        sims = np.round(_matrix(q["vec"]) @ _matrix(c["vec"]).T, SIM_DIGITS)
-        level = q["gold"].to_numpy()[:, None]
-        return pd.DataFrame(
-            {
-                "id": q["id"],
-                "greater": (sims > level + 5e-7).sum(axis=1),
-                "equal": (np.abs(sims - level) <= 5e-7).sum(axis=1),
-            }
-        )
-
-    left, right = _pair_blocks(gold, candidates.select("id", "split", "vec"), rows_per_block)
-    kind = queries.schema["id"].dataType.simpleString()
-    counts = left.cogroup(right).applyInPandas(
-        compare, f"id {kind}, greater long, equal long"
+    form = _kind(queries)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                sims, level = _product(row, form), np.asarray(row.gold)[:, None]
+                yield pd.DataFrame(
+                    {
+                        "id": row.id,
+                        "greater": (sims > level + 5e-7).sum(axis=1),
+                        "equal": (np.abs(sims - level) <= 5e-7).sum(axis=1),
+                    }
+                )
+
+    pairs = _block_pairs(
+        _packed(gold, rows_per_block, "gold"),
+        _packed(candidates.select("id", "split", "vec"), rows_per_block),
     )
+    kind = queries.schema["id"].dataType.simpleString()
+    counts = pairs.mapInPandas(compare, f"id {kind}, greater long, equal long")
     return counts.groupBy("id").agg(
         (1 + F.sum("greater") + (F.sum("equal") - 1) / 2).alias("rank")
     )
@@ -350,41 +397,88 @@ def retrieval_metrics(ranks: DataFrame) -> DataFrame:
         F.avg((F.col("rank") <= 1).cast("double")).alias("recall_1"),
         F.avg((F.col("rank") <= 10).cast("double")).alias("recall_10"),
     )
-    middle = quantiles(ranks, "rank", {"median_rank": 0.5}, cell=1024.0)
+    middle = quantiles(ranks, "rank", {"median_rank": 0.5})
     return middle.join(F.broadcast(facts), F.lit(True))
 
 
 def nearest_neighbours(vectors: DataFrame, k: int = 25, rows_per_block: int = PAIR_BLOCK_ROWS) -> DataFrame:
     """The ``k`` most similar other rows per row (``id, split, vec``), ties by id."""
 
-    def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"id": [], "neighbour": [], "score": []})
-        c = c.sort_values("id", kind="mergesort").reset_index(drop=True)
-        sims = np.round(_matrix(q["vec"]) @ _matrix(c["vec"]).T, SIM_DIGITS)
-        ids, others = q["id"].to_numpy(), c["id"].to_numpy()
-        sims[ids[:, None] == others[None, :]] = -np.inf
-        # Candidates are in id order, so a stable sort breaks ties by id.
-        top = np.argsort(-sims, axis=1, kind="stable")[:, : min(k, len(others))]
-        score = np.take_along_axis(sims, top, axis=1)
-        out = pd.DataFrame(
-            {
-                "id": np.repeat(ids, top.shape[1]),
-                "neighbour": others[top.ravel()],
-                "score": score.ravel(),
-            }
-        )
-        return out[np.isfinite(out["score"])]
-
-    left, right = _pair_blocks(vectors, vectors, rows_per_block)
+    form = _kind(vectors)
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                ids, others = np.asarray(row.id), np.asarray(row.other)
+                order = np.argsort(others, kind="stable")
+                others, sims = others[order], _product(row, form)[:, order]
+                sims[ids[:, None] == others[None, :]] = -np.inf
+                top = _first_k(sims, min(k, len(others)))
+                out = pd.DataFrame(
+                    {
+                        "id": np.repeat(ids, top.shape[1]),
+                        "neighbour": others[top.ravel()],
+                        "score": np.take_along_axis(sims, top, axis=1).ravel(),
+                    }
+                )
+                yield out[np.isfinite(out["score"])]
+
+    packed = _packed(vectors, rows_per_block)
     kind = vectors.schema["id"].dataType.simpleString()
-    found = left.cogroup(right).applyInPandas(
+    found = _block_pairs(packed, packed).mapInPandas(
         best, f"id {kind}, neighbour {kind}, score double"
     )
+    # Spark keeps the best k of each task before this exchange.
     w = Window.partitionBy("id").orderBy(F.desc("score"), "neighbour")
     return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
+def _first_k(sims: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest values of each row, ties by column."""
+    if k >= sims.shape[1]:
+        return np.argsort(-sims, axis=1, kind="stable")[:, :k]
+    level = -np.partition(-sims, k - 1, axis=1)[:, k - 1]
+    out = np.empty((len(sims), k), np.int64)
+    for i, (row, edge) in enumerate(zip(sims, level, strict=True)):
+        at = np.flatnonzero(row >= edge)
+        out[i] = at[np.argsort(-row[at], kind="stable")[:k]]
+    return out
+
+
+def nearest_by_signature(
+    vectors: DataFrame, k: int = 25, bits: int = 8, tables: int = 4, seed: int = 3,
+    rows_per_block: int = PAIR_BLOCK_ROWS,
+) -> DataFrame:
+    """Approximate neighbours: only vectors that share a sign pattern are compared.
+
+    ``tables`` patterns of ``bits`` random hyperplanes each; the exact search then runs inside
+    each pattern.  Columns as in ``nearest_neighbours``; a row may have fewer than ``k``.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
+
+    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if batch.empty:
+                continue
+            matrix = np.stack(batch["vec"].to_numpy()).astype(np.float64)
+            for t in range(tables):
+                planes = np.random.default_rng(seed + t).normal(size=(matrix.shape[1], bits))
+                code = ((matrix @ planes) > 0) @ (1 << np.arange(bits))
+                names = [f"{s}/{t}/{c}" for s, c in zip(batch["split"], code, strict=True)]
+                yield batch.assign(split=names)
+
+    named = vectors.select("id", F.col("split").cast("string").alias("split"), "vec").mapInPandas(
+        signed, f"id {kinds['id']}, split string, vec {kinds['vec']}"
+    )
+    # A pair may meet in every table, so k places a table hold the best k pairs.
+    near = nearest_neighbours(named, k * tables, rows_per_block)
+    w = Window.partitionBy("id").orderBy(F.desc("score"), "neighbour")
+    return (
+        near.drop("place").dropDuplicates(["id", "neighbour"])
+        .withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    )
+
+
 def neighbour_scores(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
     """Mean label of the neighbours per row and label (``labels``: id, label, value)."""
     votes = labels.select(F.col("id").alias("neighbour"), "label", F.col("value").alias("vote"))

@@ -269,9 +269,9 @@ def derive(chains: DataFrame, thr: K.Thresholds = K.Thresholds()) -> DataFrame:
 
 
 def build_features(
-    chains: DataFrame, seg: DataFrame, thr: K.Thresholds = K.Thresholds(), split: bool = True
+    chains: DataFrame, seg: DataFrame, thr: K.Thresholds = K.Thresholds()
 ) -> DataFrame:
     """Chains -> numbered, fully derived feature rows (without path and match dimension)."""
-    numbered = number_chains(chains, split)
+    numbered = number_chains(chains)
     pressed = presses_before(numbered, seg, thr.high_press_window_s)
     return derive(pressed.join(count_players(seg), CHAIN, "left"), thr)

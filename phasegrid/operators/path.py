@@ -55,11 +55,11 @@ def _step(dx: Column, dy: Column) -> Column:
     return F.when(moved, F.hypot(dx, dy)).otherwise(F.lit(0.0))
 
 
-def path_steps(points: DataFrame, key: Sequence[str], split: bool = True) -> DataFrame:
+def path_steps(points: DataFrame, key: Sequence[str]) -> DataFrame:
     """Segments between consecutive distinct points with their running arc length.
 
     Locations sit on the 0.1 grid, so comparing with the previous point is the same as comparing
-    with the last kept one.  ``split=False`` where no chain reaches past its first block.
+    with the last kept one.  Chains of one block carry nothing.
     """
     keys = list(key)
     w = Window.partitionBy(*keys, "block").orderBy("pos")
@@ -68,24 +68,6 @@ def path_steps(points: DataFrame, key: Sequence[str], split: bool = True) -> Dat
         F.coalesce(_step(F.col("x") - F.col("px"), F.col("y") - F.col("py")), F.lit(0.0)),
     )
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    if not split:
-        summed = local.withColumns(
-            {
-                "c1": F.sum("step").over(run),
-                "total": F.sum("step").over(Window.partitionBy(*keys, "block")),
-            }
-        )
-        return summed.select(
-            *keys,
-            "pos",
-            F.col("px").alias("x0"),
-            F.col("py").alias("y0"),
-            F.col("x").alias("x1"),
-            F.col("y").alias("y1"),
-            F.coalesce(F.lag("c1").over(w), F.lit(0.0)).alias("c0"),
-            "c1",
-            "total",
-        )
     edges = local.groupBy(*keys, "block").agg(
         F.sum("step").alias("length"),
         F.min_by("x", "pos").alias("first_x"),
@@ -114,12 +96,19 @@ def path_steps(points: DataFrame, key: Sequence[str], split: bool = True) -> Dat
             ),
             F.lit(0.0),
         ).alias("base"),
-        F.sum(F.col("length") + F.col("jump")).over(Window.partitionBy(*keys)).alias("total"),
-    )
-    joined = local.withColumn("cum", F.sum("step").over(run)).withColumn(
-        "cum_before", F.lag("cum").over(w)
+        F.sum(F.col("length") + F.col("jump")).over(Window.partitionBy(*keys)).alias("all"),
+        F.count("*").over(Window.partitionBy(*keys)).alias("blocks"),
+    ).filter(F.col("blocks") > 1)
+    joined = local.withColumns(
+        {"cum": F.sum("step").over(run), "alone": F.sum("step").over(Window.partitionBy(*keys, "block"))}
+    ).withColumn("cum_before", F.lag("cum").over(w))
+    joined = joined.join(carry, [*keys, "block"], "left").withColumns(
+        {
+            "base": F.coalesce("base", F.lit(0.0)),
+            "jump": F.coalesce("jump", F.lit(0.0)),
+            "total": F.coalesce("all", "alone"),
+        }
     )
-    joined = joined.join(carry, [*keys, "block"])
     first = F.col("px").isNull()
     return joined.select(
         *keys,
@@ -151,7 +140,6 @@ def resample(
     key: Sequence[str],
     n: int = K.PATH_POINTS,
     ends: DataFrame | None = None,
-    split: bool = True,
 ) -> DataFrame:
     """``n`` points per chain, evenly spaced by arc length, as flat ``path_xy``.
 
@@ -161,7 +149,7 @@ def resample(
     path without length repeats its point; ``n = 1`` gives the end point.
     """
     keys = list(key)
-    steps = path_steps(points, keys, split)
+    steps = path_steps(points, keys)
     last = n - 1
     lo = F.greatest(F.floor(F.col("c0") * last / F.col("total")).cast("int"), F.lit(1))
     hi = F.least(F.floor(F.col("c1") * last / F.col("total")).cast("int") + 1, F.lit(last - 1))

@@ -1,7 +1,7 @@
 """Exact quantiles and rank statistics that spread over many tasks.
 
 ``percentile`` keeps every distinct value of a group in one task.  Here equal values are counted
-first, then ranked by an ordered scan over value cells.
+first, then ranked by an ordered scan over slices of a range exchange.
 """
 
 from __future__ import annotations
@@ -12,30 +12,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phasegrid.functions.scan import ordered_scan
+from phasegrid.sources import storage
 
 
-def value_ranks(
-    df: DataFrame, value: str, groups: Sequence[str] = (), cell: float = 1.0, **sums: Column
-) -> DataFrame:
+def value_ranks(df: DataFrame, value: str, groups: Sequence[str] = (), **sums: Column) -> DataFrame:
     """Distinct values per group with their count ``n``, running count ``cum`` and total ``n_all``.
 
-    ``cell`` is the width of the value cells the scan runs over.  Extra ``sums`` are aggregated
-    per value, with ``cum_<name>`` and ``all_<name>``.
+    The scan runs over the slices of a range exchange, whose bounds follow the rows, so values that
+    crowd into a narrow range are split as well as spread-out ones.  The bounds are sampled, hence
+    the written table.  Extra ``sums`` are aggregated per value, with ``cum_<name>`` and
+    ``all_<name>``.
     """
     keys = list(groups)
     counted = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("v"))
         .agg(F.count("*").alias("n"), *[c.alias(k) for k, c in sums.items()])
-        .withColumn("cell", F.floor(F.col("v") / F.lit(float(cell))))
+        .repartitionByRange(*keys, "v")
+        .withColumn("slice", F.spark_partition_id())
     )
     return ordered_scan(
-        counted,
+        storage.save(counted, storage.new_path(df.sparkSession, "ranks")),
         keys,
         "v",
         sums={"cum": F.col("n"), **{f"cum_{k}": F.col(k) for k in sums}},
         totals={"n_all": F.col("n"), **{f"all_{k}": F.col(k) for k in sums}},
-        block="cell",
+        block="slice",
     )
 
 
@@ -44,14 +46,13 @@ def quantiles(
     value: str,
     points: Mapping[str, float],
     groups: Sequence[str] = (),
-    cell: float = 1.0,
     nearest: bool = False,
 ) -> DataFrame:
     """One row per group: ``n`` and a column per named quantile.
 
     Interpolates between ranks, or takes the nearest rank (half to even) with ``nearest``.
     """
-    ranks = value_ranks(df, value, groups, cell)
+    ranks = value_ranks(df, value, groups)
     from_rank, to_rank = F.col("cum") - F.col("n"), F.col("cum")
 
     def at(rank: Column) -> Column:
@@ -77,9 +78,9 @@ def quantiles(
     return out.select(*groups, "n", *points)
 
 
-def auc(df: DataFrame, score: str, positive: str, groups: Sequence[str] = (), cell: float = 0.01) -> DataFrame:
+def auc(df: DataFrame, score: str, positive: str, groups: Sequence[str] = ()) -> DataFrame:
     """ROC-AUC with average ranks for ties; NULL where a class is empty."""
-    ranks = value_ranks(df, score, groups, cell, pos=F.sum(F.when(F.col(positive), 1).otherwise(0)))
+    ranks = value_ranks(df, score, groups, pos=F.sum(F.when(F.col(positive), 1).otherwise(0)))
     # Average rank of a tied run: the ranks before it plus half of (its size + 1).
     average = F.col("cum") - F.col("n") + (F.col("n") + 1) / 2
     n_pos, n_all = F.max("all_pos"), F.max("n_all")

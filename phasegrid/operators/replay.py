@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phasegrid import constants as K
-from phasegrid.functions.scan import block_of, join_fragments, ordered_scan, spans_blocks
+from phasegrid.functions.scan import block_of, join_fragments, ordered_scan
 from phasegrid.sources import storage
 
 KEY = ["phase_id"]
@@ -16,7 +16,7 @@ CURRENT_EPS = 1e-6
 CELL_S = 60.0
 
 
-def ball_points(events: DataFrame, split: bool = True) -> DataFrame:
+def ball_points(events: DataFrame) -> DataFrame:
     """Raw ball points with arrival times and whether each opens a new position."""
     kept = events.filter(
         (F.col("team_side") == "in_possession")
@@ -39,7 +39,6 @@ def ball_points(events: DataFrame, split: bool = True) -> DataFrame:
             "was_y": F.when(has_end, F.col("end_y")).otherwise(F.col("y")),
         },
         lead={"next_t": F.col("t")},
-        split=split,
     )
     arrival = F.when(F.col("next_t") > F.col("t"), F.col("next_t")).otherwise(
         F.col("t") + FALLBACK_FLIGHT_S
@@ -72,10 +71,7 @@ def ball_keyframes(events: DataFrame, path: str | None = None) -> DataFrame:
     other's input).
     """
     spark = events.sparkSession
-    split = spans_blocks(events, "idx")
-    numbered = ordered_scan(
-        ball_points(events, split), KEY, "pos", sums={"run": F.col("opens")}, split=split
-    )
+    numbered = ordered_scan(ball_points(events), KEY, "pos", sums={"run": F.col("opens")})
     runs = numbered.groupBy(*KEY, "run").agg(
         F.min("pos").alias("pos"),
         F.min("t").alias("raw_t"),
@@ -83,7 +79,7 @@ def ball_keyframes(events: DataFrame, path: str | None = None) -> DataFrame:
         F.min_by("y", "pos").alias("y"),
     )
     saved = storage.save(runs, path or storage.new_path(spark, "keyframes"))
-    timed = ordered_scan(saved, KEY, "pos", maxima={"t": F.col("raw_t")}, split=split)
+    timed = ordered_scan(saved, KEY, "pos", maxima={"t": F.col("raw_t")})
     return timed.select(*KEY, "pos", "t", "x", "y")
 
 
@@ -93,7 +89,9 @@ def ball_positions(keys: DataFrame, phases: DataFrame, step_s: float = 1.0) -> D
     Each key-frame emits the grid times that fall between it and its predecessor, so nothing is
     grouped per phase.  Times before the first or after the last key-frame are clamped.
     """
-    ends = keys.groupBy(*KEY).agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+    ends = keys.groupBy(*KEY).agg(
+        F.min("t").alias("first_t"), F.max("t").alias("last_t"), (F.max("pos") + 1).alias("_size")
+    )
     step = F.lit(float(step_s))
     duration = F.col("duration_s").cast("double")
     length = phases.select(*KEY, duration.alias("duration")).join(ends, KEY)
@@ -101,18 +99,17 @@ def ball_positions(keys: DataFrame, phases: DataFrame, step_s: float = 1.0) -> D
         *KEY,
         "first_t",
         "last_t",
+        "_size",
         F.floor(F.greatest("duration", "last_t", F.lit(0.5)) / step).alias("steps"),
     )
-    split = spans_blocks(keys, "pos")
     linked = ordered_scan(
         keys,
         KEY,
         "pos",
         lag={"pt": F.col("t"), "px": F.col("x"), "py": F.col("y")},
         lead={"nt": F.col("t")},
-        split=split,
     ).withColumn("_b", block_of(F.col("pos")))
-    linked = join_fragments(linked, length, KEY, "_b", split)
+    linked = join_fragments(linked, length, KEY, "_b", "_size")
     first, final = F.col("pt").isNull(), F.col("nt").isNull()
     lo = F.when(first, F.lit(0).cast("long")).otherwise(F.floor(F.col("pt") / step))
     hi = F.when(final, F.col("steps")).otherwise(F.ceil(F.col("t") / step))
@@ -187,10 +184,33 @@ def opacity(age):
 
 
 def trail(keys: DataFrame, times: DataFrame) -> DataFrame:
-    """Key-frames passed up to ``at``; ``times`` holds one ``at`` per phase."""
-    return keys.join(times, KEY).filter(F.col("t") <= F.col("at")).select(
-        *KEY, "at", "pos", "t", "x", "y"
+    """Key-frames passed up to ``at``, then the ball's own place then (``head``, no ``pos``).
+
+    ``times`` holds one ``at`` per phase.  Before the first key-frame the head waits there, after
+    the last one it stays there, and between two it is on the line.
+    """
+    sizes = keys.groupBy(*KEY).agg((F.max("pos") + 1).alias("_size"))
+    linked = ordered_scan(
+        keys, KEY, "pos", lag={"pt": F.col("t")},
+        lead={"nt": F.col("t"), "nx": F.col("x"), "ny": F.col("y")},
+    ).withColumn("_b", block_of(F.col("pos")))
+    rows = join_fragments(linked, times.join(sizes, KEY), KEY, "_b", "_size")
+    at, t = F.col("at"), F.col("t")
+    passed = t <= at
+    # The last key-frame passed carries the head, or the first one if none is passed yet.
+    leads = (passed & (F.col("nt").isNull() | (F.col("nt") > at))) | (~passed & F.col("pt").isNull())
+    u = F.when(~passed | F.col("nt").isNull(), F.lit(0.0)).otherwise((at - t) / (F.col("nt") - t))
+
+    def between(a: str, b: str) -> Column:
+        return F.col(a) + (F.coalesce(b, a) - F.col(a)) * u
+
+    here = F.struct(F.lit(False).alias("head"), "pos", "t", "x", "y")
+    head = F.struct(
+        F.lit(True).alias("head"), F.lit(None).cast("long").alias("pos"), at.alias("t"),
+        between("x", "nx").alias("x"), between("y", "ny").alias("y"),
     )
+    points = F.array_compact(F.array(F.when(passed, here), F.when(leads, head)))
+    return rows.select(*KEY, "at", F.explode(points).alias("p")).select(*KEY, "at", "p.*")
 
 
 def markers(events: DataFrame) -> DataFrame:

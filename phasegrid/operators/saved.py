@@ -112,7 +112,7 @@ def query_key() -> Column:
     """Identity of a query: its filters in any order plus its ordering, never its limit."""
     return F.expr(
         "sha2(to_json(named_struct('f', array_sort(transform(filters,"
-        " f -> concat_ws('|', f.field, f.op, array_join(f.values, ',')))),"
+        " f -> concat_ws('|', f.field, f.op, to_json(f.values)))),"
         " 'o', coalesce(concat_ws('|', order_field, order_dir), ''))), 256)"
     )
 
@@ -132,9 +132,12 @@ def _map(mapping: dict, key: str) -> str:
 def _value_text(v: str) -> str:
     """Display text of one value ``v`` of filter ``f``."""
     numbers = _in([k for k, kind in FIELDS.items() if kind in ("int", "float")])
-    # Two decimals, half up, without a trailing ``.0`` for whole numbers.
-    rounded = f"floor(CAST({v} AS DOUBLE) * 100D + 0.5D) / 100D"
-    plain = f"regexp_replace(CAST({rounded} AS STRING), '\\\\.0$', '')"
+    # Whole numbers as they are; others with at most two decimals, half up.
+    rounded = f"CAST(floor(CAST({v} AS DOUBLE) * 100D + 0.5D) / 100D AS DECIMAL(38, 2))"
+    plain = (
+        f"CASE WHEN {v} RLIKE '^-?[0-9]+$' THEN CAST(CAST({v} AS DECIMAL(38, 0)) AS STRING)"
+        f" ELSE regexp_replace(CAST({rounded} AS STRING), '[.]?0+$', '') END"
+    )
     number = f"concat({plain}, coalesce({_map(UNITS, 'f.field')}, ''))"
     third = _map(THIRD_TEXT, f"regexp_replace({v}, '_[a-z]+$', '')")
     zone = f"concat(substring_index({v}, '_', -1), ' ', coalesce({third}, ''))"
@@ -162,7 +165,7 @@ def describe_filters() -> Column:
     taken = (
         f"aggregate({whole}, {state}, (acc, g) ->"
         f" CASE WHEN {zoned} AND size(array_intersect(acc.rest, g.z)) = 3 THEN"
-        " named_struct('rest', array_except(acc.rest, g.z), 'said', concat(acc.said, array(g.t)))"
+        " named_struct('rest', filter(acc.rest, z -> NOT array_contains(g.z, z)), 'said', concat(acc.said, array(g.t)))"
         " ELSE acc END, acc ->"
         f" concat(acc.said, transform(acc.rest, v -> {_value_text('v')})))"
     )

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phasegrid import constants as K
 
@@ -143,6 +144,10 @@ def filter_column(f: Mapping, schema) -> Column:
         return F.lit(v).cast(kind)
 
     op, value = f["op"], f["value"]
+    if isinstance(kind, T.IntegralType):
+        settled = _beyond(column, op, value, 1 << (8 * _BYTES[kind.typeName()] - 1))
+        if settled is not None:
+            return settled
     if op == "in":
         return column.isin(*[lit(v) for v in value])
     if op == "between":
@@ -151,6 +156,30 @@ def filter_column(f: Mapping, schema) -> Column:
     return getattr(column, compare)(lit(value))
 
 
+# Bytes of Spark's integer types.
+_BYTES = {"byte": 1, "short": 2, "integer": 4, "long": 8}
+
+
+def _beyond(column: Column, op: str, value, limit: int) -> Column | None:
+    """The predicate where a literal lies outside the column's type, else None.
+
+    Such a literal cannot be cast, but the answer is known: the column is below (or above) it.
+    """
+    values = list(value) if isinstance(value, (list, tuple)) else [value]
+    if all(-limit <= v < limit for v in values):
+        return None
+    always, never = column.isNotNull(), column.isNotNull() & F.lit(False)
+    if op == "in":
+        inside = [v for v in values if -limit <= v < limit]
+        return column.isin(*inside) if inside else never
+    if op == "between":
+        low, high = max(values[0], -limit), min(values[1], limit - 1)
+        return column.between(low, high) if low <= high else never
+    if op in ("eq", "neq"):
+        return always if op == "neq" else never
+    return always if (values[0] < 0) == (op == "gte") else never
+
+
 def predicate(query: Mapping, schema, extra: Sequence[Column] = ()) -> Column:
     """Conjunction of all filters; no filter keeps every row."""
     terms = [filter_column(f, schema) for f in query["filters"]] + list(extra)

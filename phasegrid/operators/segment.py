@@ -16,13 +16,13 @@ def drop_shootout(events: DataFrame) -> DataFrame:
     return events.filter(F.col("period") != K.SHOOTOUT_PERIOD)
 
 
-def segment(events: DataFrame, split: bool = True) -> DataFrame:
+def segment(events: DataFrame) -> DataFrame:
     """Add the chain of every event: ``start_index``, 0-based ``idx``, start clock and team.
 
     A chain is a run of events with the same (period, possession) in ``index`` order.  Runs are
     found per block of index values; a run that crosses a block border is stitched through one
     summary row per block, so a match of any length spreads over as many tasks as it has blocks.
-    ``split=False`` skips the stitching where no match reaches past its first block.
+    First blocks inherit nothing and have no summary row to join.
     """
     kept = drop_shootout(events).withColumn("block", block_of(F.col("index")))
     w = Window.partitionBy("match_id", "block").orderBy("index")
@@ -44,16 +44,6 @@ def segment(events: DataFrame, split: bool = True) -> DataFrame:
             "_start", F.last(F.when(opens, start), ignorenulls=True).over(running)
         )
 
-    if not split:
-        return within_block(kept).select(
-            *[F.col(c) for c in events.columns],
-            "block",
-            F.col("_start.index").alias("start_index"),
-            F.col("_start.ts").alias("chain_start_ts"),
-            F.col("_start.team").alias("chain_team_id"),
-            (F.col("_rn") - F.col("_start.rn")).alias("idx"),
-        )
-
     narrow = within_block(
         kept.select(
             "match_id", "block", "index", "period", "possession", "ts_s", "possession_team_id"
@@ -93,9 +83,11 @@ def segment(events: DataFrame, split: bool = True) -> DataFrame:
         "block",
         "base",
         F.when(F.col("continues"), F.lag("final_start").over(we)).alias("inherited"),
-    )
+    ).filter(F.col("base") > 0)
 
-    joined = within_block(kept).join(carry, ["match_id", "block"], "left")
+    joined = within_block(kept).join(carry, ["match_id", "block"], "left").withColumn(
+        "base", F.coalesce("base", F.lit(0))
+    )
     here = F.struct(
         F.col("_start.index").alias("index"),
         (F.col("base") + F.col("_start.rn")).alias("rn"),
@@ -122,7 +114,7 @@ def has_ball_content():
     return F.bool_or(F.col("x").isNotNull() & ~is_admin(F.col("type_id")))
 
 
-def number_chains(chains: DataFrame, split: bool = True) -> DataFrame:
+def number_chains(chains: DataFrame) -> DataFrame:
     """1-based ``seq`` per match over surviving chains, plus the previous chain's facts."""
     return ordered_scan(
         chains,
@@ -130,5 +122,4 @@ def number_chains(chains: DataFrame, split: bool = True) -> DataFrame:
         "start_index",
         sums={"seq": F.lit(1).cast("long")},
         lag={"prev_team_id": F.col("team_id"), "prev_period": F.col("period")},
-        split=split,
     )

@@ -23,9 +23,16 @@ def moments(phases: DataFrame) -> DataFrame:
 
 
 def fit_moments(phases: DataFrame) -> dict[str, tuple[float, float]]:
-    """The 26 numbers of ``moments`` as plan constants (one aggregate row reaches the driver)."""
+    """The 26 numbers of ``moments`` as plan constants (one aggregate row reaches the driver).
+
+    A table without phases, or a column without values, has mean 0 and deviation 1.
+    """
     row = moments(phases).first()
-    return {c: (row[f"mu_{c}"], row[f"sd_{c}"]) for c in K.NUMERIC_FEATURES}
+
+    def known(v: float | None, otherwise: float) -> float:
+        return otherwise if v is None else v
+
+    return {c: (known(row[f"mu_{c}"], 0.0), known(row[f"sd_{c}"], 1.0)) for c in K.NUMERIC_FEATURES}
 
 
 def vector_parts(stats: dict[str, tuple[float, float]]) -> list[str]:

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from phasegrid import constants as K
 from phasegrid.functions import geometry as G
-from phasegrid.functions.scan import block_of, join_fragments, spans_blocks
+from phasegrid.functions.scan import block_of, join_fragments
 from phasegrid.operators import features, frames as FR, path as P, similar
 from phasegrid.operators.segment import CHAIN, segment
+from phasegrid.plans import reports
 from phasegrid.sources import storage, testdata
 
 # Small source integers are widened so that an oversize match cannot overflow a column.
@@ -61,7 +62,7 @@ def declared(df: DataFrame, columns: dict[str, str], *more: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Tables:
-    """The raw inputs, the segmented events and the published tables of one build."""
+    """The raw inputs, the segmented events and the published tables of one build at ``path``."""
 
     events: DataFrame
     frames: DataFrame
@@ -72,6 +73,7 @@ class Tables:
     phase_events: DataFrame
     phase_frames: DataFrame
     similarity: DataFrame
+    path: str
 
 
 def mark_frames(events: DataFrame, frames: DataFrame) -> DataFrame:
@@ -105,7 +107,7 @@ def add_match_facts(rows: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def phase_table(
-    chains: DataFrame, seg: DataFrame, matches: DataFrame, split: bool = True
+    chains: DataFrame, seg: DataFrame, matches: DataFrame
 ) -> DataFrame:
     """Chains with their resampled path and match facts.
 
@@ -119,13 +121,15 @@ def phase_table(
         F.col("end_x").alias("ex"),
         F.col("end_y").alias("ey"),
     )
-    paths = P.resample(P.path_points(seg, CHAIN, ours), CHAIN, ends=ends, split=split)
+    paths = P.resample(P.path_points(seg, CHAIN, ours), CHAIN, ends=ends)
     return add_match_facts(chains.join(paths, CHAIN), matches)
 
 
-def name_events(seg: DataFrame, chains: DataFrame, split: bool = True) -> DataFrame:
+def name_events(seg: DataFrame, chains: DataFrame) -> DataFrame:
     """Segmented events of surviving chains with their ``phase_id``."""
-    return join_fragments(seg, chains.select(*CHAIN, "phase_id"), CHAIN, "block", split)
+    facts = chains.select(*CHAIN, "phase_id", F.col("n_events").alias("_size"))
+    rows = seg.withColumn("_b", block_of(F.col("idx")))
+    return join_fragments(rows, facts, CHAIN, "_b", "_size").drop("_b", "_size")
 
 
 def phase_event_rows(named: DataFrame) -> DataFrame:
@@ -177,6 +181,14 @@ def by_match(df: DataFrame, order: str) -> DataFrame:
     )
 
 
+def bucketed(df: DataFrame, order: str) -> DataFrame:
+    """As ``by_match``, with the folder of each match; a bucket's large matches span several files."""
+    df = df.withColumn("bucket", storage.bucket_of(F.col("match_id")))
+    return df.repartition("bucket", block_of(F.col(order))).sortWithinPartitions(
+        "bucket", "match_id", order
+    )
+
+
 def in_parallel(*jobs: Callable[[], DataFrame]) -> list[DataFrame]:
     """Run independent writes at the same time, so that no core waits for another's last task."""
     with ThreadPoolExecutor(len(jobs)) as pool:
@@ -190,48 +202,44 @@ def build(
     out: str,
     thr: K.Thresholds = K.Thresholds(),
 ) -> Tables:
-    """Build and write every table under ``out``.
-
-    Two probes choose between the plain window plan and the blockwise one, for matches and for
-    chains; the tables are the same either way.
-    """
-    long_matches = spans_blocks(events, "index")
+    """Build and write every table under ``out``."""
     matches, seg = in_parallel(
         lambda: storage.save(matches, f"{out}/matches"),
         lambda: storage.save(
-            segment(mark_frames(events.select(*EVENT_INPUT), frames), long_matches),
+            segment(mark_frames(events.select(*EVENT_INPUT), frames)),
             f"{out}/segmented",
         ),
     )
-    long_chains = long_matches and spans_blocks(seg, "idx")
-    rows = features.build_features(features.aggregate_chains(seg, thr), seg, thr, long_matches)
+    rows = features.build_features(features.aggregate_chains(seg, thr), seg, thr)
     chains = storage.save(
         rows.withColumn("phase_id", G.phase_id(F.col("match_id"), F.col("seq"))), f"{out}/chains"
     )
 
     def write_phases() -> DataFrame:
-        rows = declared(phase_table(chains, seg, matches, long_chains), PHASE_COLUMNS, "start_index")
+        rows = declared(phase_table(chains, seg, matches), PHASE_COLUMNS, "start_index")
         return storage.save(by_match(rows, "seq"), f"{out}/phases")
 
     def write_events() -> DataFrame:
-        named = name_events(seg, chains, long_chains)
+        named = name_events(seg, chains)
         rows = declared(phase_event_rows(named), EVENT_COLUMNS, "match_id")
-        return storage.save(by_match(rows, "event_index"), f"{out}/phase_events", "match_id")
+        return storage.save(bucketed(rows, "event_index"), f"{out}/phase_events", "bucket")
 
     def write_frames() -> DataFrame:
-        named = name_events(seg, chains, long_chains)
+        named = name_events(seg, chains)
         framed = FR.canonicalize(frame_events(named, frames))
         rows = declared(framed, FRAME_COLUMNS, "match_id", "event_index")
-        placed = by_match(rows, "event_index").drop("event_index")
-        return storage.save(placed, f"{out}/phase_frames", "match_id")
+        placed = bucketed(rows, "event_index").drop("event_index")
+        return storage.save(placed, f"{out}/phase_frames", "bucket")
 
     phases, phase_events, phase_frames = in_parallel(write_phases, write_events, write_frames)
     vectors = storage.save(
         similar.phase_vectors(phases, similar.fit_moments(phases), "phase_id"), f"{out}/similarity"
     )
-    return Tables(
-        events, frames, matches, seg, chains, phases, phase_events, phase_frames, vectors
+    tables = Tables(
+        events, frames, matches, seg, chains, phases, phase_events, phase_frames, vectors, out
     )
+    storage.save(reports.manifest(tables), f"{out}/manifest")
+    return tables
 
 
 _BUILT: dict[tuple[str, str], Tables] = {}

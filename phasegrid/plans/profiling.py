@@ -22,7 +22,7 @@ def coverage_by_match(marked: DataFrame, frames: DataFrame) -> DataFrame:
     )
     dots = frames.select("match_id", F.size("freeze_frame").alias("dots"))
     sizes = quantiles(
-        dots, "dots", {"median_dots": 0.5, "max_dots": 1.0}, ["match_id"], cell=64.0
+        dots, "dots", {"median_dots": 0.5, "max_dots": 1.0}, ["match_id"]
     ).withColumnRenamed("n", "frames")
     return events.join(sizes, "match_id", "left")
 
@@ -188,7 +188,7 @@ def pattern_shares(events: DataFrame) -> DataFrame:
 
 def events_per_match(events: DataFrame) -> DataFrame:
     per = events.groupBy("match_id").agg(F.count("*").alias("events"))
-    return quantiles(per, "events", {"min": 0.0, "median": 0.5, "max": 1.0}, cell=1024.0).withColumnRenamed(
+    return quantiles(per, "events", {"min": 0.0, "median": 0.5, "max": 1.0}).withColumnRenamed(
         "n", "matches"
     )
 
@@ -209,12 +209,11 @@ def frame_links(events: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def direction_check(events: DataFrame, type_id: int) -> DataFrame:
-    """Mean x of one event type by team, one column per period."""
-    x: Column = F.col("x")
+    """Mean x of one event type by team and period, whatever periods there are."""
     return (
-        events.filter((F.col("type_id") == type_id) & x.isNotNull())
-        .groupBy("team_id")
-        .agg(*[F.avg(F.when(F.col("period") == p, x)).alias(f"p{p}") for p in (1, 2, 3, 4)])
+        events.filter((F.col("type_id") == type_id) & F.col("x").isNotNull())
+        .groupBy("team_id", "period")
+        .agg(F.count("*").alias("n"), F.avg("x").alias("mean_x"))
     )
 
 

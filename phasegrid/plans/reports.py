@@ -239,7 +239,7 @@ def mean_canonical_x(phase_events: DataFrame) -> DataFrame:
 
 def phases_per_match(phases: DataFrame) -> DataFrame:
     per = phases.groupBy("match_id").agg(F.count("*").alias("phases"))
-    return quantiles(per, "phases", {"min": 0.0, "median": 0.5, "max": 1.0}, cell=1024.0).withColumnRenamed(
+    return quantiles(per, "phases", {"min": 0.0, "median": 0.5, "max": 1.0}).withColumnRenamed(
         "n", "matches"
     )
 
@@ -260,8 +260,18 @@ def group_sizes(phase_events: DataFrame) -> DataFrame:
     return phase_events.groupBy("phase_id").agg(F.count("*").alias("n"))
 
 
+PUBLISHED = ("matches", "phases", "phase_events", "phase_frames", "similarity")
+
+
+def stored_manifest(tables) -> DataFrame:
+    """The manifest that the build wrote beside its tables."""
+    spark = tables.phases.sparkSession
+    return spark.read.schema("item string, value long").parquet(f"{tables.path}/manifest")
+
+
 def manifest(tables) -> DataFrame:
-    """Row counts, goal counts and frame orientations of one build, as (item, value) rows."""
+    """What a build has written, as (item, value) rows: row counts, goals, frame orientations, and
+    the files, bytes and bucket folders of each table."""
     t = tables
 
     def count(df: DataFrame, item: str) -> DataFrame:
@@ -274,19 +284,28 @@ def manifest(tables) -> DataFrame:
         F.concat(F.lit("orientation_"), F.col("orientation")).alias("item")
     ).agg(F.count("*").alias("value"))
     out = goals.unionByName(orient)
-    for item in ("matches", "phases", "phase_events", "phase_frames", "similarity"):
+    for item in PUBLISHED:
         out = out.unionByName(count(getattr(t, item), item))
+        out = out.unionByName(
+            table_bytes(t.phases.sparkSession, f"{t.path}/{item}").unpivot(
+                [], ["files", "bytes", "shards"], "kind", "value"
+            ).select(F.concat_ws("_", "kind", F.lit(item)).alias("item"), "value")
+        )
     return out.unionByName(count(t.events, "raw_events")).unionByName(
         count(t.frames, "raw_frames")
     )
 
 
 def table_bytes(spark, path: str) -> DataFrame:
-    """Files and bytes of a written table (names and lengths only)."""
+    """Files, bytes and folders of a written table (names and lengths only)."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.parquet")
         .load(path)
-        .agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+        .agg(
+            F.count("*").alias("files"),
+            F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"),
+            F.count_distinct(F.regexp_extract("path", "/bucket=([0-9]+)/", 1)).alias("shards"),
+        )
     )

@@ -41,6 +41,10 @@ MATCH_SCHEMA = (
     " home_score int, away_score int, stadium struct<name: string>, referee struct<name: string>"
 )
 
+# ``<match>.json``, or any file in a folder ``<match>`` or ``match_id=<match>``; seasons likewise.
+MATCH_IN_PATH = r"/(?:match_id=)?(\d+)(?:\.json|/[^/]+)$"
+SEASON_IN_PATH = r"/(?:competition_id=)?(\d+)/(?:season_id=)?(\d+)(?:\.json|/[^/]+)$"
+
 # Sub-objects that carry an outcome, by event type.
 _WITH_OUTCOME = (
     K.PASS, K.SHOT, K.GOALKEEPER, K.DUEL, K.INTERCEPTION, K.DRIBBLE, K.BALL_RECEIPT,
@@ -64,31 +68,43 @@ def by_type(type_ids, path: str) -> Column:
 
 def _scan(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
     # One array per file is the source layout; JSON lines also split within a file.
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
     return (
         spark.read.schema(schema)
         .option("multiLine", not lines)
+        .option("recursiveFileLookup", "true")
         .json(path)
-        .withColumn(
-            "match_id",
-            F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)", 1).cast("long"),
+        .withColumns(
+            {
+                "match_id": F.regexp_extract(F.col("_metadata.file_path"), MATCH_IN_PATH, 1).cast("long"),
+                # Rows of a file in their order: by split, then as the split's task reads them.
+                "_place": place,
+            }
         )
     )
 
 
 def read_events(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Nested events; ``match_id`` comes from the file name."""
-    return _scan(spark, path, EVENT_SCHEMA, lines)
+    """Nested events; ``match_id`` comes from the file name or its folder."""
+    return _scan(spark, path, EVENT_SCHEMA, lines).drop("_place")
 
 
 def read_frames(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Nested freeze frames, one per event; ``match_id`` comes from the file name."""
-    return _scan(spark, path, FRAME_SCHEMA, lines).dropDuplicates(["match_id", "event_uuid"])
+    """Nested freeze frames, the last one in the file of each event; ``match_id`` as for events."""
+    frame = F.struct("visible_area", "freeze_frame")
+    return (
+        _scan(spark, path, FRAME_SCHEMA, lines)
+        .groupBy("match_id", "event_uuid")
+        .agg(F.max_by(frame, "_place").alias("f"))
+        .select("event_uuid", "f.visible_area", "f.freeze_frame", "match_id")
+    )
 
 
 def read_matches(
     spark: SparkSession, path: str, competitions: Mapping[tuple[int, int], str], lines: bool = False
 ) -> DataFrame:
-    """Match list; competition and season ids come from ``.../<competition>/<season>.json``."""
+    """Match list; competition and season ids come from ``.../<competition>/<season>.json`` or from
+    folders of those names."""
     ids = F.col("_metadata.file_path")
     raw = (
         spark.read.schema(MATCH_SCHEMA)
@@ -97,8 +113,8 @@ def read_matches(
         .json(path)
         .withColumns(
             {
-                "competition_id": F.regexp_extract(ids, r"(\d+)/(\d+)[^/]*$", 1).cast("int"),
-                "season_id": F.regexp_extract(ids, r"(\d+)/(\d+)[^/]*$", 2).cast("int"),
+                "competition_id": F.regexp_extract(ids, SEASON_IN_PATH, 1).cast("int"),
+                "season_id": F.regexp_extract(ids, SEASON_IN_PATH, 2).cast("int"),
             }
         )
     )
@@ -268,22 +284,24 @@ def nest_events(flat: DataFrame) -> DataFrame:
     )
 
 
-def audit_files(spark: SparkSession, matches: DataFrame, folders: Mapping[str, str]) -> DataFrame:
+def audit_files(
+    spark: SparkSession, matches: DataFrame, folders: Mapping[str, str],
+    least: int = K.MIN_FRAME_FILE_BYTES,
+) -> DataFrame:
     """Missing files per match and kind, and frame files too small to be real.
 
     ``folders`` maps a kind (``events``, ``frames``) to its folder.  Only file names and lengths
-    are read.
+    are read; several files of one match count together.
     """
     reports = []
     for kind, folder in folders.items():
         files = (
             spark.read.format("binaryFile")
             .option("pathGlobFilter", "*.json")
+            .option("recursiveFileLookup", "true")
             .load(folder)
-            .select(
-                F.regexp_extract("path", r"(\d+)\.json$", 1).cast("long").alias("match_id"),
-                F.col("length").alias("bytes"),
-            )
+            .groupBy(F.regexp_extract("path", MATCH_IN_PATH, 1).cast("long").alias("match_id"))
+            .agg(F.sum("length").alias("bytes"))
         )
         missing = matches.select("match_id").join(files, "match_id", "left_anti")
         reports.append(
@@ -294,7 +312,7 @@ def audit_files(spark: SparkSession, matches: DataFrame, folders: Mapping[str, s
         )
         if kind == "frames":
             reports.append(
-                files.filter(F.col("bytes") < K.MIN_FRAME_FILE_BYTES)
+                files.filter(F.col("bytes") < least)
                 .join(matches.select("match_id"), "match_id", "left_semi")
                 .select("match_id", F.lit(kind).alias("kind"), F.lit("stub").alias("problem"), "bytes")
             )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasegrid import constants as K
+from phasegrid.sources import storage
 
 SPLIT_BUCKETS = 102
 STORE_COLUMNS = (
@@ -23,16 +24,19 @@ def register_views(tables) -> None:
 
 
 def phase_rows(table: DataFrame, match_id: int, phase_id: str) -> DataFrame:
-    """Rows of one phase: one partition is read, the id filter reaches the scan."""
+    """Rows of one phase: one bucket is read, the id filters reach the scan."""
     return table.filter(
-        (F.col("match_id") == match_id) & (F.col("phase_id") == phase_id)
+        (F.col("bucket") == storage.bucket_of(F.lit(match_id)))
+        & (F.col("match_id") == match_id)
+        & (F.col("phase_id") == phase_id)
     ).orderBy("idx")
 
 
 def match_rows(table: DataFrame, match_ids: Sequence[int], columns: Sequence[str] = STORE_COLUMNS) -> DataFrame:
     """Chosen columns of several matches, ordered."""
+    buckets = [storage.bucket_of(F.lit(m)) for m in match_ids]
     return (
-        table.filter(F.col("match_id").isin(*match_ids))
+        table.filter(F.col("bucket").isin(*buckets) & F.col("match_id").isin(*match_ids))
         .select("match_id", *columns)
         .orderBy("match_id", "phase_id", "idx")
     )

@@ -91,15 +91,15 @@ def test_small_blocks_change_nothing(spark, features, monkeypatch, bits):
         assert a == b
 
 
-@pytest.mark.parametrize("bits,split", [(2, True), (16, True), (16, False)])
-def test_ordered_scan_against_plain_loops(spark, monkeypatch, bits, split):
+@pytest.mark.parametrize("bits", [2, 4, 16])
+def test_ordered_scan_against_plain_loops(spark, monkeypatch, bits):
     monkeypatch.setattr(scan, "BLOCK_BITS", bits)
     rows = [(k, i * 2 + k, (i * 5) % 7 if i % 3 else None) for k in (0, 1) for i in range(23)]
     df = spark.createDataFrame(rows, "k int, o long, v int")
     got = scan.ordered_scan(
         df, ["k"], "o", lag={"p": F.col("v"), "po": F.col("o")}, lead={"nx": F.col("o")},
         sums={"s": F.coalesce("v", F.lit(0))}, last={"h": F.col("v")}, maxima={"m": F.col("v")},
-        totals={"t": F.lit(1)}, split=split,
+        totals={"t": F.lit(1)},
     ).orderBy("k", "o").collect()
     for k in (0, 1):
         mine = [r for r in rows if r[0] == k]
@@ -123,8 +123,8 @@ def test_numbering_and_previous_chain(features):
     assert [r["start_type"] for r in got] == ["regular"] + ["turnover_open_play"] * 2 + ["regular"] + ["turnover_open_play"] * 2
 
 
-def test_plain_plan_equals_blockwise_plan(spark, tmp_path, monkeypatch):
-    """The whole build, once with the probe's plain windows and once forced through small blocks."""
+def test_small_blocks_equal_large_ones(spark, tmp_path, monkeypatch):
+    """The whole build, once with one block per key and once with several per match and chain."""
     from phasegrid.plans import build as B
     from phasegrid.sources import testdata as TD
 
@@ -132,10 +132,8 @@ def test_plain_plan_equals_blockwise_plan(spark, tmp_path, monkeypatch):
     ordered = TD.range_blocks(spark, source, str(tmp_path / "ordered"))
     events = TD.flat_events(spark, ordered).cache()
     frames, matches = TD.flat_frames(events).cache(), TD.match_dimension(events).cache()
-    assert not scan.spans_blocks(events, "index")
     plain = B.build(events, frames, matches, str(tmp_path / "plain"))
     monkeypatch.setattr(scan, "BLOCK_BITS", 2)
-    assert scan.spans_blocks(events, "index")
     blocks = B.build(events, frames, matches, str(tmp_path / "blocks"))
     for name in ("phase_events", "phase_frames"):
         a, b = getattr(plain, name), getattr(blocks, name)

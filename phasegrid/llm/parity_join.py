@@ -191,11 +191,13 @@ def _packed_keys(df: DataFrame, levels: np.ndarray, buckets: int, split: int) ->
                     keys.append(ordered[first])
                     docs.append(np.repeat(rows, count)[first])
                 key, doc = np.concatenate(keys), np.concatenate(docs)
+                if not len(key):
+                    continue
                 body = key & _U((1 << 56) - 1)
                 bucket = (((body >> _U(40)) * _U(buckets)) >> _U(16)).astype(np.int64)
                 hot = (key >> _U(56)) >= _U(split_level)
                 # Keys of very many classes: buckets of their own, dealt by slice.
-                salt = np.where(hot, np.int64(int(cls[0]) % 251 + 1) if len(cls) else 0, 0)
+                salt = np.where(hot, np.int64(int(cls[0]) % 251 + 1), 0)
                 bucket = bucket * 256 + salt
                 order = np.lexsort((body, bucket))
                 bucket, body, doc = bucket[order], body[order], doc[order]

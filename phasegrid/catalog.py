@@ -259,7 +259,7 @@ def phase_paths(t):
 
 @on_tables()
 def phase_events(t):
-    return t.phase_events
+    return t.phase_events.drop("bucket")
 
 
 @on_tables()

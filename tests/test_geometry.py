@@ -51,6 +51,7 @@ def test_scalars(spark):
         G.canonical_location(F.array(F.lit(10.0), F.lit(20.0)), F.lit(False)).alias("plain"),
         G.canonical_location(F.lit(None).cast("array<double>"), F.lit(True)).alias("none"),
         G.clamp_x(F.lit(-3.0)).alias("cx"), G.clamp_y(F.lit(90.0)).alias("cy"),
+        G.clamp_x(F.lit(-9.0)).alias("far_x"), G.clamp_y(F.lit(None).cast("double")).alias("no_y"),
         G.lookup(F.lit(99), {1: "a"}).alias("unknown"), G.lookup(F.lit("k"), {"k": "it's"}).alias("quoted"),
         G.flag(F.lit(None)).alias("missing_flag"), G.zone_third(F.lit("mid_third_left")).alias("third"),
     ).first()
@@ -59,7 +60,8 @@ def test_scalars(spark):
     assert (one["id"], one["long_id"], one["match"]) == ("7-0012", "7-123456", 77)
     assert tuple(one["flipped"]) == (110.1, 60.1, 2.5)
     assert tuple(one["plain"]) == (10.0, 20.0, None) and tuple(one["none"]) == (None, None, None)
-    assert (one["cx"], one["cy"], one["unknown"], one["quoted"]) == (0.0, 80.0, None, "it's")
+    assert (one["cx"], one["cy"], one["unknown"], one["quoted"]) == (-3.0, 84.0, None, "it's")
+    assert (one["far_x"], one["no_y"]) == (-4.0, None)
     assert (one["missing_flag"], one["third"]) == (False, "mid_third")
 
 

@@ -75,8 +75,12 @@ def test_keyframes_and_positions(spark, monkeypatch, bits):
     assert len(seen) == sum(int(max(e, want[p][-1][0]) / 0.25) + 1 for p, e in ends.items())
     for (p, t), xy in seen.items():
         assert xy == pytest.approx(plain_at(want[p], t)), (p, t)
-    trail = R.trail(keys, spark.createDataFrame([("a", 8.5)], "phase_id string, at double"))
-    assert trail.count() == sum(k[0] <= 8.5 for k in want["a"])
+    for at in (-1.0, 0.0, 7.0, 8.5, 10.2, 99.0):
+        trail = R.trail(keys, spark.createDataFrame([("a", at)], "phase_id string, at double")).collect()
+        passed = [[r["t"], r["x"], r["y"]] for r in sorted(trail, key=lambda r: r["pos"] or 0) if not r["head"]]
+        assert passed == [k for k in want["a"] if k[0] <= at]
+        (head,) = [r for r in trail if r["head"]]
+        assert [head["x"], head["y"]] == pytest.approx(plain_at(want["a"], at))
     assert {r["type_id"] for r in R.markers(df).select("type_id").distinct().collect()} == {2, 43, 30, 16}
 
 

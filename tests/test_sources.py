@@ -102,6 +102,7 @@ def test_declared_schemas(built):
     assert phases == B.PHASE_COLUMNS and len(phases) == 43
     events, frames = kinds(built.phase_events), kinds(built.phase_frames)
     assert events.pop("match_id") and frames.pop("match_id")
+    assert events.pop("bucket") and frames.pop("bucket")
     assert events == B.EVENT_COLUMNS and len(events) == 22
     assert frames == B.FRAME_COLUMNS and len(frames) == 9
     TB.register_views(built)

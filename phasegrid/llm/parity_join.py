@@ -36,7 +36,7 @@ from phasegrid.sources import storage
 WORDS = 5
 # Bits of the count sketch's cells, and the count from which a cell is common.
 CELL_BITS = 22
-COMMON = 64
+COMMON = 16
 # A key that more classes than this share is dealt over several tasks.
 SPLIT = 1 << 18
 KEYS_PER_BUCKET = 1_000_000
@@ -120,7 +120,8 @@ def _pick(sets: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarra
 
 
 def _fingerprints(df: DataFrame, path: str) -> DataFrame:
-    """doc_id, cls, n of each document, and (cell, hits) rows of the count sketch in one table."""
+    """doc_id, cls, n and sketch of each document, and (cell, hits) rows of the count sketch, in one
+    table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELL_BITS, np.int32)
@@ -137,19 +138,21 @@ def _fingerprints(df: DataFrame, path: str) -> DataFrame:
                     mine = np.isin(rows, fresh)
                     keys, _ = blocks(*_pick(sets, at, rows[mine]), band[mine])
                     cells += np.bincount((keys >> _U(56 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS).astype(np.int32)
+                bits = [sketch(sets[a:b], b - a) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(cls), pa.array(n.astype(np.int64)),
-                     pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.int64())],
-                    ["doc_id", "cls", "n", "cell", "hits"],
+                     pa.array(bits, pa.binary()), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.int64())],
+                    ["doc_id", "cls", "n", "sketch", "cell", "hits"],
                 )
-        found = np.flatnonzero(cells > 8 + 3 * cells.mean())
+        found = np.flatnonzero(cells > 4 + 2 * cells.mean())
         empty = [pa.nulls(len(found), pa.int64())] * 3
         yield pa.RecordBatch.from_arrays(
-            [*empty, pa.array(found, pa.int32()), pa.array(cells[found], pa.int64())],
-            ["doc_id", "cls", "n", "cell", "hits"],
+            [*empty, pa.nulls(len(found), pa.binary()), pa.array(found, pa.int32()), pa.array(cells[found], pa.int64())],
+            ["doc_id", "cls", "n", "sketch", "cell", "hits"],
         )
 
-    return storage.save(df.mapInArrow(run, "doc_id long, cls long, n long, cell int, hits long"), path)
+    schema = "doc_id long, cls long, n long, sketch binary, cell int, hits long"
+    return storage.save(df.mapInArrow(run, schema), path)
 
 
 def _levels(table: DataFrame) -> np.ndarray:
@@ -263,7 +266,7 @@ def sketch(hashes: np.ndarray, n: int) -> bytes:
 
 
 def _payloads(df: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
-    """cls, n, sketch and shingle hashes (packed) of one document of each wanted class."""
+    """cls, n and shingle hashes (packed) of the wanted documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,13 +275,12 @@ def _payloads(df: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
                 cls, n = class_ids(sets, at), np.diff(at)
                 parts = [sets[lo:hi] for lo, hi in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cls), pa.array(n.astype(np.int64)),
-                     pa.array([sketch(p, len(p)) for p in parts], pa.binary()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                    ["cls", "n", "sketch", "shingles"],
+                    [pa.array(cls), pa.array(n.astype(np.int64)), pa.array([p.tobytes() for p in parts], pa.binary())],
+                    ["cls", "n", "shingles"],
                 )
 
     chosen = df.join(wanted, "doc_id", "left_semi").select("text")
-    return storage.save(chosen.mapInArrow(run, "cls long, n long, sketch binary, shingles binary"), path)
+    return storage.save(chosen.mapInArrow(run, "cls long, n long, shingles binary"), path)
 
 
 def _near_sketches(n: np.ndarray, payload: list[bytes]) -> Callable[[int, np.ndarray], np.ndarray]:
@@ -409,10 +411,15 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = storage.save(
         _groups(_packed_keys(named, _levels(table), buckets, split)), storage.new_path(spark, "groups")
     )
-    classes = prints.where("doc_id is not null and n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    wanted = classes.join(groups.select("cls").distinct(), "cls", "left_semi").select("doc_id")
+    sets = prints.where("doc_id is not null and n > 0")
+    classes = sets.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    sketches = table.where("n > 0 and doc_id is not null").select("cls", "n", "sketch")
+    sketches = sketches.join(groups.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
+    sketches = storage.save(sketches, storage.new_path(spark, "sketches"))
+    families = components(resolve(groups, sketches, "sketch", _near_sketches, members))
+    # Only now the sets themselves, and only of classes that some sketch leaves as neighbours.
+    wanted = classes.join(families.select(F.col("node").alias("cls")), "cls", "left_semi").select("doc_id")
     payloads = _payloads(named, wanted, storage.new_path(spark, "payloads")).dropDuplicates(["cls"])
-    families = components(resolve(groups, payloads, "sketch", _near_sketches, members))
     family_groups = families.select(F.col("label").alias("gid"), F.col("node").alias("cls"))
     linked = components(resolve(family_groups, payloads, "shingles", _near_sets, members))
     named_by = linked.join(classes, linked["node"] == classes["cls"]).groupBy("label").agg(
@@ -422,7 +429,7 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     smallest = classes.join(owner, "cls", "left").select(
         "cls", F.coalesce("component_id", "doc_id").alias("component_id")
     )
-    sets = prints.where("n > 0 and doc_id is not null").join(smallest, "cls", "left")
+    sets = sets.join(smallest, "cls", "left")
     rest = prints.where("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
     return sets.select("doc_id", "n", "cls", "component_id").union(
         rest.select("doc_id", "n", "cls", "component_id")

@@ -55,6 +55,7 @@ TACKLE = 11
 FIFTY_FIFTY_WON = (3, 4)
 KEEPER_REGAIN_TYPES = (25, 27, 34)
 
+# Enums, stages and their order.
 START_TYPES = (
     "kick_off", "goal_kick", "corner", "free_kick", "throw_in", "turnover_open_play", "regular",
 )
@@ -112,12 +113,13 @@ NUMERIC_FEATURES = (
 BOOL_FEATURES = (
     "high_press_regain", "counterattack", "switch_of_play", "reached_final_third", "reached_box",
 )
-# 20 path points thinned to 12 (rounded even spacing).
+# 20 path points thinned to 12 (rounded even spacing), clip, weights, size.
 TRAJECTORY_INDEX = (0, 2, 3, 5, 7, 9, 10, 12, 14, 16, 17, 19)
 VECTOR_CLIP = 3.0
 W_BOOL, W_START, W_OUTCOME, W_ZONE, W_PATH = 0.8, 0.7, 0.7, 0.6, 0.5
 VECTOR_DIM = 74
 
+# Channels of an event and labels of the probe, in order.
 EVENT_CHANNELS = (
     "x", "y", "has_loc", "end_x", "end_y", "has_end", "dx", "dy", "t_rel", "dt",
     "under_pressure", "counterpress", "out", "xg", "side",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from phasegrid import constants as K
 
 # Word boundary of ASCII word characters.
+# ASCII word borders, spelled out because \b follows the Unicode rules of the Java version.
 _B, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 _SPACES = r"[\s\x0B\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
 

@@ -41,7 +41,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = substring.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = substring.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
     return cut.select(
         "doc_id", F.size("removed").cast("long").alias("n_spans"),
         F.aggregate("removed", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"]).alias("removed_chars"),

@@ -73,3 +73,27 @@ def test_first_stays_and_clean_texts_too(spark, empty):
     assert texts[3] == [rows[1][1]] and texts[9] == [own[1]]
     assert texts[5] == [""] and texts[7] == ["", ""] and texts[None] == [None] and texts[4] == [""]
     assert S.deduplicate(empty).count() == 0
+
+
+def test_every_repeated_stretch_of_fifty_words_loses_half(spark):
+    rng = random.Random(12)
+    shout = " ".join(rng.choice(["aye!!", "nay!!", "oh!!", "ho!!", "hum!!", "huh!!"]) for _ in range(90))  # one word a sentence
+    short = " ".join(f"{w}." if i % 3 == 2 else w for i, w in enumerate(prose(rng, 75).replace(".", "").split()))
+    flat = " ".join(f"v{rng.randrange(5000)}" for _ in range(64))  # no end marks
+    rows = [(k, " ".join(f"u{k}x{j}" for j in range(3 * k)) + f" {t} " + " ".join(f"z{k}x{j}" for j in range(5)))
+            for k, t in enumerate(t for t in (shout, short, flat) for _ in range(5))]
+    rows += [(50 + k, f"{prose(rng, 9)} w{k}\n{prose(rng, 40)}") for k in range(10)]
+    got = {r["doc_id"]: r for r in S.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), whole=True).collect()}
+    seen, repeated = set(), {}
+    for d, t in rows:
+        spans = [m.span() for m in re.finditer(r"\S+", t)]
+        for i in range(len(spans) - 49):
+            gram = tuple(t[a:b] for a, b in spans[i : i + 50])
+            if gram in seen:
+                repeated.setdefault(d, set()).update(spans[i : i + 50])
+            seen.add(gram)
+    assert len(repeated) == 12
+    for d, spans in repeated.items():
+        cut = sum(any(s["start"] <= a and b <= s["end"] for s in got[d]["removed"]) for a, b in spans)
+        assert cut >= len(spans) / 2, (d, cut, len(spans))
+    assert all(got[d]["text"] == t for d, t in rows if d not in repeated)

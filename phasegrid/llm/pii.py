@@ -1,9 +1,12 @@
 """Personal data: pattern spans, and terms that the corpus shows to give protected values away.
 
-Only DataFrame functions.  Base spans come from patterns.  The method then treats each found value
-as a protected entity and each word near it as a possible clue: with document counts over the whole
-corpus, disclosure = PMI(entity, term) / information(entity).  It is 1 when the term never occurs
-without the entity.  Clues above the thresholds are generalised (cut to a prefix) or removed.
+Only DataFrame functions.  Base spans come from patterns.  The method then protects each found value,
+the group it belongs to (mail domain, network, issuer, dialling code) and its kind as entities.  Every
+word of a document is a possible clue to the entities in it: with counts of distinct texts over the
+whole corpus, disclosure = PMI(entity, term) / information(entity).  It is 1 when the term never
+occurs without the entity.  The decision takes n - 1 / n for the n texts of a pair, so one text is no
+evidence and few are less than many.  Every occurrence of a clue above the thresholds is generalised
+(cut to a prefix) or removed in all documents of its entity.
 """
 
 from __future__ import annotations
@@ -24,17 +27,16 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-WORD, GAP = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
-# Characters of context on each side of an entity; shorter words are no clues.
-CONTEXT, SHORTEST = 80, 3
-# Documents that must show a clue next to its entity; disclosure from which it is cut or removed.
-SUPPORT, GENERALISE, REMOVE = 3, 0.75, 0.95
+GAP = r"[^\p{L}\p{N}]+"
+# Shorter words are no clues; disclosure from which a clue is cut or removed.
+SHORTEST, GENERALISE, REMOVE = 3, 0.75, 0.95
 SPAN = "struct<start:int,no:int,end:int,kind:string,value:string>"
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str | Column) -> Column:
     """array<struct<start, end, hit>> of all matches, in code points, ends exclusive."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     empty = F.array().cast("array<struct<start:int,end:int,hit:string>>")
 
     def step(acc: Column, x: Column) -> Column:
@@ -45,7 +47,7 @@ def matches(text: Column, pattern: str) -> Column:
 
     pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
     start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["found"])).otherwise(empty)
+    return F.when(F.rlike(text, pattern), F.aggregate(pairs, start, step, lambda acc: acc["found"])).otherwise(empty)
 
 
 def _luhn(digits: Column) -> Column:
@@ -85,61 +87,82 @@ def term_key(term: Column) -> Column:
     return F.xxhash64(F.lower(term))
 
 
-def _clues(text: Column, spans: Column) -> Column:
-    """Words within CONTEXT characters of a span and outside all spans: entity, term, start, end."""
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(text, GAP, -1), lambda w: F.length(w) >= SHORTEST))
 
-    def near(s: Column) -> Column:
-        entity = F.xxhash64(s["kind"], s["value"])
-        lo = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        left = matches(F.substring(text, lo + 1, s["start"] - lo), WORD)
-        right = matches(F.substring(text, s["end"] + 1, F.lit(CONTEXT)), WORD)
-        # A word that the window cuts is left out.
-        left = F.filter(left, lambda m: (m["start"] > 0) | (lo == 0))
-        right = F.filter(right, lambda m: m["end"] < CONTEXT)
 
-        def put(words: Column, by: Column) -> Column:
-            return F.transform(words, lambda m: F.struct(
-                entity.alias("entity"), term_key(m["hit"]).alias("term"),
-                (m["start"] + by).alias("start"), (m["end"] + by).alias("end"),
-            ))
+def _outside(found: Column, spans: Column) -> Column:
+    return F.filter(found, lambda c: ~F.exists(spans, lambda s: (c["start"] < s["end"]) & (s["start"] < c["end"])))
 
-        return F.concat(put(left, lo), put(right, s["end"]))
 
-    all_ = F.flatten(F.transform(spans, near))
-    outside = F.filter(all_, lambda c: ~F.exists(spans, lambda s: (c["start"] < s["end"]) & (s["start"] < c["end"])))
-    return F.array_distinct(F.filter(outside, lambda c: c["end"] - c["start"] >= SHORTEST))
+def entities(spans: Column) -> Column:
+    """Distinct hashes of the values, their groups and their kinds."""
+
+    def of(s: Column) -> Column:
+        value = s["value"]
+        group = (
+            F.when(s["kind"] == "email", F.substring_index(value, "@", -1))
+            .when(s["kind"] == "ip", F.substring_index(value, ".", 3))
+            .otherwise(F.substring(F.translate(value, "+ ().-", ""), 1, 6))
+        )
+        return F.array(F.xxhash64(s["kind"], value), F.xxhash64(s["kind"], F.lit("group"), group), F.xxhash64(s["kind"]))
+
+    return F.array_distinct(F.flatten(F.transform(spans, of)))
 
 
 def find(df: DataFrame, text: Column, key: Column) -> DataFrame:
-    """All columns of ``df``, ``_key``, ``_spans`` and ``_clues``."""
+    """All columns of ``df``, ``_key``, ``_spans``, ``_copy`` (names equal texts) and ``_body`` (the text
+    where it has spans)."""
     body = F.coalesce(text, F.lit(""))
-    out = df.withColumn("_key", key).withColumn("_spans", base_spans(body))
-    none = F.array().cast("array<struct<entity:bigint,term:bigint,start:int,end:int>>")
-    return out.withColumn("_clues", F.when(F.size("_spans") > 0, _clues(body, F.col("_spans"))).otherwise(none))
+    out = df.withColumn("_key", key).withColumn("_spans", base_spans(body)).withColumn("_copy", F.xxhash64(body))
+    return out.withColumn("_body", F.when(F.size("_spans") > 0, body))
+
+
+def _rest(text: Column, spans: Column) -> Column:
+    """The text without its spans, a space for each."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(spans, start, lambda acc, s: F.struct(
+        F.greatest(acc["at"], s["end"]).alias("at"),
+        F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(" ")).alias("out"),
+    ), lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
 
+def clues(found: DataFrame) -> DataFrame:
+    """_copy, entities, terms of each distinct text with an entity that another text has too."""
+    spark = found.sparkSession
+    marked = found.where(F.size("_spans") > 0).select("_copy", F.explode(entities(F.col("_spans"))).alias("entity")).distinct()
+    again = marked.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where("n_e > 1")
+    own = marked.join(again, "entity").groupBy("_copy").agg(
+        F.collect_list(F.struct("entity", "n_e")).alias("entities"))
+    words = F.transform(_words(_rest(F.col("_body"), F.col("_spans"))), term_key)
+    texts = found.where(F.size("_spans") > 0).dropDuplicates(["_copy"])
+    out = texts.join(own, "_copy").select("_copy", "entities", F.array_distinct(words).alias("terms"))
+    return storage.save(out, storage.new_path(spark, "pii-clues"))
 
-def disclosures(found: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
-    """entity, term, disclosure of every clue that SUPPORT documents show next to its entity.
 
-    Counts are numbers of rows (documents) over the whole corpus.
+def _pairs(clues_: DataFrame) -> DataFrame:
+    return clues_.select("_copy", F.explode("entities").alias("e"), "terms").select(
+        "_copy", "e.entity", "e.n_e", F.explode("terms").alias("term"))
+
+
+def disclosures(clues_: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
+    """entity, term, disclosure and ``sure`` (the same from n_et - 1 / n_et) of every clue that two
+    texts show together with its entity.
+
+    Counts are numbers of distinct texts over the whole corpus.
     """
-    n = found.count()
-    entities = found.select(
-        F.explode(F.array_distinct(F.transform("_spans", lambda s: F.xxhash64(s["kind"], s["value"])))).alias("entity")
-    ).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    pairs = found.select(F.explode(F.array_distinct(F.transform(
-        "_clues", lambda c: F.struct(c["entity"].alias("entity"), c["term"].alias("term"))))).alias("p")
-    ).groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= SUPPORT)
-    words = F.filter(F.split(F.col(text_col), GAP, -1), lambda w: F.length(w) >= SHORTEST)
-    terms = texts.where(F.col(text_col).isNotNull()).select(
-        F.explode(F.array_distinct(F.transform(words, term_key))).alias("term")
-    ).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    rate = F.log(n * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / -F.log(F.col("n_e") / n)
-    return (
-        pairs.join(entities, "entity").join(terms, "term")
-        .where(F.col("n_e") < n)
-        .select("entity", "term", rate.alias("disclosure"))
-    )
+    bodies = texts.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    bodies = bodies.withColumn("_copy", F.xxhash64("_text")).dropDuplicates(["_copy"])
+    n = texts.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).distinct().count()
+    pairs = _pairs(clues_).groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") > 1)
+    terms = bodies.select(F.explode(F.array_distinct(F.transform(_words(F.col("_text")), term_key))).alias("term")).groupBy(
+        "term").agg(F.count(F.lit(1)).alias("n_t"))
+
+    def rate(n_et: Column) -> Column:
+        return F.log(n * n_et / (F.col("n_e") * F.col("n_t"))) / -F.log(F.col("n_e") / n)
+
+    return pairs.join(terms, "term").where(F.col("n_e") < n).select(
+        "entity", "term", rate(F.col("n_et")).alias("disclosure"), rate(F.col("n_et") - 1 / F.col("n_et")).alias("sure"))
 
 
 def spans_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -155,20 +178,32 @@ def spans_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     key = F.xxhash64("_id", F.coalesce("_text", F.lit("")))
     found = storage.save(
-        find(docs, F.col("_text"), key).select("_id", "_key", "_spans", "_clues"), storage.new_path(spark, "pii-spans")
+        find(docs, F.col("_text"), key).select("_id", "_key", "_spans", "_copy", "_body"), storage.new_path(spark, "pii-spans")
+    )
+    shown = clues(found)
+    # Written, so that Spark knows its size and broadcasts a small one.
+    risky = storage.save(
+        disclosures(shown, docs, "_text").where(F.col("sure") >= generalise), storage.new_path(spark, "pii-risky")
     )
-    risky = disclosures(found, docs, "_text").where(F.col("disclosure") >= generalise)
-    at = found.where(F.size("_clues") > 0).select("_key", F.explode("_clues").alias("c")).select("_key", "c.*").distinct()
-    terms = (
-        at.join(risky, ["entity", "term"])
-        .groupBy("_key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-        .groupBy("_key").agg(F.array_sort(F.collect_list(F.struct(
-            "start", "end", "disclosure",
-            F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action"),
-        ))).alias("terms"))
+    told = (
+        _pairs(shown).join(risky, ["entity", "term"])
+        .groupBy("_copy", "term").agg(F.max(F.struct("sure", "disclosure")).alias("most"))
+        .groupBy("_copy").agg(F.map_from_entries(F.collect_list(F.struct("term", "most"))).alias("_risky"))
     )
+    some = found.where(F.size("_spans") > 0).join(told, "_copy").withColumn("_forms", F.filter(
+        _words(F.col("_body")), lambda w: F.map_contains_key("_risky", term_key(w)))).where(F.size("_forms") > 0)
+    # Words hold letters and digits only, so they stand for themselves in a pattern.
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join("_forms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    at = _outside(matches(F.col("_body"), pattern), F.col("_spans"))
+
+    def judged(m: Column) -> Column:
+        most = F.element_at("_risky", term_key(m["hit"]))
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), most["disclosure"].alias("disclosure"),
+                        F.when(most["sure"] >= remove, "remove").otherwise("generalise").alias("action"))
+
+    terms = some.dropDuplicates(["_key"]).select("_key", F.transform(at, judged).alias("terms"))
     none = F.array().cast("array<struct<start:int,end:int,disclosure:double,action:string>>")
-    return found.join(terms, "_key", "left").select(
+    return found.drop("_body").join(terms, "_key", "left").select(
         F.col("_id").alias(id_col), F.col("_key").alias("row_key"), F.col("_spans").alias("base"),
         F.coalesce("terms", none).alias("terms"),
     )

@@ -92,3 +92,22 @@ def test_hard_rows(spark, corpus, empty):
     assert sorted((r["text"] or "") for r in out.collect()) == ["", "[EMAIL] [PHONE]", "ip [IP]", "mail [EMAIL]", "mail [EMAIL]", "other"]
     assert pii.sanitise(corpus).count() == corpus.count()
     assert pii.spans_of(empty).count() == pii.sanitise(empty).count() == 0
+
+
+def test_far_and_shared_clues_go_everywhere(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 30)) for i in range(60)]
+    # Two documents of one value, the clue far from it and twice; three values of one domain.
+    rows += [(100 + i, f"Kestrel {prose(rng, 40)} write to kim@one{i // 2}.net soon {prose(rng, 40)} kestrel.") for i in range(2)]
+    rows += [(200 + i, f"u{i}@lone.org {prose(rng, 40)} project halyard {prose(rng, 4)}") for i in range(3)]
+    rows += [(300, f"v@single.com once onlyhere {prose(rng, 5)}"), (301, rows[0][1])]
+    texts = dict(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["terms"]] for r in pii.spans_of(df).collect()}
+    for i in range(2):
+        assert terms[100 + i].count("Kestrel") == terms[100 + i].count("kestrel") == 1
+    assert all("halyard" in terms[200 + i] for i in range(3))
+    assert "onlyhere" not in terms[300]  # one document is no evidence
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert not any("kestrel" in clean[100 + i].lower() or "halyard" in clean[200 + i] for i in range(2))
+    assert all(clean[i] == t for i, t in rows if "@" not in t)

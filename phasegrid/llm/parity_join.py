@@ -16,8 +16,8 @@ made for each size band a document can meet a partner in.
 5. verification: exact set similarity inside each family; components of the links.
 
 Groups and families larger than one task are cut into chunks that share some members; what the
-chunks leave apart is then compared with every chunk, so no link is lost and no group is ever whole
-in one task.  Nothing but the 4 MB count sketch is broadcast.
+chunks leave apart is cut into chunks too, each of which meets every chunk of the group in a task of
+its own, so no link is lost and no group is ever whole in one task.  Nothing but the 4 MB count sketch is broadcast.
 """
 
 from __future__ import annotations
@@ -351,7 +351,7 @@ def resolve(groups: DataFrame, payloads: DataFrame, column: str, make: Callable,
         "chunks", F.greatest(F.ceil(F.col("g") / members), F.ceil(F.col("_bytes") / CHUNK_BYTES)).cast("long")
     )
     placed = storage.save(
-        groups.join(totals.select("gid", "g", "chunks"), "gid"), storage.new_path(spark, "groups")
+        sized.select("gid", "cls", "_size").join(totals.select("gid", "g", "chunks"), "gid"), storage.new_path(spark, "groups")
     )
 
     def local(rows: pa.Table) -> pa.Table:
@@ -374,7 +374,7 @@ def resolve(groups: DataFrame, payloads: DataFrame, column: str, make: Callable,
     large = placed.where("chunks > 1")
     if large.isEmpty():
         return edges
-    # What is not in a large group's largest component meets every chunk of the group.
+    # What is not in a large group's largest component meets every chunk of the group, chunk by chunk.
     labels = components(edges)
     tagged = large.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
         "label", F.coalesce("label", "cls")
@@ -383,10 +383,14 @@ def resolve(groups: DataFrame, payloads: DataFrame, column: str, make: Callable,
         F.max(F.struct("k", "label"))["label"].alias("main")
     )
     tagged = storage.save(tagged.join(most, "gid"), storage.new_path(spark, "tagged"))
-    rest = tagged.where("label <> main").select("gid").distinct()
-    again = tagged.join(rest, "gid", "left_semi").withColumn(
-        "chunk", F.explode(F.when(F.col("label") != F.col("main"), everywhere).otherwise(F.array(own)))
-    )
+    apart = F.col("label") != F.col("main")
+    rest = tagged.where(apart).groupBy("gid").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / members), F.ceil(F.sum("_size") / CHUNK_BYTES)).cast("long").alias("rests"))
+    mine = F.pmod(F.xxhash64(F.lit(5), "cls", "gid"), F.col("rests"))
+    every_rest = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1), lambda r: r * F.col("chunks") + own)
+    every_chunk = F.transform(everywhere, lambda c: mine * F.col("chunks") + c)
+    again = tagged.join(rest, "gid").withColumn("chunk", F.explode(
+        F.when(apart, F.array_union(every_rest, every_chunk)).otherwise(every_rest)))
     more = storage.save(compare(again).distinct(), storage.new_path(spark, "edges"))
     return edges.union(more)
 

@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from phasegrid.llm import common as C
 from phasegrid.llm import parity_join as J
@@ -97,3 +98,18 @@ def test_word_spans_break_at_rows():
     joined = b"".join(raw)
     assert [joined[a:b] for a, b in zip(starts, ends)] == [b"ab", b"c", b"d", b"e", b"f"]
     assert words.tolist() == [0, 2, 3, 3, 4, 5]
+
+
+def test_unlinked_members_of_a_large_group_stay_apart_in_tasks(spark):
+    members = 256
+    # Members are linked where sizes differ by one: pairs (3k, 3k + 1) for every 50th k only.
+    sizes = [3 * k for k in range(1, 3001)] + [3 * k + 1 for k in range(1, 3001, 50)]
+    df = spark.createDataFrame([(7, n, n, b"x" * 8) for n in sizes], "gid long, cls long, n long, payload binary")
+
+    def make(n, payload):
+        assert len(n) <= 3 * members, f"{len(n)} members in one task"
+        return lambda i, others: abs(n[others] - n[i]) == 1
+
+    edges = J.resolve(df.select("gid", "cls"), df.select("cls", "n", F.col("payload").alias("p")), "p", make, members)
+    found = {r["node"]: r["label"] for r in components(edges).collect()}
+    assert found == {n: 3 * k for k in range(1, 3001, 50) for n in (3 * k, 3 * k + 1)}

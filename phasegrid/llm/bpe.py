@@ -19,7 +19,10 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 # Remembered pre-tokens of a worker; when it is full it starts anew, which only costs time.
-CACHE_ENTRIES = 1 << 19
+# Bytes of a worker's memo of pre-tokens: two generations of half as much.
+MEMO_BYTES = 16 << 20
+# What an entry takes beside its strings: two object heads and a place in the table.
+ENTRY_BYTES = 190
 _MASK = (1 << 64) - 1
 
 
@@ -122,25 +125,39 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Codec(dict):
-    """Encoder and decoder of one worker; as a dict it remembers the packed ids of pre-tokens."""
+    """Encoder and decoder of one worker; as a dict it remembers the packed ids of pre-tokens.
 
-    def __init__(self, tokens: list[bytes], pattern: str, limit: int = CACHE_ENTRIES):
+    The memo is bounded by bytes: a full generation becomes the older one, whose entries come back
+    as they are used again.
+    """
+
+    def __init__(self, tokens: list[bytes], pattern: str, limit: int = MEMO_BYTES):
         super().__init__()
-        self.tokens, self.limit = tokens, limit
+        self.tokens, self.limit = tokens, limit // 2
+        self.held, self.older = 0, {}
         self.split = regex.compile(pattern).findall
         self.whole = PerfectHash(tokens)
         self.ranks = {t: i for i, t in enumerate(tokens)}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
         raw = piece.encode("utf-8")
-        rank = self.whole.get(raw)
-        ids = array("I", [rank] if rank >= 0 else merge(raw, self.ranks)).tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            rank = self.whole.get(raw)
+            ids = array("I", [rank] if rank >= 0 else merge(raw, self.ranks)).tobytes()
         if len(raw) <= 64:
+            if self.held >= self.limit:
+                self.older, self.held = dict(self), 0
+                self.clear()
             self[piece] = ids
+            self.held += ENTRY_BYTES + len(raw) + len(ids)
         return ids
 
+    def forget(self) -> None:
+        """Empty the memo, so that a worker that goes on to other work does not hold it."""
+        self.clear()
+        self.older, self.held = {}, 0
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.__getitem__, self.split(text)))
@@ -184,6 +201,7 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text",
                 yield pa.RecordBatch.from_arrays(
                     [*batch.slice(lo, 1000).columns[: len(kept)], pa.array(ids, pa.binary())], schema.names
                 )
+        codec.forget()
 
     return source.mapInArrow(run, schema)
 

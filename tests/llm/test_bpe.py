@@ -20,7 +20,7 @@ def reference():
 
 @pytest.fixture(scope="module")
 def codec():
-    return bpe.Codec(bpe.read_ranks(PATH), P.PATTERN, limit=500)
+    return bpe.Codec(bpe.read_ranks(PATH), P.PATTERN, limit=100_000)
 
 
 def test_perfect_hash_is_minimal_and_proves_its_keys():
@@ -58,3 +58,12 @@ def test_rows_are_whole(spark, corpus, empty, reference):
         assert r["list"] == reference.encode_ordinary(r["text"] or "")
         assert bytes(r["decoded"]) == (r["text"] or "").encode()
     assert bpe.encode(empty, PATH, P.PATTERN).count() == 0
+
+
+def test_memo_is_bounded_by_bytes():
+    codec = bpe.Codec([bytes([c]) for c in range(256)], P.PATTERN, limit=40_000)
+    for i in range(2000):
+        assert codec.decode(codec.encode(f"word{i} again")) == f"word{i} again".encode()
+        assert len(codec) + len(codec.older) <= 40_000 // bpe.ENTRY_BYTES + 2
+    codec.forget()
+    assert not codec and not codec.older

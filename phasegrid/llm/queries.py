@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from phasegrid.llm import bpe, chat, decontaminate, langid, parity_join, pii, quality, sharding, substring, urls
+from phasegrid.llm import (
+    bpe, chat, decontaminate, langid, parity_join, pii, quality, sharding, substring, topk, urls, whitening,
+)
 from phasegrid.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -95,6 +97,15 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows.where(F.col("vec_id") % 50 == 0), rows)
+
+
 OP10_SQL = f"""
 WITH rules(rule_host, rule_path, rule_verdict) AS (
   VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}
@@ -119,6 +130,25 @@ FROM site LEFT JOIN best USING (row_id)
 """
 
 
+OP13_SQL = """
+WITH usable AS (
+  SELECT vec_id, row_number() OVER () AS row_id, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
+), entries AS (
+  SELECT vec_id, row_id, unnest(range(len(embedding))) AS dim,
+         unnest(list_transform(embedding, c -> CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT))) AS v
+  FROM usable
+), scores AS (
+  SELECT q.vec_id AS query_id, q.row_id AS query_row, c.vec_id, c.row_id, CAST(sum(q.v * c.v) AS BIGINT) AS score
+  FROM entries q JOIN entries c ON q.dim = c.dim AND q.vec_id % 50 = 0 AND c.vec_id IS DISTINCT FROM q.vec_id
+  GROUP BY ALL
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id ASC NULLS LAST) AS rank FROM scores)
+WHERE rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -131,8 +161,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_decontamination": op9_decontamination,
         "op10_urls": op10_urls,
+        "op12_whitening": op12_whitening,
+        "op13_topk": op13_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_urls": OP10_SQL}
+    return {"op10_urls": OP10_SQL, "op13_topk": OP13_SQL}

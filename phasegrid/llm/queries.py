@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from phasegrid.llm import (
-    bpe, chat, decontaminate, langid, parity_join, pii, quality, sharding, substring, topk, urls, whitening,
+    bpe, chat, collocations, decontaminate, langid, parity_join, pii, quality, sharding, substring, topk, urls, whitening,
 )
 from phasegrid.llm.common import table
 
@@ -97,6 +97,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -130,6 +134,44 @@ FROM site LEFT JOIN best USING (row_id)
 """
 
 
+OP11_SQL = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, '{collocations.NO_LANG}') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), worded AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, range(1, 4) AS sizes(k))
+), f AS (
+  SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS n FROM grams GROUP BY ALL
+), found AS (
+  SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= 10
+), covered AS (
+  SELECT lang, phrase, max(a) AS top FROM (
+    SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM found WHERE k = 3
+  ) GROUP BY ALL
+), kept AS (
+  SELECT found.* FROM found LEFT JOIN covered USING (lang, phrase) WHERE top IS NULL OR 100 * top < 50 * a
+), cuts AS (
+  SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept)
+), scores AS (
+  SELECT c.lang, c.phrase, a, cut, x.n AS l, y.n AS r, 1000000 * a * a // (x.n * y.n) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = head JOIN f y ON y.lang = c.lang AND y.phrase = tail
+), lowest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM scores
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest WHERE nth = 1
+), total AS (
+  SELECT lang, sum(len(w)) AS n FROM worded GROUP BY lang
+)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
 OP13_SQL = """
 WITH usable AS (
   SELECT vec_id, row_number() OVER () AS row_id, embedding FROM embeddings
@@ -161,10 +203,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_decontamination": op9_decontamination,
         "op10_urls": op10_urls,
+        "op11_collocations": op11_collocations,
         "op12_whitening": op12_whitening,
         "op13_topk": op13_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_urls": OP10_SQL, "op13_topk": OP13_SQL}
+    return {"op10_urls": OP10_SQL, "op11_collocations": OP11_SQL, "op13_topk": OP13_SQL}

@@ -175,10 +175,10 @@ FROM ranked JOIN total USING (lang) WHERE rank <= 2000
 OP13_SQL = """
 WITH usable AS (
   SELECT vec_id, row_number() OVER () AS row_id, embedding FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
+  WHERE embedding IS NOT NULL AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0
 ), entries AS (
   SELECT vec_id, row_id, unnest(range(len(embedding))) AS dim,
-         unnest(list_transform(embedding, c -> CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT))) AS v
+         unnest([CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT) FOR c IN embedding]) AS v
   FROM usable
 ), scores AS (
   SELECT q.vec_id AS query_id, q.row_id AS query_row, c.vec_id, c.row_id, CAST(sum(q.v * c.v) AS BIGINT) AS score

@@ -35,9 +35,17 @@ MARKER_ERROR = 0.002
 FEATURES = 16
 
 
+# A speaker's name before a colon, or alone behind a sign of a heading, bold type, bracket or tag.  A
+# bare word on a line is text.
+_PREFIX, _NAME = r"(?:#{1,4}\s*|\*\*|\[|<\|(?:im_start\|>)?)", r"([A-Za-z]{2,12})"
+_SPOKEN = rf"^\s*{_PREFIX}?{_NAME}(?:\s*\*\*)?\s*:\s*(?:\*\*\s*)?"
+_HEADED = rf"^\s*{_PREFIX}{_NAME}(?:\s*\*\*)?(?:\s*:\s*|\|>?|\]|\s*$)\s*(?:\*\*\s*)?"
+
+
 def marker_of(line: Column) -> Column:
     """Number of the role that a line's head names (``User: ...``, ``### Assistant``, ``<|user|>``), else NONE."""
-    head = F.lower(F.regexp_extract(line, r"^\s*(?:#{1,4}\s*|\*\*|\[|<\|(?:im_start\|>)?)?([A-Za-z]{2,12})(?:\s*\*\*)?(?:\s*:|\||\]|\s*$)", 1))
+    spoken = F.regexp_extract(line, _SPOKEN, 1)
+    head = F.lower(F.when(spoken != "", spoken).otherwise(F.regexp_extract(line, _HEADED, 1)))
     out = F.lit(NONE)
     for number, role in enumerate(ROLES):
         out = F.when(head.isin(*ALIASES[role]), number).otherwise(out)
@@ -45,7 +53,8 @@ def marker_of(line: Column) -> Column:
 
 
 def without_marker(line: Column) -> Column:
-    bare = F.regexp_replace(line, r"^\s*(?:#{1,4}\s*|\*\*|\[|<\|(?:im_start\|>)?)?[A-Za-z]{2,12}(?:\s*\*\*)?(?:\s*:|\|>?|\]|\s*$)\s*(?:\*\*\s*)?", "")
+    bare = F.when(F.regexp_extract(line, _SPOKEN, 1) != "", F.regexp_replace(line, _SPOKEN, "")).otherwise(
+        F.regexp_replace(line, _HEADED, ""))
     return F.when(marker_of(line) < NONE, bare).otherwise(line)
 
 

@@ -25,6 +25,9 @@ MARK, LONGEST = "▁", 48
 # Probability of a character that no piece covers, relative to an even share.
 UNKNOWN = 1e-3
 UNDETERMINED = "und"
+# All segmentations of a prefix have the same number of characters, so this factor for each character
+# cancels; it keeps the sums of a part of 48 characters, covered or not, within doubles.
+GAIN = 1e4
 _B = np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = 1 << 20
 
@@ -91,7 +94,8 @@ class Lattice:
     def forward(self, codes: np.ndarray, prob: np.ndarray) -> tuple[list[np.ndarray], dict]:
         """Probability (words x languages) of each prefix, summed over all segmentations.
 
-        ``prob`` has a row for each piece, one of zeros and one for an uncovered character.
+        ``prob`` has a row for each piece, one of zeros and one for an uncovered character.  Sums
+        carry a factor of GAIN for each character.
         """
         n, length = codes.shape
         cut = self.cuts(codes)
@@ -102,9 +106,9 @@ class Lattice:
                 piece = cut[j - k, j]
                 if k == 1:
                     piece = cut[j - 1, j] = np.where(piece == self.n, self.n + 1, piece)
-                    total += alpha[j - 1] * prob[piece]
+                    total += alpha[j - 1] * prob[piece] * GAIN
                 elif len(known := np.flatnonzero(piece < self.n)):
-                    total[known] += alpha[j - k][known] * prob[piece[known]]
+                    total[known] += alpha[j - k][known] * prob[piece[known]] * GAIN**k
             alpha.append(total)
         return alpha, cut
 
@@ -114,13 +118,13 @@ class Lattice:
         n, length = codes.shape
         beta = [np.zeros_like(alpha[0]) for _ in range(length)] + [np.ones_like(alpha[0])]
         out = np.zeros_like(prob)
-        scale = weight / alpha[length]
+        scale = np.divide(weight, alpha[length], out=np.zeros_like(weight), where=(weight > 0) & (alpha[length] > 0))
         for j in range(length, 0, -1):
             for k in range(1, min(self.longest, j) + 1):
                 piece = cut[j - k, j]
                 known = np.flatnonzero(piece != self.n)
                 if len(known):
-                    gain = prob[piece[known]] * beta[j][known]
+                    gain = prob[piece[known]] * GAIN**k * beta[j][known]
                     beta[j - k][known] += gain
                     np.add.at(out, piece[known], gain * alpha[j - k][known] * scale[known])
         return out
@@ -158,8 +162,11 @@ def learn(df: DataFrame, pieces: list[str], id_col: str = "doc_id", text_col: st
     none = np.zeros((len(pieces) + 2, 0))
     if last is None:
         return [], none
+    chosen = usable.where(F.col("h") <= last)
+    if chosen.select("h").count() > rows:  # repeated ids share a hash
+        chosen = chosen.limit(rows).repartition(spark.sparkContext.defaultParallelism)
     counted = storage.save(
-        usable.where(F.col("h") <= last)
+        chosen
         .select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word"))
         .where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).cast("double").alias("n")),
         storage.new_path(spark, "lang-words"),

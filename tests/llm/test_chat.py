@@ -8,10 +8,10 @@ from phasegrid.llm import chat as H
 
 
 def test_markers(spark):
-    lines = ["User: hi", "### Assistant", "<|im_start|>system", "[Human] x", "**Bot:** y", "note: z", "", "usher: no", "ai: ok", "plain text"]
+    lines = ["User: hi", "### Assistant", "<|im_start|>system", "[Human] x", "**Bot:** y", "note: z", "", "usher: no", "ai: ok", "plain text", "Answer", "Me", "model  ", "**tool**", "[agent]", "<|tool|>x"]
     df = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
     got = [r["m"] for r in df.orderBy("i").select(H.marker_of(F.col("line")).alias("m")).collect()]
-    assert got == [1, 2, 0, 1, 2, 4, 4, 4, 2, 4]
+    assert got == [1, 2, 0, 1, 2, 4, 4, 4, 2, 4, 4, 4, 4, 3, 2, 3]
 
 
 def test_viterbi_equals_all_paths():
@@ -79,3 +79,10 @@ def test_hard_rows(spark):
     assert {(r["conv_id"], r["turn"]) for r in got} == {(1, 0), (1, None), (None, 0), (2, 3)}
     assert {r["role"] for r in got if r["text"] == "b"} == {"system"}
     assert H.parse(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_no_word_of_a_turn_is_lost(spark):
+    body = "Pick one\nAnswer\nModel\nMe\nuser\nthe end"
+    df = spark.createDataFrame([(1, 0, "user", body), (1, 1, "assistant", "Answer: yes")], "conv_id long, turn long, role string, text string")
+    got = [(r["turn"], r["part"], r["role"], r["text"]) for r in H.parse(df).orderBy("turn", "part").collect()]
+    assert got == [(0, 0, "user", body), (1, 0, "assistant", "yes")]

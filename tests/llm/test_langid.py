@@ -37,7 +37,7 @@ def test_forward_sums_all_segmentations():
         alpha, _ = lattice.forward(codes(word), p)
         for lang in range(2):
             table = {q: p[i, lang] for i, q in enumerate(PIECES)} | {"?": p[-1, lang]}
-            assert math.isclose(alpha[-1][0, lang], forward(word, table), rel_tol=1e-9)
+            assert math.isclose(alpha[-1][0, lang] / L.GAIN ** len(word), forward(word, table), rel_tol=1e-9)
 
 
 def test_expected_uses_are_derivatives():
@@ -82,3 +82,22 @@ def test_hard_rows(spark, corpus, empty):
     model = (["x", "y"], np.vstack([np.full((len(PIECES), 2), 0.1), np.zeros((1, 2)), np.full((1, 2), 1e-6)]))
     got = {r["doc_id"]: r["lang_pred"] for r in L.predict(odd, model, PIECES).collect()}
     assert got == {1: "x", 2: "und", 3: "x"}
+
+
+def test_long_uncovered_runs_do_not_spoil_the_model(spark):
+    texts = [(i, ("the ship of the sea " if i % 2 else "das schiff auf dem meer ") * 5, "en" if i % 2 else "de") for i in range(60)]
+    odd = [(100 + i, "漢" * 60 + "\U0001F600" * 200, "de") for i in range(4)] + [(None, "x" * 500, "en")] * 3
+    df = spark.createDataFrame(texts + odd, "doc_id long, text string, lang string")
+    rows = L.identify(df, P.path("piece_bpe_32k.model")).collect()
+    assert len(rows) == len(texts) + len(odd)
+    assert all(0 <= r["score"] <= 1 for r in rows)
+    truth = {i: g for i, _, g in texts}
+    assert all(r["lang_pred"] == truth[r["doc_id"]] for r in rows if r["doc_id"] in truth)
+    model = L.learn(df, L.read_pieces(P.path("piece_bpe_32k.model")))
+    assert np.isfinite(model[1]).all()
+
+
+def test_repeated_ids_do_not_pass_the_bound(spark):
+    df = spark.createDataFrame([(None, f"word{i} more", "en") for i in range(50)], "doc_id long, text string, lang string")
+    langs, prob = L.learn(df, PIECES, rows=10)
+    assert langs == ["en"] and np.isclose(prob[:-2].sum(), 1)

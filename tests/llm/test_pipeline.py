@@ -51,6 +51,44 @@ def test_one_of_each_group_stays(stages):
     assert set(texts(stages[2])) == want
 
 
+def hard(spark):
+    """Nulls in every column, empty and long texts, ties, repeated rows and ids, clashing names."""
+    long_, a = " ".join(f"w{i} again" for i in range(4000)), " ".join(f"alpha{i}" for i in range(40))
+    rows = [
+        (1, a, "en", "s", 5), (2, a + " end", "en", "s", 5), (2, a + " end", "en", "s", 5), (2, "other text of this id " * 2, None, None, None),
+        (None, None, None, None, None), (None, None, None, None, None), (3, "", "en", "s", 0), (3, "", "en", "s", 0),
+        (None, a, "de", "s", 1), (4, long_, "fr", None, 9), (5, "mail me at x@y.example or +49 30 1234567", "en", "s", 1),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names = ("kept", "n", "_row", "_n", "_group", "row_key", "start", "ids", "cls", "class_id", "band_low")
+    for name in names:
+        df = df.withColumn(name, CP.F.lit("clash"))
+    return df
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in CP.STAGES])
+def test_hard_rows_and_empty_tables(spark, stage):
+    df, run = hard(spark), dict(CP.STAGES)[stage]
+    out = run(spark, df, SF)
+    rows = out.collect()
+    assert run(spark, df.limit(0), SF).count() == 0
+    if stage == "tokens":
+        assert len(rows) == df.count() and all(r["round_trip"] for r in rows)
+        return
+    assert out.columns == df.columns and all(r["kept"] == "clash" for r in rows)
+    found = sorted(((r["doc_id"], r["text"]) for r in rows), key=str)
+    if stage == "near_duplicates":
+        gone = {(2, df.where("doc_id = 2").first()["text"]), (None, df.where("doc_id = 1").first()["text"])}
+        want = [(r["doc_id"], r["text"]) for r in df.collect() if (r["doc_id"], r["text"]) not in gone]
+        assert found == sorted(want, key=str)
+    elif stage == "benchmark_decontamination":
+        assert len(rows) == df.count()
+    elif stage == "personal_data":
+        assert len(rows) == df.count() and not any("x@y" in (r["text"] or "") for r in rows)
+    else:
+        assert all(r["doc_id"] in (1, 2, 4, None) for r in rows)
+
+
 def test_no_benchmark_item_stays(spark, stages):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     before, after = texts(stages[2]), texts(stages[3])

@@ -6,21 +6,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from phasegrid.llm import bpe, decontaminate, parity_join, pii, quality
-from phasegrid.llm.common import table
+from phasegrid.llm.common import fresh, table
 from phasegrid.llm.queries import RANKS
 from phasegrid.sources import storage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie within their language's perplexity band."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # no clash with the figures' names
+    text, lang = (f"c{docs.columns.index(c)}" for c in ("text", "lang"))
+    return quality.judge(plain, text, lang).where("kept").select(*plain.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of linked documents."""
-    found = parity_join.link_components(docs)
-    dropped = found.where("doc_id <> component_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of linked documents, that of the smallest id.
+
+    Rows are told apart by id and text, so rows that share an id but not their text are judged each by
+    itself.  Of equal rows one stays; texts without a word link with nothing and all stay.
+    """
+    key, n, group = (fresh(docs, name) for name in ("_row", "_n", "_group"))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = storage.save(
+        parity_join.link_components(keyed, key).select(
+            F.col("doc_id").alias(key), F.col("component_id").alias(group), (F.col("n_shingles") > 0).alias(n)),
+        storage.new_path(spark, "row-groups"),
+    )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key)).alias("first")
+    best = found.where(n).join(keyed.select(key, "doc_id"), key).groupBy(group).agg(first)
+    gone = found.where(n).join(best.select(F.col(f"first.{key}").alias(key)), key, "left_anti").select(key)
+    again = found.where(n).groupBy(key).count().where("count > 1").select(key)
+    left = keyed.join(gone.distinct(), key, "left_anti")
+    once = left.join(again, key, "left_anti").union(left.join(again, key, "left_semi").dropDuplicates([key]))
+    return once.select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -358,6 +358,11 @@ SQL["quality_manifest"] = on("all", "SELECT 'manifest_' || item AS check_id, 0::
     for c, t in (("match_has_events", "pe"), ("match_has_frames", "pf"))))
 SQL["replaced_match_rows"] = on("phase_events", f"""
 SELECT match_id, count(*) AS n, {d('(max(t_offset_s)::FLOAT + CASE WHEN match_id IN (1001, 1003) THEN 100 ELSE 0 END::FLOAT)::DOUBLE', 4, 'latest')} FROM pe GROUP BY 1""")
+_EVENT = "phase_id, idx, event_uuid, type_id::BIGINT AS type_id"
+SQL["replaced_match_events"] = on("phase_events", f"""
+SELECT match_id, {_EVENT}, {d('t_offset_s')} FROM pe WHERE match_id NOT IN (1001, 1002, 1003)
+UNION ALL SELECT match_id, {_EVENT}, {d('(t_offset_s + 100::FLOAT)::FLOAT', 4, 't_offset_s')} FROM pe WHERE match_id IN (1001, 1003)
+UNION ALL SELECT 900001, {_EVENT}, {d('(t_offset_s + 100::FLOAT)::FLOAT', 4, 't_offset_s')} FROM pe WHERE match_id = 1001""")
 SQL["goal_balance"] = on("phase_events", """
 SELECT g.competition, scored, conceded, goal_shots, own_goals FROM
  (SELECT competition, count(*) FILTER (outcome = 'goal') AS scored, count(*) FILTER (goal_conceded) AS conceded FROM phases GROUP BY 1) g

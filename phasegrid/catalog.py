@@ -22,7 +22,7 @@ from phasegrid.operators import (
 )
 from phasegrid.plans import profiling as PR, quality as Q, reports as RP
 from phasegrid.plans.build import Tables, testdata_tables
-from phasegrid.sources import raw_json, storage, tables as TB
+from phasegrid.sources import raw_json, snapshots, storage, tables as TB
 from phasegrid.sources.testdata import COMPETITIONS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -729,22 +729,44 @@ def quality_manifest(t):
     return Q.manifest_checks(t, RP.stored_manifest(t))
 
 
+def _replaced(t):
+    """A copy of the events after a replacement: 1001 and 1003 shifted by 100 s, 1002 removed, and a
+    match that was not there and is not named among the replaced ones (1001 under another id)."""
+    spark = t.phases.sparkSession
+    path = storage.new_path(spark, "copy")
+    snapshots.write(t.phase_events.drop("bucket"), path, "event_index")
+    moved = t.phase_events.filter(F.col("match_id").isin(1001, 1003)).withColumn(
+        "t_offset_s", (F.col("t_offset_s") + 100).cast("float")
+    )
+    added = moved.filter("match_id = 1001").withColumn("match_id", F.lit(900_001).cast("long"))
+    named = t.matches.select("match_id").filter(F.col("match_id").isin(1001, 1002, 1003))
+    return snapshots.replace_matches(spark, path, moved.unionByName(added), named)
+
+
 @on_tables()
 def replaced_match_rows(t):
     """Events per match after two matches of a copied table were replaced by shifted ones."""
     spark = t.phases.sparkSession
     path = storage.new_path(spark, "copy")
-    copy = storage.save(t.phase_events, path, "bucket")
+    snapshots.write(t.phase_events.drop("bucket"), path, "event_index")
     chosen = t.matches.select("match_id").filter(F.col("match_id").isin(1001, 1003))
     shifted = t.phase_events.join(chosen, "match_id").withColumn(
         "t_offset_s", (F.col("t_offset_s") + 100).cast("float")
     )
-    now = storage.replace_matches(copy, path, shifted, chosen)
+    now = snapshots.replace_matches(spark, path, shifted, chosen)
     return now.groupBy("match_id").agg(
         F.count("*").alias("n"), F.max(F.col("t_offset_s").cast("double")).alias("latest")
     )
 
 
+@on_tables()
+def replaced_match_events(t):
+    """Every event of a table in which matches were replaced, removed and added."""
+    return _replaced(t).select(
+        "match_id", "phase_id", "idx", "event_uuid", "type_id", F.col("t_offset_s").cast("double").alias("t_offset_s")
+    )
+
+
 @on_tables()
 def goal_balance(t):
     return Q.goal_balance(t)

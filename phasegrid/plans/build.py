@@ -15,7 +15,7 @@ from phasegrid.functions.scan import block_of, join_fragments
 from phasegrid.operators import features, frames as FR, path as P, similar
 from phasegrid.operators.segment import CHAIN, segment
 from phasegrid.plans import reports
-from phasegrid.sources import storage, testdata
+from phasegrid.sources import snapshots, storage, testdata
 
 # Small source integers are widened so that an oversize match cannot overflow a column.
 PHASE_COLUMNS = {
@@ -181,14 +181,6 @@ def by_match(df: DataFrame, order: str) -> DataFrame:
     )
 
 
-def bucketed(df: DataFrame, order: str) -> DataFrame:
-    """As ``by_match``, with the folder of each match; a bucket's large matches span several files."""
-    df = df.withColumn("bucket", storage.bucket_of(F.col("match_id")))
-    return df.repartition("bucket", block_of(F.col(order))).sortWithinPartitions(
-        "bucket", "match_id", order
-    )
-
-
 def in_parallel(*jobs: Callable[[], DataFrame]) -> list[DataFrame]:
     """Run independent writes at the same time, so that no core waits for another's last task."""
     with ThreadPoolExecutor(len(jobs)) as pool:
@@ -215,6 +207,8 @@ def build(
         rows.withColumn("phase_id", G.phase_id(F.col("match_id"), F.col("seq"))), f"{out}/chains"
     )
 
+    size = seg.count()  # of events; frames are no more
+
     def write_phases() -> DataFrame:
         rows = declared(phase_table(chains, seg, matches), PHASE_COLUMNS, "start_index")
         return storage.save(by_match(rows, "seq"), f"{out}/phases")
@@ -222,14 +216,14 @@ def build(
     def write_events() -> DataFrame:
         named = name_events(seg, chains)
         rows = declared(phase_event_rows(named), EVENT_COLUMNS, "match_id")
-        return storage.save(bucketed(rows, "event_index"), f"{out}/phase_events", "bucket")
+        return snapshots.write(rows, f"{out}/phase_events", "event_index", size)
 
     def write_frames() -> DataFrame:
         named = name_events(seg, chains)
         framed = FR.canonicalize(frame_events(named, frames))
         rows = declared(framed, FRAME_COLUMNS, "match_id", "event_index")
-        placed = bucketed(rows, "event_index").drop("event_index")
-        return storage.save(placed, f"{out}/phase_frames", "bucket")
+        kept = [*FRAME_COLUMNS, "match_id"]
+        return snapshots.write(rows, f"{out}/phase_frames", "event_index", size, kept)
 
     phases, phase_events, phase_frames = in_parallel(write_phases, write_events, write_frames)
     vectors = storage.save(

@@ -5,8 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 ROWS_PER_BLOCK = 65_536
 
@@ -36,47 +35,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-# Folders that the rows of matches are dealt over: a fixed number, however many matches there are.
-MATCH_BUCKETS = 64
-
-
-def bucket_of(match_id: Column) -> Column:
-    """Folder of a match in a bucketed table."""
-    return F.pmod(F.xxhash64(match_id.cast("long")), F.lit(MATCH_BUCKETS)).cast("int")
-
-
-def replace_matches(table: DataFrame, path: str, rows: DataFrame, matches: DataFrame) -> DataFrame:
-    """Put ``rows`` in the place of all rows of ``matches`` (match_id) in a bucketed table.
-
-    Only the buckets of those matches are written anew; their other matches go along unchanged,
-    and a match without new rows is removed.  The new buckets are staged first, as a table cannot
-    be read and overwritten at once.
-    """
-    spark = table.sparkSession
-    touched = matches.select(bucket_of(F.col("match_id")).alias("bucket")).distinct()
-    others = table.join(F.broadcast(touched), "bucket", "left_semi").join(
-        matches.select("match_id").distinct(), "match_id", "left_anti"
-    )
-    fresh = rows.withColumn("bucket", bucket_of(F.col("match_id"))).select(*table.columns)
-    staged = save(others.select(*table.columns).unionByName(fresh), new_path(spark, "staged"))
-    # A bucket that lost its last row is not overwritten, so its old rows would stay: it keeps none.
-    left = staged.select("bucket").distinct()
-    if not touched.join(left, "bucket", "left_anti").isEmpty():
-        everything = table.join(F.broadcast(touched), "bucket", "left_anti").unionByName(staged)
-        return save(everything, new_path(spark, "replaced"), "bucket")
-    (
-        staged.repartition("bucket").sortWithinPartitions("bucket", "match_id")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .option("compression", "zstd").partitionBy("bucket").parquet(path)
-    )
-    return spark.read.schema(table.schema).parquet(path)
-
-
-def save(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
+def save(df: DataFrame, path: str) -> DataFrame:
     """Write a table once and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    writer = df.write.mode("overwrite").option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasegrid import constants as K
-from phasegrid.sources import storage
+from phasegrid.sources import snapshots
 
 SPLIT_BUCKETS = 102
 STORE_COLUMNS = (
@@ -26,7 +26,7 @@ def register_views(tables) -> None:
 def phase_rows(table: DataFrame, match_id: int, phase_id: str) -> DataFrame:
     """Rows of one phase: one bucket is read, the id filters reach the scan."""
     return table.filter(
-        (F.col("bucket") == storage.bucket_of(F.lit(match_id)))
+        (F.col("bucket") == snapshots.bucket_of(F.lit(match_id), snapshots.buckets_in(table)))
         & (F.col("match_id") == match_id)
         & (F.col("phase_id") == phase_id)
     ).orderBy("idx")
@@ -34,7 +34,8 @@ def phase_rows(table: DataFrame, match_id: int, phase_id: str) -> DataFrame:
 
 def match_rows(table: DataFrame, match_ids: Sequence[int], columns: Sequence[str] = STORE_COLUMNS) -> DataFrame:
     """Chosen columns of several matches, ordered."""
-    buckets = [storage.bucket_of(F.lit(m)) for m in match_ids]
+    n = snapshots.buckets_in(table)
+    buckets = [snapshots.bucket_of(F.lit(m), n) for m in match_ids]
     return (
         table.filter(F.col("bucket").isin(*buckets) & F.col("match_id").isin(*match_ids))
         .select("match_id", *columns)

@@ -113,7 +113,8 @@ def test_declared_schemas(built):
 def test_one_phase_reads_one_partition(built):
     q = TB.phase_rows(built.phase_events, 1003, "1003-0002")
     plan = q._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(match_id" in plan and "EqualTo(phase_id,1003-0002)" in plan
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+    assert "EqualTo(match_id,1003)" in plan and "EqualTo(phase_id,1003-0002)" in plan
     rows = q.collect()
     assert [r["idx"] for r in rows] == list(range(len(rows))) and rows
     assert TB.match_rows(built.phase_events, [1001], ["phase_id", "idx"]).columns == ["match_id", "phase_id", "idx"]

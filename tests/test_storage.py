@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from phasegrid.operators import quantile, search as S
 from phasegrid.plans import build as B, quality as Q, reports as RP
-from phasegrid.sources import storage
+from phasegrid.sources import snapshots as N, storage
 
 
 @pytest.fixture(scope="module")
@@ -31,16 +31,83 @@ def test_a_tampered_manifest_fails(built):
     assert "manifest_phase_events" in bad(fewer, stored)
 
 
-def test_only_the_chosen_matches_change(spark, built):
-    path = storage.new_path(spark, "copy")
-    copy = storage.save(built.phase_events, path, "bucket")
-    ids = [r[0] for r in copy.select("match_id").distinct().orderBy("match_id").limit(2).collect()]
-    chosen = spark.createDataFrame([(i,) for i in ids], "match_id long")
-    rest = copy.filter(~F.col("match_id").isin(ids)).count()
-    one = built.phase_events.filter(F.col("match_id") == ids[0]).limit(2)
-    now = storage.replace_matches(copy, path, one, chosen)
-    assert now.filter(~F.col("match_id").isin(ids)).count() == rest
-    assert {r[0]: r[1] for r in now.filter(F.col("match_id").isin(ids)).groupBy("match_id").count().collect()} == {ids[0]: 2}
+ROWS = [(m, i, f"{m}-{i}") for m in range(60) for i in range(3)]
+
+
+def stored(spark, rows=ROWS):
+    path = storage.new_path(spark, "snapshot")
+    df = spark.createDataFrame(rows, "match_id long, idx long, v string")
+    return path, N.write(df, path, "idx")
+
+
+def content(df):
+    return sorted(tuple(r) for r in df.select("match_id", "idx", "v").collect())
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "match_id long, idx long, v string")
+
+
+def test_only_the_replaced_matches_change(spark):
+    path, before = stored(spark)
+    assert content(before) == ROWS and N.buckets_in(before) == N.LEAST_BUCKETS
+    new = [(7, 0, "new"), (1000, 0, "added"), (8, 5, "not named")]  # 9 goes, 1000 and 8 are in the rows alone
+    named = spark.createDataFrame([(7,), (9,)], "match_id long")
+    now = N.replace_matches(spark, path, frame(spark, new), named)
+    want = sorted([r for r in ROWS if r[0] not in (7, 8, 9)] + new)
+    assert content(now) == content(N.read(spark, path)) == want
+    assert content(before) == ROWS  # a reader of the old snapshot still sees it whole
+    again = N.replace_matches(spark, path, frame(spark, []), spark.createDataFrame([(7,)], "match_id long"))
+    assert content(again) == [r for r in want if r[0] != 7]
+    assert N.vacuum(spark, path) > 0 and content(N.read(spark, path)) == content(again)
+
+
+def test_emptied_buckets_stay_empty(spark):
+    path, df = stored(spark)
+    one = df.filter("bucket = 3").select("match_id").distinct()
+    ids = {r[0] for r in one.collect()}
+    now = N.replace_matches(spark, path, frame(spark, []), one)
+    assert ids and content(now) == [r for r in ROWS if r[0] not in ids]
+    everything = N.replace_matches(spark, path, frame(spark, []), df.select("match_id").distinct())
+    assert content(everything) == [] and everything.columns == df.columns
+    back = N.replace_matches(spark, path, frame(spark, [(5, 0, "x"), (None, 1, "y")]))
+    assert {r["v"] for r in back.collect()} == {"x", "y"}
+
+
+def test_a_failed_write_changes_nothing(spark):
+    path, df = stored(spark)
+    broken = frame(spark, [(7, 0, "new")]).withColumn("v", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        N.replace_matches(spark, path, broken)
+    assert content(N.read(spark, path)) == ROWS
+    # a writer that dies between staging and publishing leaves folders that nobody reads
+    number, manifest = N._current(spark, path)
+    N._stage(frame(spark, [(7, 0, "half")]), path, manifest)
+    assert content(N.read(spark, path)) == ROWS
+
+
+def test_the_slower_of_two_writers_is_told(spark, monkeypatch):
+    path, _ = stored(spark)
+    stage = N._stage
+
+    def overtaken(*args):
+        monkeypatch.setattr(N, "_stage", stage)
+        N.replace_matches(spark, path, frame(spark, [(1, 0, "first")]))
+        return stage(*args)
+
+    monkeypatch.setattr(N, "_stage", overtaken)
+    with pytest.raises(N.Conflict):
+        N.replace_matches(spark, path, frame(spark, [(2, 0, "second")]))
+    assert content(N.read(spark, path)) == sorted([r for r in ROWS if r[0] != 1] + [(1, 0, "first")])
+
+
+def test_bucket_count_follows_the_rows(spark):
+    assert [N.buckets_for(n) for n in (0, 10**6, 10**8, 10**13)] == [8, 8, 95, N.MOST_BUCKETS]
+    path = storage.new_path(spark, "snapshot")
+    df = N.write(frame(spark, ROWS), path, "idx", size=200 * N.ROWS_PER_BUCKET)
+    assert N.buckets_in(df) == 200 and content(df) == ROWS
+    plan = df.filter(F.col("bucket") == N.bucket_of(F.lit(7), 200))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
 
 
 @pytest.mark.parametrize("op,value,kept", [

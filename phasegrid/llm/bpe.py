@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 # Remembered pre-tokens of a worker; when it is full it starts anew, which only costs time.
 # Bytes of a worker's memo of pre-tokens: two generations of half as much.
-MEMO_BYTES = 16 << 20
+MEMO_BYTES = 48 << 20
 # What an entry takes beside its strings: two object heads and a place in the table.
 ENTRY_BYTES = 190
 _MASK = (1 << 64) - 1

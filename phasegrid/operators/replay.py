@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from phasegrid import constants as K
 from phasegrid.functions.scan import block_of, join_fragments, ordered_scan
+from phasegrid.operators.asof import as_of
 from phasegrid.sources import storage
 
 KEY = ["phase_id"]
 FALLBACK_FLIGHT_S = 0.5
 STALE_AFTER_S, STALE_FLOOR, STALE_FADE_S = 1.5, 0.32, 3.0
 CURRENT_EPS = 1e-6
-CELL_S = 60.0
 
 
 def ball_points(events: DataFrame) -> DataFrame:
@@ -147,32 +147,19 @@ def timed_frames(events: DataFrame, frames: DataFrame) -> DataFrame:
     )
 
 
-def current_frames(timed: DataFrame, phases: DataFrame, step_s: float = 1.0) -> DataFrame:
-    """As-of: the last frame at or before every grid time, with its age and opacity.
-
-    A frame stays current until the next one starts, so each frame emits its own grid times.
-    """
-    rows = timed.select(*KEY, "idx", "t").withColumns(
-        {"pos": F.struct("t", "idx"), "cell": F.floor(F.col("t") / CELL_S)}
-    )
-    linked = ordered_scan(rows, KEY, "pos", lead={"nt": F.col("t")}, block="cell")
+def current_frames(timed: DataFrame, phases: DataFrame, step_s: float = 1.0, slices: int | None = None) -> DataFrame:
+    """As-of: the last frame at or before every grid time, with its age and opacity."""
     step = F.lit(float(step_s))
-    steps = phases.select(
-        *KEY, F.floor(F.greatest(F.col("duration_s").cast("double"), F.lit(0.5)) / step).alias("steps")
-    )
-    joined = linked.join(steps, KEY)
-    lo = F.greatest(F.ceil((F.col("t") - CURRENT_EPS) / step), F.lit(0))
-    hi = F.when(F.col("nt").isNull(), F.col("steps")).otherwise(
-        F.ceil((F.col("nt") - CURRENT_EPS) / step) - 1
-    )
-    grid = (
-        joined.withColumns({"_lo": lo, "_hi": F.least(hi, F.col("steps"))})
-        .filter(F.col("_lo") <= F.col("_hi"))
-        .withColumn("_step", F.explode(F.sequence("_lo", "_hi")))
-        .withColumn("at", F.col("_step") * step)
+    steps = F.floor(F.greatest(F.col("duration_s").cast("double"), F.lit(0.5)) / step)
+    grid = phases.select(*KEY, F.explode(F.sequence(F.lit(0).cast("long"), steps)).alias("_step")).select(
+        *KEY, (F.col("_step") * step).alias("at")
     )
+    frames = timed.select(*KEY, "idx", "t")
+    rows = as_of(grid, frames, KEY, F.col("at") + CURRENT_EPS, F.col("t"), F.col("idx"), slices)
     age = F.col("at") - F.col("t")
-    return grid.select(*KEY, "at", "idx", age.alias("age"), opacity(age).alias("opacity"))
+    return rows.filter(F.col("t").isNotNull()).select(
+        *KEY, "at", "idx", age.alias("age"), opacity(age).alias("opacity")
+    )
 
 
 def opacity(age):

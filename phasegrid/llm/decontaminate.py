@@ -1,23 +1,29 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, verification.
 
-Only DataFrame functions.  Windows have the size of an item and start where the item would start if
-one of its anchor shingles is the document's.  Anchors are an item's rarest shingles with more than
-a quarter of its weight: a window of similarity 3/4 or more has at least one of them, so the windows
-are complete.  Equal windows are fingerprinted once.  Fingerprints of windows and items of one size
-meet on equal 4-bit blocks, which finds every pair within 31 of 128 bits; exact weighted-shingle
-similarity then decides.
+Only DataFrame functions.  Windows have the size of an item.  Anchors are an item's rarest shingles
+with more than a quarter of its weight, so a window of similarity 3/4 or more holds at least one.
+Where an anchor stands in a document, the window may start where the item would start, or as many
+words before or behind it as insertions and deletions of such a window can shift it: all these
+starts are fingerprinted, equal windows once.  Fingerprints have 8 blocks of 16 bits; two that differ
+in at most 31 bits differ in at most 3 of some block, so items are entered under all values within
+3 bits of each of their blocks and windows look up their own.  Exact weighted-shingle similarity
+then decides.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from phasegrid.llm.common import fresh
 from phasegrid.sources import storage
 
 WORDS = 5
-BLOCKS = 32  # of 4 bits: all fingerprints that differ in at most 31 bits share one
-RADIUS = BLOCKS - 1
+BLOCKS, BLOCK_BITS = 8, 16
+FLIPS = 3  # bits of a block that may differ
+RADIUS = BLOCKS * (FLIPS + 1) - 1
+MASKS = [sum(1 << b for b in bits) for k in range(FLIPS + 1) for bits in combinations(range(BLOCK_BITS), k)]
 SIMILAR = 0.75
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -51,21 +57,37 @@ def _window_shingles(words: Column) -> Column:
 
 
 def fingerprint(shingles: Column) -> Column:
-    """Weighted SimHash as an array of 32 blocks of 4 bits."""
+    """Weighted SimHash as an array of 8 blocks of 16 bits."""
     both = F.transform(shingles, lambda s: F.struct(
         s["h"].alias("a"), F.xxhash64(s["h"]).alias("b"), s["weight"].alias("weight")))
 
     def bit(j: Column, k: int) -> Column:
-        place = (j * 4 + k) % 64
+        place = (j * BLOCK_BITS + k) % 64
 
         def vote(acc: Column, s: Column) -> Column:
-            half = F.when(j < 16, s["a"]).otherwise(s["b"])
+            half = F.when(j < BLOCKS // 2, s["a"]).otherwise(s["b"])
             one = F.call_function("shiftright", half, place.cast("int")).bitwiseAND(F.lit(1)) == 1
             return acc + F.when(one, s["weight"]).otherwise(-s["weight"])
 
         return F.when(F.aggregate(both, F.lit(0), vote) >= 0, 1 << k).otherwise(0)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda j: bit(j, 0) + bit(j, 1) + bit(j, 2) + bit(j, 3))
+    return F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda j: sum((bit(j, k) for k in range(1, BLOCK_BITS)), bit(j, 0)))
+
+
+def shift_of(size: Column) -> Column:
+    """Words by which insertions and deletions can move a window of similarity 3/4: they cost a seventh
+    of its shingles at most; a sixth leaves room for uneven weights."""
+    return F.floor((size - WORDS + 1) / 6).cast("int") + 1
+
+
+def candidate_pairs(contents: DataFrame, marked: DataFrame) -> DataFrame:
+    """content, item: pairs of one size that share a block up to FLIPS bits."""
+    left = contents.select("content", "size", F.posexplode("blocks").alias("block", "bits"))
+    own = marked.select("item", "size", F.posexplode("item_blocks").alias("block", "own"))
+    right = own.withColumn("mask", F.explode(F.array(*map(F.lit, MASKS)))).select(
+        "item", "size", "block", F.col("own").bitwiseXOR(F.col("mask")).alias("bits"))
+    # Sorted and merged: Spark guesses the size of neither side, and both may be large.
+    return left.hint("merge").join(right, ["size", "block", "bits"]).select("content", "item").distinct()
 
 
 def _distance(a: str, b: str) -> Column:
@@ -122,6 +144,11 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         .select("row_key", F.struct((F.col("pos") - F.col("item_pos")).alias("start"), "size").alias("place"))
         .groupBy("row_key").agg(F.collect_set("place").alias("places"))
     )
+    around = lambda p: F.transform(
+        F.sequence(F.greatest(p["start"] - shift_of(p["size"]), 1 - p["size"]), p["start"] + shift_of(p["size"])),
+        lambda start: F.struct(start.alias("start"), p["size"].alias("size")),
+    )
+    places = places.select("row_key", F.array_distinct(F.flatten(F.transform("places", around))).alias("places"))
     places = storage.save(places, storage.new_path(spark, "places"))
     first = F.greatest(F.col("place.start"), F.lit(0))
     windows = slim.join(places, "row_key").select(
@@ -143,12 +170,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         classes.select("item", "size", _window_shingles(F.col("words")).alias("shingles"))
         .withColumn("item_blocks", fingerprint(F.col("shingles"))), storage.new_path(spark, "item-prints")
     )
-    left = contents.select("content", "size", "blocks", F.posexplode("blocks").alias("block", "bits"))
-    right = marked.select("item", "size", "item_blocks", F.posexplode("item_blocks").alias("block", "bits"))
     pairs = (
-        left.join(right, ["size", "block", "bits"])
-        .where(_distance("blocks", "item_blocks") <= RADIUS)
-        .select("content", "item").distinct()
+        candidate_pairs(contents, marked)
+        .join(contents.select("content", "blocks"), "content").join(marked.select("item", "item_blocks"), "item")
+        .where(_distance("blocks", "item_blocks") <= RADIUS).select("content", "item")
     )
 
     def counted(df: DataFrame, key: str, name: str) -> DataFrame:

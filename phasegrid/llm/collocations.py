@@ -6,11 +6,11 @@ phrase lies whole inside at least one chunk.  Equal passages are cut alike; Spar
 distinct chunks with their parse frequencies, and phrases are counted inside the distinct chunks
 only, weighted.  A phrase that ends inside the leading overlap belongs to the chunk before.
 
-Counting takes two readings of the dictionary.  The first adds up hashed words and word pairs in
-bins; bins that reach ``least`` mark a bit array of fixed size (8 MB, broadcast).  The second counts
-by text those phrases whose words and pairs are all marked.  Every bin holds at least the count of
-each of its phrases, so no candidate is lost, and all figures are exact; how full the bit array
-is steers cost alone.
+Counting takes three readings of the dictionary.  The first adds up hashed words and word pairs in
+bins; bins that reach ``least`` mark a bit array of fixed size (8 MB, broadcast).  The second does so
+for longer phrases whose pairs are all marked.  The third counts by text what is marked.  Every
+bin holds at least the count of each of its phrases, so no candidate is lost, and all figures are
+exact; how full the bit arrays are steers cost alone.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from phasegrid.llm import common as C
@@ -35,6 +36,8 @@ NO_LANG = "und"
 TRIGGER_EVERY = 12
 MARK_BITS = 1 << 26
 SLICE_BYTES = 1 << 20
+# Bins that a task holds before it adds them up; half as many distinct ones are sent on.
+FLUSH_ROWS = 1 << 22
 # Lookups of parts asked for by more candidates than this go through a broadcast of those parts, of
 # which there are at most as many as this.
 HOT = 10_000
@@ -162,6 +165,13 @@ class _Grams:
         owned = first + k - 1 - self.at[row] >= self.overlap[row]
         return C.mix(key + self.seed[row] + np.uint64(k) * C.BASE), first, row, owned
 
+    def open_pairs(self, array: np.ndarray, total: int) -> np.ndarray:
+        """Of each word, whether it begins a marked pair."""
+        out = np.zeros(len(self.starts) + 1, bool)
+        pair, first, _, _ = self.runs(2)
+        out[first] = _marked(array, pair, total)
+        return out
+
 
 def _slices(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[_Grams]:
     for batch in batches:
@@ -169,53 +179,114 @@ def _slices(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[_Grams]:
             yield _Grams(batch, lo, hi, data, off, window)
 
 
-def marks(parsed: DataFrame, total: int, least: int, longest: int, bits: int = MARK_BITS) -> np.ndarray:
-    """Bit array of the bins of words and word pairs that occur ``least`` times or more.
+def _bin_bits(total: int) -> int:
+    """Bits of a bin number: at least 16 bins for every word of the corpus."""
+    return max(20, total.bit_length() + 4)
+
+
+def _packed_bins(key: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted bins and their counts: differences by byte planes, of which most are zero, compressed."""
+    planes = [np.diff(key, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T, n.astype("<u4").view(np.uint8).reshape(-1, 4).T]
+    return zstandard.compress(b"".join(p.tobytes() for p in planes), 1)
+
+
+def _unpacked_bins(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    m = len(raw) // 12
+    steps = np.ascontiguousarray(raw[: 8 * m].reshape(8, m).T).view(np.uint64).ravel()
+    return np.cumsum(steps, dtype=np.uint64), np.ascontiguousarray(raw[8 * m :].reshape(4, m).T).view("<u4").ravel().astype(np.int64)
 
-    Words and pairs are added up in bins, at least 16 for every word of the corpus.
+
+def marks(
+    parsed: DataFrame, total: int, least: int, longest: int, sizes: tuple[int, ...], prior=None, bits: int = MARK_BITS
+) -> np.ndarray:
+    """Bit array (as bytes) of the bins of phrases of ``sizes`` words that occur ``least`` times or more.
+
+    Each task adds up its bins and sends every bucket, a range of bins, one packed sorted array a
+    flush; a bucket adds them up and answers with its part of the bit array, which together has
+    ``bits`` bits whatever the corpus.  With ``prior`` (a broadcast bit array of words and pairs)
+    only phrases all of whose pairs are marked count.
     """
-    mask = np.uint64((1 << max(20, total.bit_length() + 4)) - 1)
+    width = _bin_bits(total)
+    drop = np.uint64(64 - width)
+    fold = max(0, width - (bits.bit_length() - 1))  # bins that share a bit
+    places = 1 << (width - fold)
+    buckets = min(1 << max(6, (total >> 20).bit_length()), places // 64)
+    share = np.uint64(width - (buckets.bit_length() - 1))
+
+    def send(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        bucket = (key >> share).astype(np.int64)
+        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        data = [_packed_bins(key[a:b], n[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]], pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, waiting = [], [], 0
         for grams in _slices(batches, longest - 1):
-            found = [grams.runs(k) for k in (1, 2)]
-            key = np.concatenate([key[owned] for key, _, _, owned in found]) & mask
-            n = np.concatenate([grams.n[row[owned]] for _, _, row, owned in found])
-            kept, (n,) = merged(key, np.zeros(len(key), np.uint8), [n])
-            yield pa.RecordBatch.from_arrays([pa.array(key[kept].astype(np.int64)), pa.array(n)], ["bin", "n"])
-
-    full = parsed.mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    place = F.col("bin").bitwiseAND(F.lit(bits - 1))
-    words = full.select(
-        F.shiftright(place, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit")
-    ).groupBy("at").agg(F.bit_or("bit").alias("bit"))
-    out = np.zeros(bits // 64, np.int64)
-    found = words.toArrow()  # at most bits / 64 rows
-    out[found["at"].to_numpy()] = found["bit"].to_numpy()
-    return out.view(np.uint64)
+            open_ = grams.open_pairs(prior.value, total) if prior is not None else None
+            for k in sizes:
+                key, first, row, owned = grams.runs(k)
+                if open_ is not None:
+                    for j in range(k - 1):
+                        owned &= open_[first + j]
+                keys.append(key[owned] >> drop)
+                counts.append(grams.n[row[owned]])
+                waiting += len(keys[-1])
+            if waiting > FLUSH_ROWS:
+                key, n = _added(keys, counts)
+                keys, counts, waiting = [key], [n], len(key)
+                if waiting > FLUSH_ROWS // 2:
+                    yield send(key, np.minimum(n, least))
+                    keys, counts, waiting = [], [], 0
+        if waiting:
+            key, n = _added(keys, counts)
+            yield send(key, np.minimum(n, least))
+
+    def add(table: pa.Table) -> pa.Table:
+        parts = [_unpacked_bins(d) for d in table["data"].to_pylist()]
+        key, n = _added([k for k, _ in parts], [n for _, n in parts])
+        place = (key[n >= least] >> np.uint64(fold)) & np.uint64(places // buckets - 1)
+        part = np.zeros(places // buckets, bool)
+        part[place.astype(np.int64)] = True
+        return pa.table({"bucket": table["bucket"].slice(0, 1), "part": pa.array([np.packbits(part).tobytes()], pa.binary())})
+
+    found = parsed.mapInArrow(count, "bucket int, data binary").groupBy("bucket").applyInArrow(add, "bucket int, part binary")
+    out = np.zeros((buckets, places // buckets // 8), np.uint8)
+    for r in found.collect():  # bits / 8 bytes in all
+        out[r["bucket"]] = np.frombuffer(r["part"], np.uint8)
+    return out.ravel()
+
+
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[head], np.add.reduceat(n, head) if len(key) else n
 
 
 def _marked(array: np.ndarray, key: np.ndarray, total: int) -> np.ndarray:
     """Whether the bins of the keys are marked."""
-    place = key & np.uint64((1 << max(20, total.bit_length() + 4)) - 1) & np.uint64(len(array) * 64 - 1)
-    return (array[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+    width = _bin_bits(total)
+    place = key >> np.uint64(64 - width) >> np.uint64(max(0, width - ((len(array) * 8).bit_length() - 1)))
+    return (array[place >> np.uint64(3)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8))) & np.uint8(1) == 1
 
 
-def phrase_counts(parsed: DataFrame, shared, total: int, longest: int) -> DataFrame:
-    """lang, size, phrase, n: exact counts of all marked words and phrases of up to ``longest`` words."""
+def phrase_counts(parsed: DataFrame, short, long_, total: int, longest: int) -> DataFrame:
+    """lang, size, phrase, n: exact counts of all marked words and phrases of up to ``longest`` words.
+
+    ``short`` and ``long_``: broadcast bit arrays of words and pairs, and of longer phrases.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array = shared.value
         for grams in _slices(batches, longest - 1):
-            pair, pair_at, _, _ = grams.runs(2)
-            open_ = np.zeros(len(grams.starts) + 1, bool)
-            open_[pair_at] = _marked(array, pair, total)
+            open_ = grams.open_pairs(short.value, total)
             for k in range(1, longest + 1):
                 key, first, row, owned = grams.runs(k)
-                if k == 1:
-                    owned &= _marked(array, key, total)
                 for j in range(k - 1):
                     owned &= open_[first + j]
+                if k != 2:
+                    owned[owned] = _marked((short if k == 1 else long_).value, key[owned], total)
                 key, first, row = key[owned], first[owned], row[owned]
                 if not len(key):
                     continue
@@ -231,18 +302,15 @@ def phrase_counts(parsed: DataFrame, shared, total: int, longest: int) -> DataFr
     return rows.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _with_count(rows: DataFrame, counts: DataFrame, part: str, out: str) -> DataFrame:
+def _with_count(rows: DataFrame, cuts: DataFrame, limit: int, counts: DataFrame, part: str, out: str) -> DataFrame:
     """``rows`` with the count of (lang, ``part``).
 
-    Parts that many rows ask for (common words) are few by arithmetic: at most HOT of them can be
-    asked for by more than a HOT-th of all rows each.  They are looked up by broadcast, the rest by
-    an ordinary join.
+    Parts that more than ``limit`` of the ``cuts`` ask for (common words) are at most HOT, as ``limit``
+    is a HOT-th of the cuts or more.  They are looked up by broadcast, the rest by an ordinary join.
     """
-    spark = rows.sparkSession
-    limit = max(rows.count() // HOT, HOT)
-    wanted = rows.groupBy("lang", part).count().where(F.col("count") > limit).select("lang", part)
+    wanted = cuts.groupBy("lang", part).count().where(F.col("count") > limit).select("lang", part)
     named = counts.select("lang", F.col("phrase").alias(part), F.col("n").alias(out))
-    hot = storage.save(named.join(wanted, ["lang", part], "left_semi"), storage.new_path(spark, "hot-parts"))
+    hot = storage.save(named.join(wanted, ["lang", part], "left_semi"), storage.new_path(rows.sparkSession, "hot-parts"))
     few = F.broadcast(hot)  # at most HOT rows
     return rows.join(few, ["lang", part]).unionByName(
         rows.join(few.select("lang", part), ["lang", part], "left_anti").join(named, ["lang", part])
@@ -277,7 +345,8 @@ def scored(counts: DataFrame, least: int = LEAST, percent: int = INSIDE_PERCENT)
         F.array_join(F.slice("_w", F.col("k") + 1, F.col("size") - F.col("k")), " ").alias("tail"),
     )
     cuts = storage.save(cuts, storage.new_path(spark, "phrase-cuts"))
-    both = _with_count(_with_count(cuts, counts, "head", "l"), counts, "tail", "r")
+    limit = max(cuts.count() // HOT, HOT)
+    both = _with_count(_with_count(cuts, cuts, limit, counts, "head", "l"), cuts, limit, counts, "tail", "r")
     return both.withColumn("_a", _exact("a")).withColumn("_lr", _exact("l") * _exact("r")).withColumn(
         "score", F.expr(f"(cast({SCORE_UNIT} as decimal(19,0)) * _a * _a) div _lr")
     ).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("best")).select(
@@ -305,8 +374,10 @@ def collocations(
         parsed.groupBy("lang").agg(F.sum("words").alias("n")), storage.new_path(spark, "language-sizes")
     )
     total = int(sizes.agg(F.sum("n")).first()[0] or 0)
-    shared = spark.sparkContext.broadcast(marks(parsed, total, least, longest))
-    counts = storage.save(phrase_counts(parsed, shared, total, longest), storage.new_path(spark, "phrase-counts"))
+    short = spark.sparkContext.broadcast(marks(parsed, total, least, longest, (1, 2)))
+    sizes_above = tuple(range(3, longest + 1))
+    long_ = spark.sparkContext.broadcast(marks(parsed, total, least, longest, sizes_above, short)) if sizes_above else None
+    counts = storage.save(phrase_counts(parsed, short, long_, total, longest), storage.new_path(spark, "phrase-counts"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     best = scored(counts, least, percent).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
     return best.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -101,7 +101,7 @@ def test_merged_keeps_unequal_checks_apart():
 
 def test_full_marks_only_cost_time(spark, monkeypatch):
     rows = texts(6, 120)
-    monkeypatch.setattr(K, "marks", lambda *a, **k: np.full(16, 2**64 - 1, np.uint64))
+    monkeypatch.setattr(K, "marks", lambda *a, **k: np.full(128, 255, np.uint8))
     assert mined(spark, rows) == brute(rows)
 
 
@@ -118,3 +118,13 @@ def test_scores_are_exact_beyond_64_bits(spark):
     )
     row = K.scored(counts).first()
     assert row["score"] == 10**6 * (10**14 + 3) ** 2 // ((3 * 10**14 + 1) * (2 * 10**14 + 7))
+
+
+def test_bins_are_packed_and_marked_exactly(spark, monkeypatch):
+    key = np.sort(np.random.default_rng(1).integers(0, 2**40, 5000, dtype=np.uint64))
+    n = np.arange(5000) % 300
+    back, counts = K._unpacked_bins(K._packed_bins(key, n))
+    assert (back == key).all() and (counts == n).all()
+    monkeypatch.setattr(K, "FLUSH_ROWS", 50)  # many flushes
+    rows = texts(12, 100)
+    assert mined(spark, rows) == brute(rows)

@@ -1,11 +1,12 @@
 """Exact top-k search by inner product without random access.
 
-Every block of candidate rows holds one list a dimension, sorted by value.  A query reads the lists of
-all dimensions in step, each from the end where its products are largest, and keeps for every row
-the sum read so far: with the values at the reading front it bounds the row's score from above,
-with the values at the far end from below.  A row whose upper bound lies below the k-th best lower
-bound cannot qualify; reading stops when few others are left, and only their entries are taken from
-the rest of the lists.  The k-th best score of blocks that a task has done carries over to the next.
+Every block of candidate rows holds one list a dimension, sorted by value.  The queries of a chunk read
+the lists of all dimensions in step, from both ends: a query takes each list from the end where its
+products are largest.  For every row it has the sum read so far: with the values at the reading
+front this bounds the row's score from above, with the values at the far end from below.  A row
+whose upper bound lies below the k-th best lower bound cannot qualify; a query stops when few
+others are left, and only their entries are taken from the rest of the lists.  The k-th best score
+of blocks that a task has done carries over to the next.
 
 Queries go to every block, packed; no pair of a query and a row is ever a row of a table, and a
 block gives at most k rows for each query.  Scores are exact integers.
@@ -32,15 +33,16 @@ BARS = 64
 # A null id sorts after every other.
 NO_ID = np.iinfo(np.int64).max
 LIMITS = np.iinfo(np.int64)
+# Shares of the lists at which bounds are looked at; queries that are not done then read to the end.
+DEPTHS = (0.625, 1.0)
 
 
 class Lists:
     """The sorted lists of one block: row numbers and values of each dimension, both falling."""
 
     def __init__(self, order: np.ndarray, values: np.ndarray):
-        self.order, self.values = order.astype(np.intp), values.astype(np.float64)
+        self.order, self.values = order.astype(np.intp), values
         self.dims, self.rows = order.shape
-        self.whole = values
         self.size = int(np.abs(values).max(initial=0))
 
     @classmethod
@@ -48,53 +50,74 @@ class Lists:
         order = np.argsort(-x, axis=0, kind="stable").T
         return cls(order, np.take_along_axis(x.T, order, 1))
 
+    def read(self, known: np.ndarray, unseen: np.ndarray, lo: int, hi: int) -> None:
+        """Put places lo to hi of each list, from the top and from the bottom, into ``known`` (two rows
+        a dimension: read from the top, read from the bottom) and take them from ``unseen``."""
+        ends = (slice(lo, hi), slice(self.rows - hi, self.rows - lo))
+        for half, part in enumerate(ends):
+            at = slice(half * self.dims, (half + 1) * self.dims)
+            np.put_along_axis(known[at], self.order[:, part], self.values[:, part].astype(known.dtype), 1)
+            np.put_along_axis(unseen[at], self.order[:, part], 0, 1)
+
     def vectors(self) -> np.ndarray:
-        """The rows themselves, read back from the lists."""
-        x = np.zeros((self.rows, self.dims), np.int64)
-        np.put_along_axis(x.T, self.order, self.whole, 1)
+        """The rows themselves, one a column, read from the whole lists."""
+        x = np.zeros((self.dims, self.rows), np.int64)
+        np.put_along_axis(x, self.order, self.values, 1)
         return x
 
-    def read(self, q: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers and products of places lo to hi of each list, from the query's better end."""
-        up = slice(self.rows - hi, self.rows - lo)
-        ahead = (q > 0)[:, None]
-        rows = np.where(ahead, self.order[:, lo:hi], self.order[:, up][:, ::-1])
-        return rows, q[:, None] * np.where(ahead, self.values[:, lo:hi], self.values[:, up][:, ::-1])
-
-
-def best(lists: Lists, q: np.ndarray, k: int, alive: np.ndarray, bar: float = -np.inf) -> tuple[np.ndarray, np.ndarray, float]:
-    """Rows of the block that may be among the k best of all, their exact scores, and how deep the
-    lists were read (a share).  ``alive`` marks the rows that count; scores below ``bar`` do not."""
-    dims = min(lists.dims, len(q))
-    if int(np.abs(q).max(initial=0)) * lists.size * max(dims, 1) >= 1 << 53:  # beyond exact doubles
-        totals = lists.vectors()[:, :dims].astype(object) @ q[:dims].astype(object) if dims else np.zeros(lists.rows, object)
-        rows = np.flatnonzero(alive)
-        return rows, np.array([min(max(int(s), LIMITS.min), LIMITS.max) for s in totals[rows]], np.int64), 1.0
-    weight = np.zeros(lists.dims)
-    weight[:dims] = q[:dims]
-    n, depth = lists.rows, 0
-    sums, unseen = np.zeros(n), np.ones((lists.dims, n))
-    lowest = lists.read(weight, n - 1, n)[1][:, 0]
-    open_ = alive.copy()
-    while depth < n:
-        ahead = min(n, depth + max(1, n // (4 if depth == 0 else 8)))
-        rows, products = lists.read(weight, depth, ahead)
-        sums += np.bincount(rows.ravel(), products.ravel(), n)
-        np.put_along_axis(unseen, rows, 0.0, 1)
+
+def best(
+    lists: Lists, q: np.ndarray, k: int, alive: np.ndarray, bars: np.ndarray
+) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """For each query (row of ``q``): rows of the block that may be among the k best of all, their exact
+    scores, and the share of the lists it read.  ``alive`` (query by row) marks the rows that count;
+    scores below a query's bar do not."""
+    dims, n, m = lists.dims, lists.rows, len(q)
+    both = min(dims, q.shape[1])
+    weight = np.zeros((m, dims), np.int64)
+    weight[:, :both] = q[:, :both]
+    most = int(np.abs(weight).max(initial=0)) * lists.size * max(dims, 1)
+    if most >= 1 << 53:  # beyond exact doubles
+        totals = weight.astype(object) @ lists.vectors().astype(object)
+        clip = lambda row: np.array([min(max(int(s), LIMITS.min), LIMITS.max) for s in row], np.int64)
+        rows = [np.flatnonzero(a) for a in alive]
+        return rows, [clip(t[r]) for t, r in zip(totals, rows)], np.ones(m)
+    kind = np.float32 if most < 1 << 24 else np.float64  # sums of integers are exact in either
+    sign = np.concatenate([np.maximum(weight, 0), np.minimum(weight, 0)], 1).astype(kind)
+    known, unseen = np.zeros((2 * dims, n), kind), np.ones((2 * dims, n), kind)
+    far = np.concatenate([lists.values[:, -1], lists.values[:, 0]]).astype(kind)
+    bars, open_, share = bars.astype(np.float64), alive.copy(), np.ones(m)
+    final: dict[int, np.ndarray] = {}
+    active, depth = np.arange(m), 0
+    for part in DEPTHS:
+        ahead = min(n, max(depth + 1, int(n * part)))
+        lists.read(known, unseen, depth, ahead)
         depth = ahead
-        lower = (sums + lowest @ unseen)[open_]
-        if len(lower) >= k:
-            bar = max(bar, float(np.partition(lower, len(lower) - k)[len(lower) - k]))
-        open_ &= sums + products[:, -1] @ unseen >= bar
-        if open_.sum() <= 2 * k:
+        mine = sign[active]
+        upper = lower = mine @ known
+        if depth < n:
+            front = np.concatenate([lists.values[:, depth - 1], lists.values[:, n - depth]]).astype(kind)
+            upper, lower = upper + (mine * front) @ unseen, lower + (mine * far) @ unseen
+        if n >= k:
+            low = np.where(alive[active], lower, -np.inf)
+            bars[active] = np.maximum(bars[active], np.partition(low, n - k, axis=1)[:, n - k])
+        open_[active] &= upper >= bars[active][:, None]
+        done = open_[active].sum(axis=1) <= 2 * k
+        share[active] = depth / n
+        if depth == n:
+            final = {int(i): upper[at] for at, i in enumerate(active)}
+            break
+        active = active[~done]
+        if not len(active):
             break
-    if depth < n:  # resolve the few that are left from the rest of the lists
-        rows, products = lists.read(weight, depth, n)
-        mine = open_[rows]
-        sums += np.bincount(rows[mine], products[mine], n)
-    rows = np.flatnonzero(open_)
-    rows = rows[sums[rows] >= bar]
-    return rows, sums[rows].astype(np.int64), depth / max(n, 1)
+    rows = [np.flatnonzero(o) for o in open_]
+    if len(final) < m:  # resolve: the entries of the few left from the rest of the lists
+        whole = lists.vectors()
+        scores = [final[i][r].astype(np.int64) if i in final else weight[i] @ whole[:, r] for i, r in enumerate(rows)]
+    else:
+        scores = [final[i][r].astype(np.int64) for i, r in enumerate(rows)]
+    keep = [s >= b for s, b in zip(scores, bars)]
+    return [r[x] for r, x in zip(rows, keep)], [s[x] for s, x in zip(scores, keep)], share
 
 
 def _packed(df: DataFrame, rows: int, pack, schema: str) -> DataFrame:
@@ -128,7 +151,7 @@ def _pack_lists(batch: pa.RecordBatch) -> pa.RecordBatch:
     lists = Lists.of(_vectors(batch.column(1)))
     return pa.RecordBatch.from_arrays([
         _ids(batch.column(0)), pa.array([lists.dims], pa.int32()),
-        pa.array([lists.order.astype("<u2").tobytes()]), pa.array([lists.whole.astype("<i8").tobytes()]),
+        pa.array([lists.order.astype("<u2").tobytes()]), pa.array([lists.values.astype("<i8").tobytes()]),
     ], ["ids", "dims", "order", "values"])
 
 
@@ -159,9 +182,9 @@ def _compare(k: int):
                 known = bars.pop(row["chunk"], None)
                 if known is None:
                     known = np.full((len(own), k), -np.inf)
+                alive = (ids[None, :] != own[:, None]) | ~real[None, :]
                 out = []
-                for i, mine in enumerate(own):
-                    found, scores, _ = best(lists, q[i], k, (ids != mine) | ~real, known[i, 0])
+                for i, (found, scores) in enumerate(zip(*best(lists, q, k, alive, known[:, 0])[:2])):
                     first = np.lexsort((ids[found], -scores))[:k]
                     found, scores = found[first], scores[first]
                     known[i] = np.sort(np.concatenate([known[i], scores.astype(np.float64)]))[-k:]

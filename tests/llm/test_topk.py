@@ -56,14 +56,21 @@ def test_reading_stops_before_the_end():
     """One row far ahead in every list: outsiders cannot qualify after the first reading."""
     x = RNG.integers(-20, 20, (1000, 8))
     x[137] = 500
-    found, scores, depth = T.best(T.Lists.of(x), np.full(8, 3), 1, np.ones(1000, bool))
-    assert 137 in found and scores[found.tolist().index(137)] == 12_000 and depth < 0.5
-    bar = float(np.sort(x @ np.full(8, 3))[-3])  # a bar from another block shuts out the rest
-    found, scores, _ = T.best(T.Lists.of(x), np.full(8, 3), 5, np.ones(1000, bool), bar)
-    assert (np.sort(scores) >= bar).all() and 137 in found
+    q = np.stack([np.full(8, 3), np.full(8, -3)])
+    alive = np.ones((2, 1000), bool)
+    rows, scores, share = T.best(T.Lists.of(x), q, 1, alive, np.full(2, -np.inf))
+    assert rows[0].tolist() == [137] and scores[0].tolist() == [12_000] and share[0] < 1
+    assert scores[1].max() == (x @ q[1]).max()
+    bars = np.sort(x @ q.T, axis=0)[-3].astype(float)  # bars from other blocks shut out the rest
+    rows, scores, share = T.best(T.Lists.of(x), q, 5, alive, bars)
+    for i in range(2):
+        assert sorted(rows[i].tolist()) == np.flatnonzero(x @ q[i] >= bars[i]).tolist()
+    alive[0, 137] = False
+    rows, scores, _ = T.best(T.Lists.of(x), q, 1, alive, np.full(2, -np.inf))
+    assert 137 not in rows[0]
 
 
 def test_lists_are_sorted_and_whole():
     x = RNG.integers(-9, 9, (50, 6))
     lists = T.Lists.of(x)
-    assert (np.diff(lists.whole, axis=1) <= 0).all() and (lists.vectors() == x).all()
+    assert (np.diff(lists.values, axis=1) <= 0).all() and (lists.vectors().T == x).all()

@@ -22,6 +22,8 @@ MIN_TRAIN_EVENTS = 4
 MIN_EVENTS, MIN_HALF_PATH = 8, 2
 SPEED_FLOOR_S = 0.05
 PAIR_BLOCK_ROWS = 4096
+# Vectors that others gather around for all-pairs work: so many at most come to the driver.
+PIVOTS = 1024
 SIM_DIGITS = 6
 
 
@@ -282,39 +284,91 @@ def reproduction_summary(cosines: DataFrame) -> DataFrame:
 # All-pairs work in bounded blocks ------------------------------------------------------------
 
 
-def _packed(vectors: DataFrame, rows_per_block: int, *facts: str) -> DataFrame:
-    """About ``rows_per_block`` vectors of one split in a row: ids, facts and one packed matrix.
+def _pivots(vectors: DataFrame, rows_per_block: int) -> np.ndarray | None:
+    """Rows that the others gather around: two for each block's worth, PIVOTS at most; None where
+    everything fits into one block.
 
-    Packed where the rows lie, so nothing is shuffled; the written table has one row a block and
-    numbers the blocks of each split from 1.
+    Of a sample of eight times as many rows (by id hash), each next one is the farthest from those
+    chosen before it, so small clusters get theirs too.
+    """
+    n = vectors.count()
+    if n <= rows_per_block:
+        return None
+    count = min(2 * -(-n // rows_per_block), PIVOTS)
+    rows = vectors.select("vec").orderBy(F.xxhash64("id"), F.xxhash64("vec")).limit(8 * count).toPandas()
+    sample = np.stack(rows["vec"].to_numpy()).astype(np.float64)
+    far, chosen = np.full(len(sample), np.inf), []
+    for _ in range(min(count, len(sample))):
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, ((sample - sample[chosen[-1]]) ** 2).sum(axis=1))
+        if far.max() <= 0:
+            break
+    return sample[chosen]
+
+
+def _in_cells(vectors: DataFrame, pivots: np.ndarray, rows_per_block: int) -> DataFrame:
+    """Rows with the ``cell`` of their nearest pivot, cell by cell in tasks of a few blocks each."""
+    spark = vectors.sparkSession
+    schema = ", ".join(f"`{c}` {k}" for c, k in vectors.dtypes) + ", cell int"
+    half = (pivots**2).sum(axis=1) / 2
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), 2048):
+                part = batch.iloc[lo : lo + 2048]
+                matrix = np.stack(part["vec"].to_numpy()).astype(np.float64)
+                yield part.assign(cell=(matrix @ pivots.T - half).argmax(axis=1).astype(np.int32))
+
+    placed = storage.save(vectors.mapInPandas(assign, schema), storage.new_path(spark, "cells"))
+    sizes = placed.groupBy("split", "cell").count()
+    # A popular cell is dealt over as many tasks as it has pairs of blocks.
+    parts = F.ceil(F.col("count") / (2 * rows_per_block))
+    salted = placed.join(sizes, ["split", "cell"]).withColumn("_salt", F.pmod(F.xxhash64("id"), parts))
+    return salted.repartition("split", "cell", "_salt").sortWithinPartitions("split", "cell").drop("count", "_salt")
+
+
+def _packed(vectors: DataFrame, rows_per_block: int, *facts: str, pivots: np.ndarray | None = None) -> DataFrame:
+    """About ``rows_per_block`` vectors of one split and cell in a row: ids, facts and one packed
+    matrix, with the block's centre, its radius, and the largest norm of a row.
+
+    The written table has one row a block and numbers the blocks of each split from 1.  Without
+    pivots vectors are packed where they lie, so nothing is shuffled.
     """
     spark = vectors.sparkSession
     kinds = dict(vectors.dtypes)
     lists = ["id", *facts]
     form = _kind(vectors)
+    columns = vectors.select("split", *lists, "vec")
+    columns = columns.withColumn("cell", F.lit(0)) if pivots is None else _in_cells(columns, pivots, rows_per_block)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
 
-        def flushed(split) -> pd.DataFrame:
-            rows = pd.concat(held.pop(split))
+        def flushed(key) -> pd.DataFrame:
+            rows = pd.concat(held.pop(key))
             matrix = np.stack(rows["vec"].to_numpy()).astype(form)
+            wide = matrix.astype(np.float64)
+            centre = wide.mean(axis=0)
             columns = {c: [rows[c].tolist()] for c in lists}
-            return pd.DataFrame({"split": [split], **columns, "matrix": [matrix.tobytes()]})
+            return pd.DataFrame({
+                "split": [key[0]], **columns, "matrix": [matrix.tobytes()], "centre": [centre],
+                "radius": [float(np.linalg.norm(wide - centre, axis=1).max())],
+                "norm": [float(np.linalg.norm(wide, axis=1).max())], "rows": [len(rows)],
+            })
 
         for batch in batches:
-            for split, rows in batch.groupby("split", sort=False):
+            for key, rows in batch.groupby(["split", "cell"], sort=False):
                 for lo in range(0, len(rows), rows_per_block):
-                    held.setdefault(split, []).append(rows.iloc[lo : lo + rows_per_block])
-                    if sum(map(len, held[split])) >= rows_per_block:
-                        yield flushed(split)
+                    held.setdefault(key, []).append(rows.iloc[lo : lo + rows_per_block])
+                    if sum(map(len, held[key])) >= rows_per_block:
+                        yield flushed(key)
             if sum(len(r) for parts in held.values() for r in parts) >= 4 * rows_per_block:
-                yield from [flushed(split) for split in list(held)]
-        yield from [flushed(split) for split in list(held)]
+                yield from [flushed(key) for key in list(held)]
+        yield from [flushed(key) for key in list(held)]
 
     arrays = ", ".join(f"{c} array<{kinds[c]}>" for c in lists)
-    blocks = vectors.select("split", *lists, "vec").mapInPandas(
-        pack, f"split {kinds['split']}, {arrays}, matrix binary"
+    blocks = columns.mapInPandas(
+        pack, f"split {kinds['split']}, {arrays}, matrix binary, centre array<double>, radius double, norm double, rows long"
     )
     order = Window.partitionBy("split").orderBy("first")
     named = storage.save(
@@ -324,20 +378,40 @@ def _packed(vectors: DataFrame, rows_per_block: int, *facts: str) -> DataFrame:
     return named.join(numbers, ["split", "first"]).drop("first")
 
 
-def _block_pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Every query block beside every candidate block of its split.
+def _outline(packed: DataFrame, *more: Column) -> DataFrame:
+    return packed.select("split", "block", "centre", "radius", "norm", "rows", *more)
 
-    Exact ranking against a whole split needs every similarity, but no pair is ever a row: each
-    row here is two blocks.  Only the query blocks are repeated; a candidate block moves once.
+
+def _bounded_pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Every pair of a query block's and a candidate block's outline of a split, with bounds of all
+    similarities (dot products) of their rows; no matrix is moved.
+
+    ``upper``: the lesser of what the distance of the centres, less both radii, leaves of a product
+    (triangle inequality), and the centres' product plus what the radii can add; ``lower``: the
+    centres' product less that.  Both leave room for rounding.
     """
     totals = candidates.groupBy("split").agg(F.max("block").alias("n"))
-    mine = queries.drop("block").join(totals, "split").withColumn(
-        "block", F.explode(F.sequence(F.lit(1), F.col("n")))
-    ).drop("n")
-    others = candidates.select(
-        "split", "block", F.col("id").alias("other"), F.col("matrix").alias("others")
+    mine = queries.join(totals, "split").withColumn("other", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n")
+    theirs = candidates.select("split", F.col("block").alias("other"), *[F.col(c).alias(f"o_{c}") for c in ("centre", "radius", "norm", "rows")])
+    both = mine.join(theirs, ["split", "other"])
+    size = lambda c: F.sqrt(V.dot(F.col(c), F.col(c)))
+    centres = V.dot(F.col("centre"), F.col("o_centre"))
+    reach = size("centre") * F.col("o_radius") + size("o_centre") * F.col("radius") + F.col("radius") * F.col("o_radius")
+    apart = F.sqrt(F.aggregate(F.zip_with("centre", "o_centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x))
+    gap = F.greatest(apart - F.col("radius") - F.col("o_radius"), F.lit(0.0))
+    distant = (F.col("norm") ** 2 + F.col("o_norm") ** 2 - gap**2) / 2
+    room = F.lit(2e-6) + (F.col("norm") * F.col("o_norm")) * 1e-9
+    return both.select(
+        *queries.columns, "other", "o_rows", (F.least(distant, centres + reach) + room).alias("upper"), (centres - reach - room).alias("lower")
     )
-    return mine.join(others, ["split", "block"]).drop("block")
+
+
+def _side_by_side(pairs: DataFrame, queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The matrices of chosen pairs (split, block, other): one row holds two blocks."""
+    others = candidates.select("split", F.col("block").alias("other_block"), F.col("id").alias("other"), F.col("matrix").alias("others"))
+    chosen = pairs.select("split", "block", F.col("other").alias("other_block"))
+    mine = queries.drop("centre", "radius", "norm", "rows")
+    return chosen.join(mine, ["split", "block"]).join(others, ["split", "other_block"]).drop("other_block")
 
 
 def _product(row, form: str) -> np.ndarray:
@@ -379,13 +453,21 @@ def rank_of_gold(queries: DataFrame, candidates: DataFrame, rows_per_block: int
                     }
                 )
 
-    pairs = _block_pairs(
-        _packed(gold, rows_per_block, "gold"),
-        _packed(candidates.select("id", "split", "vec"), rows_per_block),
-    )
+    rows = candidates.select("id", "split", "vec")
+    pivots = _pivots(rows, rows_per_block)
+    mine = _packed(gold, rows_per_block, "gold", pivots=pivots)
+    theirs = _packed(rows, rows_per_block, pivots=pivots)
+    levels = _outline(mine, F.array_min("gold").alias("least"), F.array_max("gold").alias("most"))
+    pairs = _bounded_pairs(levels, _outline(theirs))
+    # A block whose rows are all above every gold is counted whole, one all below is not needed.
+    above = pairs.filter(F.col("lower") > F.col("most")).groupBy("split", "block").agg(F.sum("o_rows").alias("greater"))
+    sure = mine.select("split", "block", "id").join(above, ["split", "block"]).select(
+        F.explode("id").alias("id"), "greater", F.lit(0).cast("long").alias("equal")
+    )
+    open_ = pairs.filter((F.col("lower") <= F.col("most")) & (F.col("upper") >= F.col("least")))
     kind = queries.schema["id"].dataType.simpleString()
-    counts = pairs.mapInPandas(compare, f"id {kind}, greater long, equal long")
-    return counts.groupBy("id").agg(
+    counts = _side_by_side(open_, mine, theirs).mapInPandas(compare, f"id {kind}, greater long, equal long")
+    return counts.unionByName(sure).groupBy("id").agg(
         (1 + F.sum("greater") + (F.sum("equal") - 1) / 2).alias("rank")
     )
 
@@ -401,10 +483,8 @@ def retrieval_metrics(ranks: DataFrame) -> DataFrame:
     return middle.join(F.broadcast(facts), F.lit(True))
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 25, rows_per_block: int = PAIR_BLOCK_ROWS) -> DataFrame:
-    """The ``k`` most similar other rows per row (``id, split, vec``), ties by id."""
-
-    form = _kind(vectors)
+def _best(form: str, k: int):
+    """Rows of two blocks to the ``k`` best others of each query."""
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -416,6 +496,8 @@ def nearest_neighbours(vectors: DataFrame, k: int = 25, rows_per_block: int = PA
                 top = _first_k(sims, min(k, len(others)))
                 out = pd.DataFrame(
                     {
+                        "split": row.split,
+                        "block": row.block,
                         "id": np.repeat(ids, top.shape[1]),
                         "neighbour": others[top.ravel()],
                         "score": np.take_along_axis(sims, top, axis=1).ravel(),
@@ -423,14 +505,54 @@ def nearest_neighbours(vectors: DataFrame, k: int = 25, rows_per_block: int = PA
                 )
                 yield out[np.isfinite(out["score"])]
 
-    packed = _packed(vectors, rows_per_block)
-    kind = vectors.schema["id"].dataType.simpleString()
-    found = _block_pairs(packed, packed).mapInPandas(
-        best, f"id {kind}, neighbour {kind}, score double"
+    return best
+
+
+def _neighbour_pairs(packed: DataFrame, home: DataFrame, k: int) -> DataFrame:
+    """Pairs of different blocks that can hold a neighbour better than the ``k`` found at home: those
+    whose upper bound reaches the worst k-th score of the query block."""
+    worst = home.groupBy("split", "block", "id").agg(F.count("*").alias("n"), F.min("score").alias("score"))
+    bars = worst.groupBy("split", "block").agg(
+        F.min(F.when(F.col("n") < k, F.lit(float("-inf"))).otherwise(F.col("score"))).alias("bar")
     )
+    outline = _outline(packed)
+    asked = outline.join(bars, ["split", "block"], "left").withColumn("bar", F.coalesce("bar", F.lit(float("-inf"))))
+    return _bounded_pairs(asked, outline).filter((F.col("block") != F.col("other")) & (F.col("upper") >= F.col("bar")))
+
+
+def _at_home(vectors: DataFrame, k: int, rows_per_block: int) -> tuple[DataFrame, DataFrame, str]:
+    """Blocks around pivots, and the best ``k`` that each row has in its own block."""
+    spark, form = vectors.sparkSession, _kind(vectors)
+    packed = _packed(vectors, rows_per_block, pivots=_pivots(vectors, rows_per_block))
+    kinds = dict(vectors.dtypes)
+    schema = f"split {kinds['split']}, block int, id {kinds['id']}, neighbour {kinds['id']}, score double"
+    alone = packed.select("split", "block", "id", "matrix", F.col("id").alias("other"), F.col("matrix").alias("others"))
+    home = storage.save(alone.mapInPandas(_best(form, k), schema), storage.new_path(spark, "home-neighbours"))
+    return packed, home, schema
+
+
+def nearest_neighbours(vectors: DataFrame, k: int = 25, rows_per_block: int = PAIR_BLOCK_ROWS) -> DataFrame:
+    """The ``k`` most similar other rows per row (``id, split, vec``), ties by id.
+
+    Rows gather in blocks around pivots.  Each is first compared with its own block; the scores found
+    there shut out every other block whose bound lies below, so only block pairs that can matter
+    are multiplied.  ``pair_report`` tells how many.
+    """
+    packed, home, schema = _at_home(vectors, k, rows_per_block)
+    pairs = _neighbour_pairs(packed, home, k)
+    found = _side_by_side(pairs, packed, packed).mapInPandas(_best(_kind(vectors), k), schema).unionByName(home)
     # Spark keeps the best k of each task before this exchange.
     w = Window.partitionBy("id").orderBy(F.desc("score"), "neighbour")
-    return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    return found.select("id", "neighbour", "score").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+
+def pair_report(vectors: DataFrame, k: int = 25, rows_per_block: int = PAIR_BLOCK_ROWS) -> DataFrame:
+    """split, blocks, visited: block pairs that ``nearest_neighbours`` multiplies, of blocks squared."""
+    packed, home, _ = _at_home(vectors, k, rows_per_block)
+    visited = _neighbour_pairs(packed, home, k).groupBy("split").agg(F.count("*").alias("v"))
+    return packed.groupBy("split").agg(F.count("*").alias("blocks")).join(visited, "split", "left").select(
+        "split", "blocks", (F.coalesce("v", F.lit(0)) + F.col("blocks")).alias("visited")
+    )
 
 
 def _first_k(sims: np.ndarray, k: int) -> np.ndarray:

@@ -117,6 +117,27 @@ def test_ranks_and_neighbours_against_brute_force(spark):
         assert [r["neighbour"] for r in sorted(near, key=lambda r: r["place"]) if r["id"] == i] == want
 
 
+def test_bounds_skip_block_pairs_of_clustered_vectors(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(20, 12)) * 4
+    v = np.concatenate([np.round(c + rng.normal(size=(40, 12)) * 0.05, 3) for c in centres])
+    rng.shuffle(v)
+    df = vectors(spark, v).repartition(5)
+    sims = np.round(v @ v.T, 6)
+    np.fill_diagonal(sims, -np.inf)
+    near = E.nearest_neighbours(df, 3, 40).collect()
+    got = {(r["id"], r["place"]): r["neighbour"] for r in near}
+    for i in range(0, len(v), 17):
+        assert [got[i, p] for p in (1, 2, 3)] == sorted(range(len(v)), key=lambda j: (-sims[i, j], j))[:3]
+    report = E.pair_report(df, 3, 40).first()
+    assert report["blocks"] >= 20 and report["visited"] < 0.5 * report["blocks"] ** 2
+    w = v + rng.normal(size=v.shape) * 0.01
+    ranks = {r["id"]: r["rank"] for r in E.rank_of_gold(vectors(spark, w), vectors(spark, v), 40).collect()}
+    sims = np.round(w @ v.T, 6)
+    for i in range(0, len(v), 13):
+        assert ranks[i] == 1 + (sims[i] > sims[i, i] + 5e-7).sum() + ((np.abs(sims[i] - sims[i, i]) <= 5e-7).sum() - 1) / 2
+
+
 def test_metrics_and_decision(spark):
     m = E.retrieval_metrics(spark.createDataFrame([(i, r) for i, r in enumerate((1.0, 2.0, 10.0, 100.0))], "id int, rank double")).first()
     assert m["n"] == 4 and m["mrr"] == pytest.approx((1 + 0.5 + 0.1 + 0.01) / 4)

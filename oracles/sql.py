@@ -156,6 +156,11 @@ _ALL = [(p, *_WHERE[q]) for p, q in _PRESET_NAMES.items()] + [
 SQL["search_many"] = on("phases", " UNION ALL ".join(
     f"SELECT * FROM (SELECT '{n}' AS query, row_number() OVER (ORDER BY {o}) AS rank, phase_id, count(*) OVER () AS n_matches FROM phases WHERE {w}) WHERE rank <= {k}"
     for n, w, o, k in _ALL))
+SQL["standing_queries"] = on("phases", """
+SELECT q.phase_id AS query_id, count(*) AS n_matches, min(p.phase_id) AS first_phase
+FROM phases q JOIN phases p ON p.start_type = q.start_type AND p.outcome <> q.outcome AND p.n_passes >= q.n_passes
+ AND p.reached_box = q.reached_box AND p.progression_m::FLOAT BETWEEN (round(q.progression_m::FLOAT::DOUBLE) - 5)::FLOAT AND (round(q.progression_m::FLOAT::DOUBLE) + 5)::FLOAT
+GROUP BY 1""")
 _PINS = """
 pins AS (
   SELECT 's' || (seq % 5) AS section, seq AS ordinal, phase_id FROM phases WHERE n_shots > 0

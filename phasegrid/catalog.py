@@ -19,6 +19,7 @@ from phasegrid.operators import (
     saved as SV,
     search as S,
     similar as SIM,
+    standing as ST,
 )
 from phasegrid.plans import profiling as PR, quality as Q, reports as RP
 from phasegrid.plans.build import Tables, testdata_tables
@@ -427,6 +428,28 @@ def search_many(t):
     return S.search_many(t.phases, {**S.PRESETS, **SEARCHES}, enums=ENUMS)
 
 
+@on_tables()
+def standing_queries(t):
+    """One saved query for every phase (its like: start, outcome, passes, progression), all matched at
+    once: how many phases meet each, and the first of them."""
+    def f(field, op, *values):
+        texts = F.array(*[v.cast("string") for v in values])
+        return F.struct(F.lit(field).alias("field"), F.lit(op).alias("op"), texts.alias("values"))
+
+    near = F.round(F.col("progression_m").cast("double"))
+    saved = t.phases.select(
+        F.col("phase_id").alias("query_id"),
+        F.array(
+            f("start_type", "eq", F.col("start_type")), f("outcome", "neq", F.col("outcome")),
+            f("n_passes", "gte", F.col("n_passes")), f("progression_m", "between", near - 5, near + 5),
+            f("reached_box", "eq", F.col("reached_box")),
+        ).alias("filters"),
+    )
+    return ST.match_saved(t.phases, saved).groupBy("query_id").agg(
+        F.count("*").alias("n_matches"), F.min("phase_id").alias("first_phase")
+    )
+
+
 def pinned(t: Tables) -> DataFrame:
     """Report sections derived from the phase table: shots pinned, some twice, some missing."""
     shots = t.phases.filter(F.col("n_shots") > 0)

@@ -55,3 +55,35 @@ def test_written_shards(spark, corpus, tmp_path):
     sharding.write_shards(sharding.shards(corpus, 3), corpus.select("doc_id", "text"), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == corpus.count() and {r["shard"] for r in back.select("shard").distinct().collect()} == {0, 1, 2}
+
+
+def test_places_equal_a_plain_ranking(spark, corpus):
+    """Sources ranked, spread and cut by plain sorting of the same seeded hashes."""
+    from pyspark.sql import functions as F
+
+    more = corpus.select("doc_id", "text", "source").union(corpus.select("doc_id", "text", "source").where("doc_id < 20"))
+    text = F.coalesce("text", F.lit(""))
+    stratum = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))
+    size, crc = F.octet_length(text).cast("long") + 8, F.crc32(text.cast("binary"))
+    rows = more.select(
+        stratum.alias("st"), F.col("doc_id").alias("i"), crc.alias("crc"), size.alias("size"),
+        F.shiftrightunsigned(F.xxhash64(F.lit(17), stratum, "doc_id", crc, size), 1).alias("h"),
+        F.pmod(F.xxhash64(F.lit(18), stratum), F.lit(1 << 20)).alias("phase"),
+    ).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r["st"]].append(r)
+    spread = []
+    for st, group in by.items():
+        group.sort(key=lambda r: (r["h"], r["i"], r["crc"], r["size"]))
+        seen = Counter()
+        for rank, r in enumerate(group):
+            key = (r["h"], r["i"], r["crc"], r["size"])
+            spread.append(((rank + r["phase"] / float(1 << 20)) / len(group), st, *key, seen[key]))
+            seen[key] += 1
+    n, k = len(rows), 7
+    want = sorted(
+        (i, crc, p, p * k // n, p - -(-(p * k // n) * n // k)) for p, (_, _, _, i, crc, _, _) in enumerate(sorted(spread))
+    )
+    got = sorted((r["doc_id"], r["text_crc32"], r["position"], r["shard"], r["slot"]) for r in sharding.shards(more, k).collect())
+    assert got == want

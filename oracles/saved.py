@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from oracles import base as B
+from phasegrid.catalog import TRIED_OPS, TRIED_VALUES
+from phasegrid.operators.search import ENUM_VALUES, FIELDS
+from phasegrid.sources.testdata import COMPETITIONS
 
 _SAVED = """
 saved AS (
@@ -92,3 +95,43 @@ SELECT query_id, string_agg(phrase, ' / ' ORDER BY k) AS phrases, any_value(orde
       WHEN 6 THEN 'Outcome is ' || {_OUT} WHEN 8 THEN 'Match id is ' || v[1] WHEN 9 THEN 'Team: ' || array_to_string(v, ' or ')
       WHEN 10 THEN 'End zone: left middle third or right defensive third or right defensive third' ELSE 'Team is not Team 3' END AS phrase
   FROM flt f JOIN saved s ON f.query_id = s.query_id) GROUP BY 1""", _SAVED)
+
+
+def errors_sql() -> str:
+    """First fault by rule tables: one row a field with its kind, and one a word of a closed list."""
+    q = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+    names = [*FIELDS, "nothing"]
+    values = ", ".join("NULL" if v is None else "[" + ", ".join(map(q, v)) + "]::VARCHAR[]" for v in TRIED_VALUES)
+    rules = ", ".join(f"('{f}', '{kind}')" for f, kind in FIELDS.items())
+    words = ", ".join(f"('{f}', {q(w)})" for f, ws in {**ENUM_VALUES, "competition": COMPETITIONS}.items() for w in ws)
+    return B.on("phases", """
+SELECT query_id, CASE
+  WHEN kind IS NULL THEN 'filters[1].field'
+  WHEN op = 'like' OR (op IN ('gte', 'lte', 'between') AND kind NOT IN ('int', 'float')) OR (op = 'in' AND kind = 'bool')
+    OR (op = 'neq' AND field = 'competition') THEN 'filters[1].op'
+  WHEN v IS NULL OR len(v) < 1 OR (op = 'between' AND len(v) <> 2) OR (op NOT IN ('in', 'between') AND len(v) <> 1) OR bad > 0
+    OR (op = 'between' AND v[1]::DOUBLE > v[2]::DOUBLE) THEN 'filters[1].value'
+  WHEN order_field IS NULL AND order_dir IS NOT NULL OR order_field NOT IN ('xg', 'minute') THEN 'order_by.field'
+  WHEN order_dir NOT IN ('asc', 'desc') THEN 'order_by.dir' END AS error
+FROM judged""", f"""
+tried AS (
+  SELECT phase_id AS query_id, [{', '.join(map(q, names))}][(seq % {len(names)} + 1)::INT] AS field,
+    [{', '.join(map(q, TRIED_OPS))}][((seq // 3) % {len(TRIED_OPS)} + 1)::INT] AS op,
+    [{values}][((seq // 2 + match_id) % {len(TRIED_VALUES)} + 1)::INT] AS v,
+    [NULL, 'xg', 'outcome', 'minute', NULL][(seq % 5 + 1)::INT] AS order_field,
+    [NULL, 'asc', 'down', NULL, 'desc', 'desc'][(seq % 6 + 1)::INT] AS order_dir
+  FROM phases
+), rules(field, kind) AS (VALUES {rules}), words(field, word) AS (VALUES {words}
+), items AS (
+  SELECT query_id, field, kind, unnest(v) AS item FROM tried JOIN rules USING (field)
+), faults AS (
+  SELECT query_id, count(*) FILTER (CASE
+    WHEN item IS NULL THEN true
+    WHEN kind = 'bool' THEN item NOT IN ('true', 'false')
+    WHEN kind = 'int' THEN NOT regexp_full_match(item, '-?[0-9]+')
+    WHEN kind = 'float' THEN NOT regexp_full_match(item, '-?[0-9]+([.][0-9]+)?') -- no finite exponent is tried
+    WHEN kind = 'enum' THEN word IS NULL ELSE false END) AS bad
+  FROM items LEFT JOIN words ON words.field = items.field AND word = item GROUP BY 1
+), judged AS (
+  SELECT t.*, kind, coalesce(bad, 0) AS bad FROM tried t LEFT JOIN rules USING (field) LEFT JOIN faults USING (query_id)
+)""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from oracles import base as B
 from oracles.requests import conversation_sql, filters_sql, orders_sql
-from oracles.saved import canonical_sql, groups_sql, phrases_sql
+from oracles.saved import canonical_sql, errors_sql, groups_sql, phrases_sql
 
 on = B.on
 
@@ -182,6 +182,7 @@ SQL["request_filters"] = filters_sql()
 SQL["request_orders"] = orders_sql()
 SQL["conversation_requests"] = conversation_sql()
 SQL["saved_canonical"] = canonical_sql()
+SQL["saved_errors"] = errors_sql()
 SQL["saved_groups"] = groups_sql()
 SQL["saved_phrases"] = phrases_sql()
 

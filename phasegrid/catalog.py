@@ -574,6 +574,40 @@ def saved_canonical(t):
     )
 
 
+# Operators and values that the validation query goes through, one for each phase in turn.
+TRIED_OPS = ("eq", "neq", "in", "gte", "lte", "between", "like")
+TRIED_VALUES = (
+    ["12"], ["1.5"], ["true"], ["mid_third_left"], [], ["1", "5"], ["5", "1"], ["NaN"], ["1e400"], ["x", None], None, ["Team 1"],
+)
+
+
+def tried_queries(t: Tables) -> DataFrame:
+    """A query for every phase: a sound filter of its own, then one of any field, operator and value."""
+    def turn(values, place, kind):
+        lists = F.array(*[F.lit(v) if not isinstance(v, list) else F.array(*map(F.lit, v)).cast(kind) for v in values])
+        return F.element_at(lists, (place % len(values) + 1).cast("int"))
+
+    seq = F.col("seq")
+    tried = F.struct(
+        turn([*S.FIELDS, "nothing"], seq, "string").alias("field"), turn(TRIED_OPS, F.floor(seq / 3), "string").alias("op"),
+        turn(TRIED_VALUES, F.floor(seq / 2) + F.col("match_id"), "array<string>").alias("values"),
+    )
+    sound = F.struct(
+        F.lit("n_passes").alias("field"), F.lit("gte").alias("op"), F.array(F.col("n_passes").cast("string")).alias("values")
+    )
+    return t.phases.select(
+        F.col("phase_id").alias("query_id"), F.array(sound, tried).alias("filters"),
+        turn([None, "xg", "outcome", "minute", None], seq, "string").alias("order_field"),
+        turn([None, "asc", "down", None, "desc", "desc"], seq, "string").alias("order_dir"),
+    )
+
+
+@on_tables()
+def saved_errors(t):
+    """Path of the first fault of every query, null where it is accepted."""
+    return SV.query_errors(tried_queries(t), ENUMS).select("query_id", "error")
+
+
 @on_tables()
 def saved_groups(t):
     """Saved queries that ask the same question."""

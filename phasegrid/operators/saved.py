@@ -6,11 +6,13 @@ order_field, order_dir``; values are text (``true``/``false`` for flags).
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phasegrid import constants as K
-from phasegrid.operators.search import FIELDS
+from phasegrid.operators.search import ENUM_VALUES, FIELDS, allowed_ops, is_numeric
 
 # Fields by control kind.
 ENUM_FIELDS = ("outcome", "start_type", "start_zone", "end_zone", "competition", "team_name")
@@ -199,3 +201,54 @@ def describe_order() -> Column:
 
 def describe(saved: DataFrame) -> DataFrame:
     return saved.withColumns({"phrases": describe_filters(), "order_text": describe_order()})
+
+
+# Validation of many queries: the rules of ``search.check_query`` as columns ----------------------
+
+_NUMBER = r"^-?[0-9]+([.][0-9]+)?([eE][-+]?[0-9]+)?$"
+
+
+def _lookup(pairs: Mapping[str, Column], key: Column) -> Column:
+    return F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)])[key]
+
+
+def filter_error(f: Column, place: Column, enums: Mapping[str, Sequence[str]] | None = None) -> Column:
+    """Path of the first fault of one filter, null for a valid one."""
+    known = {**ENUM_VALUES, **(enums or {})}
+    strings = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
+    kind = _lookup({k: F.lit(v) for k, v in FIELDS.items()}, f["field"])
+    ops = _lookup({k: strings(allowed_ops(k)) for k in FIELDS}, f["field"])
+    words = _lookup({k: strings(v) for k, v in known.items()}, f["field"])
+    wanted = F.when(f["op"] == "in", F.size(f["values"]) > 0).when(f["op"] == "between", F.size(f["values"]) == 2).otherwise(F.size(f["values"]) == 1)
+
+    def fits(v: Column) -> Column:
+        number = F.when(v.rlike(_NUMBER), v.try_cast("double"))
+        return F.coalesce(
+            F.when(kind == "bool", v.isin("true", "false")).when(kind == "int", v.rlike("^-?[0-9]+$"))
+            .when(kind == "float", number.isNotNull() & (F.abs(number) < F.lit(float("inf"))))
+            .when(kind == "enum", F.array_contains(words, v)).otherwise(v.isNotNull()),
+            F.lit(False),
+        )
+
+    low, high = (F.get(f["values"], i).try_cast("double") for i in (0, 1))
+    path = F.concat(F.lit("filters["), place.cast("string"), F.lit("]"))
+    return (
+        F.when(kind.isNull(), F.concat(path, F.lit(".field")))
+        .when(~F.coalesce(F.array_contains(ops, f["op"]), F.lit(False)), F.concat(path, F.lit(".op")))
+        .when(f["values"].isNull() | ~wanted | F.exists(f["values"], lambda v: ~fits(v)), F.concat(path, F.lit(".value")))
+        .when((f["op"] == "between") & (low > high), F.concat(path, F.lit(".value")))
+    )
+
+
+def query_errors(saved: DataFrame, enums: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """All columns of ``saved`` and ``error``: the path of the first fault, filters in order before the
+    ordering, or null where the language accepts the query."""
+    faults = F.transform("filters", lambda f, i: filter_error(f, i, enums))
+    numeric = F.col("order_field").isin(*[k for k in FIELDS if is_numeric(k)])
+    order = (
+        F.when(F.col("order_field").isNull() & F.col("order_dir").isNull(), None)
+        .when(F.col("order_field").isNull() | ~numeric, F.lit("order_by.field"))
+        .when(~F.coalesce("order_dir", F.lit("desc")).isin("asc", "desc"), F.lit("order_by.dir"))
+    )
+    first = F.get(F.filter(faults, lambda e: e.isNotNull()), 0)
+    return saved.withColumn("error", F.coalesce(first, order))

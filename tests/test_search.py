@@ -121,3 +121,33 @@ def test_pins_and_vocabulary(spark, phases):
     assert (s["n"], s["goals"], s["matches"], s["teams"], s["n_with_xg"]) == (2, 2, 1, 2, 2)
     empty = S.summarize(extra, pins.limit(0)).first()
     assert (empty["n"], empty["avg_xg"]) == (0, None)
+
+
+def test_query_errors_agree_with_single_checks(spark):
+    """The columns judge every field, operator and value as the checker of one query does."""
+    from phasegrid.operators import saved as SV
+
+    kinds = {"int": int, "float": float, "bool": lambda t: {"true": True, "false": False}[t], "enum": str, "text": str}
+    values = (["12"], ["1.5"], ["true"], ["mid_third_left"], [], ["1", "5"], ["5", "1"], ["x", "y"], ["goal", "goal"])
+    rows, want = [], []
+    for field in [*S.FIELDS, "nothing"]:
+        for op in (*S._ORDERED, "like"):
+            for texts in values:
+                rows.append((len(rows), [(field, op, texts)], None, None))
+                try:
+                    typed = [kinds[S.FIELDS[field]](t) for t in texts] if field in S.FIELDS else texts
+                except (ValueError, KeyError):
+                    typed = [object() for _ in texts]
+                value = typed if op in ("in", "between") or len(typed) != 1 else typed[0]
+                try:
+                    S.check_filter({"field": field, "op": op, "value": value}, "filters[0]")
+                    want.append(None)
+                except S.QueryError as e:
+                    want.append(e.path)
+    orders = [(None, None, None), ("xg", "asc", None), ("xg", None, None), ("outcome", "asc", "order_by.field"),
+              (None, "asc", "order_by.field"), ("minute", "up", "order_by.dir")]
+    rows += [(len(rows) + i, [], f, d) for i, (f, d, _) in enumerate(orders)]
+    want += [e for _, _, e in orders]
+    df = spark.createDataFrame(rows, "query_id long, filters array<struct<field: string, op: string, values: array<string>>>, order_field string, order_dir string")
+    got = [r["error"] for r in SV.query_errors(df).orderBy("query_id").collect()]
+    assert [(r, g, w) for r, g, w in zip(rows, got, want) if g != w] == []

@@ -79,7 +79,7 @@ def _check_value(field: str, value, path: str, enums: Mapping[str, Sequence[str]
     if kind == "float" and (value != value or value in (float("inf"), float("-inf"))):
         raise QueryError(path, f"{field} takes finite numbers")
     if kind == "enum" and value not in enums[field]:
-        raise QueryError(path, f"{value!r} is not a valid value for {field}")
+        raise QueryError(path, f"{field} knows no {value!r}")
 
 
 def check_filter(f: Mapping, path: str = "filter", enums=None) -> None:
@@ -91,7 +91,7 @@ def check_filter(f: Mapping, path: str = "filter", enums=None) -> None:
     if op not in _ORDERED:
         raise QueryError(f"{path}.op", f"unknown op {op!r}")
     if op not in allowed_ops(field):
-        raise QueryError(f"{path}.op", f"op {op!r} is not supported for {field}")
+        raise QueryError(f"{path}.op", f"{field} cannot be compared by {op!r}")
     if "value" not in f:
         raise QueryError(f"{path}.value", "missing")
     value = f["value"]

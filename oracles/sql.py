@@ -87,6 +87,14 @@ SQL["phase_table"] = on("phases", f"SELECT {PHASE_COLS} FROM phases")
 SQL["phase_paths"] = on("paths", """
 SELECT phase_id, 2 * i AS "at", round(x::DOUBLE, 3) + 0.0 AS value FROM paths
 UNION ALL SELECT phase_id, 2 * i + 1, round(y::DOUBLE, 3) + 0.0 FROM paths""")
+# A fold over each whole path: far points replace the held one and are added to those kept.
+SQL["spaced_path"] = on("paths", """
+SELECT phase_id, k.pos AS pos, round(k.x::DOUBLE, 3) + 0.0 AS x, round(k.y::DOUBLE, 3) + 0.0 AS y FROM (
+  SELECT phase_id, unnest(list_reduce(list({'x': q.x, 'y': q.y, 'kept': [{'pos': q.pos, 'x': q.x, 'y': q.y}]} ORDER BY q.pos),
+    lambda a, b: CASE WHEN abs(b.x - a.x) > 5.05 OR abs(b.y - a.y) > 5.05
+      THEN {'x': b.x, 'y': b.y, 'kept': list_concat(a.kept, b.kept)} ELSE a END).kept) AS k
+  FROM pts q JOIN phases p ON p.match_id = q.match_id AND p.start_index = q.start_index GROUP BY phase_id
+)""")
 SQL["phase_events"] = on("phase_events", f"""
 SELECT phase_id, match_id, idx, event_uuid, event_index, {d('t_offset_s')}, type_id::BIGINT AS type_id, type_name, player_name,
   position_name, team_side, team_name, {many('x, y, end_x, end_y, end_z, xg')}, outcome_name, under_pressure, counterpress, "out", has_frame FROM pe""")

@@ -10,19 +10,22 @@ from pyspark.sql import types as T
 
 from phasegrid import constants as K
 from phasegrid.functions import geometry as G
+from phasegrid.functions.scan import block_of
 from phasegrid.operators import (
     augment as AUG,
     evaluate as E,
     frames as FR,
+    path as P,
     replay as R,
     requests as REQ,
     saved as SV,
     search as S,
     similar as SIM,
+    spacing,
     standing as ST,
 )
 from phasegrid.plans import profiling as PR, quality as Q, reports as RP
-from phasegrid.plans.build import Tables, testdata_tables
+from phasegrid.plans.build import Tables, name_events, testdata_tables
 from phasegrid.sources import raw_json, snapshots, storage, tables as TB
 from phasegrid.sources.testdata import COMPETITIONS
 
@@ -258,6 +261,16 @@ def phase_paths(t):
     return t.phases.select("phase_id", F.posexplode("path_xy").alias("at", "value"))
 
 
+@on_tables(3)
+def spaced_path(t):
+    """Path points over 5.05 yards from the last point kept, folded in blocks of four events."""
+    points = P.path_points(
+        name_events(t.segmented, t.chains), ["phase_id"], F.col("team_id") == F.col("chain_team_id")
+    )
+    short = points.withColumn("block", block_of(F.col("pos"), 3))
+    return spacing.kept_points(short, ["phase_id"], 5.05).drop("block")
+
+
 @on_tables()
 def phase_events(t):
     return t.phase_events.drop("bucket")

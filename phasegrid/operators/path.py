@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from phasegrid import constants as K
 from phasegrid.functions.geometry import is_admin
 from phasegrid.functions.scan import block_of
+from phasegrid.operators.spacing import without_repeats
 
 SAME_POINT = 0.01
 
@@ -58,8 +59,8 @@ def _step(dx: Column, dy: Column) -> Column:
 def path_steps(points: DataFrame, key: Sequence[str]) -> DataFrame:
     """Segments between consecutive distinct points with their running arc length.
 
-    Locations sit on the 0.1 grid, so comparing with the previous point is the same as comparing
-    with the last kept one.  Chains of one block carry nothing.
+    Each point is compared with the one before it, which is right where ``points`` hold no point
+    close to the last kept one (``spacing``) or sit on the 0.1 grid.  Chains of one block carry nothing.
     """
     keys = list(key)
     w = Window.partitionBy(*keys, "block").orderBy("pos")
@@ -146,9 +147,11 @@ def resample(
     ``ends`` gives the first and last points where they are already known.
     Each segment emits only the sample positions that fall inside it, so at most ``n`` rows per
     chain reach the final grouping whatever the length of the chain.  End points are exact; a
-    path without length repeats its point; ``n = 1`` gives the end point.
+    path without length repeats its point; ``n = 1`` gives the end point.  Points closer than
+    ``SAME_POINT`` to the last one kept before them are left out, whether on the grid or not.
     """
     keys = list(key)
+    points = without_repeats(points, keys, SAME_POINT)
     steps = path_steps(points, keys)
     last = n - 1
     lo = F.greatest(F.floor(F.col("c0") * last / F.col("total")).cast("int"), F.lit(1))

@@ -111,6 +111,9 @@ SQL["phase_vectors"] = on("similarity", """
 SELECT phase_id, k AS dim, round(vec[k + 1]::DOUBLE, 5) + 0.0 AS value FROM sim, range(74) r(k)""")
 SQL["feature_moments"] = on("similarity", "SELECT " + ", ".join(
     f"round(mu_{c}, 5) AS mu_{c}, round(sd_{c}, 5) AS sd_{c}" for c in B._NUM) + " FROM mom")
+SQL["refreshed_moments"] = on("phases", "SELECT " + ", ".join(
+    f"round(avg({c}::DOUBLE), 5) AS mu_{c}, round(CASE WHEN stddev_pop({c}::DOUBLE) < 1e-9 THEN 1 ELSE stddev_pop({c}::DOUBLE) END, 5) AS sd_{c}"
+    for c in B._NUM) + " FROM phases WHERE NOT (competition = 'Cup A' AND n_passes = 0)")
 SQL["one_phase_rows"] = on("phase_events", f"""
 SELECT phase_id, idx, event_uuid, type_name, {many('t_offset_s, x, y')} FROM pe WHERE phase_id = '1000-0003'""")
 SQL["several_match_rows"] = on("phase_events", f"""

@@ -829,6 +829,22 @@ def replaced_match_rows(t):
     )
 
 
+@on_tables(5)
+def refreshed_moments(t):
+    """Feature moments after Cup A's matches were published again without their passless phases.
+
+    Follows the replacement from stored moments of each match; the other matches are not read again.
+    """
+    spark = t.phases.sparkSession
+    path = storage.new_path(spark, "match-moments")
+    snapshots.write(SIM.match_moments(t.phases), path)
+    cup = t.phases.filter(F.col("competition") == "Cup A")
+    stats = SIM.refresh_moments(spark, path, cup.filter("n_passes > 0"), cup.select("match_id").distinct())
+    return spark.range(1).select(*[
+        F.lit(value).alias(f"{part}_{c}") for c, pair in stats.items() for part, value in zip(("mu", "sd"), pair)
+    ])
+
+
 @on_tables()
 def replaced_match_events(t):
     """Every event of a table in which matches were replaced, removed and added."""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasegrid import constants as K
 from phasegrid.functions import vectors as V
+from phasegrid.sources import snapshots
 
 
 def moments(phases: DataFrame) -> DataFrame:
@@ -35,6 +38,52 @@ def fit_moments(phases: DataFrame) -> dict[str, tuple[float, float]]:
     return {c: (known(row[f"mu_{c}"], 0.0), known(row[f"sd_{c}"], 1.0)) for c in K.NUMERIC_FEATURES}
 
 
+def match_moments(phases: DataFrame) -> DataFrame:
+    """One row a match: count, mean and squared deviations of each numeric feature.
+
+    These rows merge, so a table of them (``snapshots``) gives the moments of all phases, and
+    follows replaced matches by replacing theirs.
+    """
+    aggs = []
+    for c in K.NUMERIC_FEATURES:
+        value = F.col(c).cast("double")
+        n = F.count(value)
+        aggs += [
+            n.alias(f"n_{c}"),
+            F.coalesce(F.avg(value), F.lit(0.0)).alias(f"mean_{c}"),
+            F.coalesce(F.var_pop(value) * n, F.lit(0.0)).alias(f"dev_{c}"),
+        ]
+    return phases.groupBy("match_id").agg(*aggs)
+
+
+def merge_moments(per_match: DataFrame) -> dict[str, tuple[float, float]]:
+    """What ``fit_moments`` gives for the phases behind rows of ``match_moments``.
+
+    Deviations of a match are moved from its own mean to the mean of all, so nothing cancels.
+    """
+    def each(of) -> list[Column]:
+        return [F.sum(of(c)).cast("double").alias(c) for c in K.NUMERIC_FEATURES]
+
+    n = per_match.agg(*each(lambda c: F.col(f"n_{c}"))).first()
+    total = per_match.agg(*each(lambda c: F.col(f"n_{c}") * F.col(f"mean_{c}"))).first()
+    mu = {c: total[c] / n[c] if n[c] else 0.0 for c in K.NUMERIC_FEATURES}
+    dev = per_match.agg(
+        *each(lambda c: F.col(f"dev_{c}") + F.col(f"n_{c}") * F.pow(F.col(f"mean_{c}") - F.lit(mu[c]), F.lit(2)))
+    ).first()
+    sd = {c: math.sqrt(dev[c] / n[c]) if n[c] else 1.0 for c in K.NUMERIC_FEATURES}
+    return {c: (mu[c], sd[c] if sd[c] >= 1e-9 else 1.0) for c in K.NUMERIC_FEATURES}
+
+
+def refresh_moments(
+    spark: SparkSession, path: str, phases: DataFrame, matches: DataFrame | None = None
+) -> dict[str, tuple[float, float]]:
+    """Moments of all phases after the matches of ``phases`` (and ``matches``) were replaced.
+
+    Only the given phases are read; ``path`` holds the published ``match_moments`` of all matches.
+    """
+    return merge_moments(snapshots.replace_matches(spark, path, match_moments(phases), matches))
+
+
 def vector_parts(stats: dict[str, tuple[float, float]]) -> list[str]:
     """The 74 weighted scalars of a row before normalisation, as SQL expressions."""
     parts = []
